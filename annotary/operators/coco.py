@@ -23,20 +23,9 @@ def category_table(instances: DataFrame, name="canonical") -> DataFrame:
     )
 
 
-def image_ids(images: DataFrame, instances: DataFrame) -> DataFrame:
-    """``(image_id, id, first_annotation)`` in image order.
-
-    Only two narrow columns are put in global order. The running annotation
-    count says where each image's annotation ids start, so annotations
-    themselves are never sorted globally.
-    """
-    per_image = instances.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_ann"))
-    narrow = images.select("image_id").join(per_image, "image_id", "left").withColumn(
-        "n_ann", F.coalesce("n_ann", F.lit(0))
-    )
-    return running_totals(
-        narrow, [F.col("image_id")], sums={"first_annotation": "n_ann"}, position="id"
-    ).select("image_id", "id", "first_annotation")
+def image_ids(images: DataFrame) -> DataFrame:
+    """``(image_id, id)`` in image order; only the key column is sorted."""
+    return running_totals(images.select("image_id"), [F.col("image_id")], position="id")
 
 
 def image_table(images: DataFrame, ids: DataFrame, origin_prefix="origin_") -> DataFrame:
@@ -62,25 +51,22 @@ def annotation_table(
 ) -> DataFrame:
     """COCO annotations numbered in image order, then instance order.
 
-    ``pos`` orders the instances of an image. The rank inside an image is a
-    running total over (image, pos), so even an image with most of the
-    annotations is spread over many tasks.
+    ``pos`` orders the instances of an image. Only the two key columns are put
+    in global order, polygons join their number afterwards; an image with most
+    of the annotations is spread over many tasks all the same.
     """
-    ordinals = running_totals(
+    numbers = running_totals(
         instances.select("image_id", "pos"),
-        [F.col("pos")],
-        partition_by=["image_id"],
-        position="_rank",
+        [F.col("image_id"), F.col("pos")],
+        position="_number",
     )
     cats = categories.select(F.col("id").alias("category_id"), F.col("name").alias(name))
-    numbered = ordinals.join(
-        ids.select("image_id", F.col("id").alias("_image"), "first_annotation"), "image_id"
-    )
     return (
-        instances.join(numbered, ["image_id", "pos"])
+        instances.join(numbers, ["image_id", "pos"])
+        .join(ids.select("image_id", F.col("id").alias("_image")), "image_id")
         .join(broadcast_if_small(cats), name)
         .select(
-            (F.col("first_annotation") + F.col("_rank")).alias("id"),
+            F.col("_number").alias("id"),
             F.col("_image").alias("image_id"),
             "category_id",
             F.col("polygon").alias("segmentation"),
@@ -98,7 +84,7 @@ def coco_triple(images: DataFrame, instances: DataFrame, name="canonical", origi
     annotations, the image stays. A repeated ``image_id`` is an error.
     """
     require_empty(duplicate_ids(images), "duplicate image_id", CorpusError)
-    ids = image_ids(images, instances)
+    ids = image_ids(images)
     categories = category_table(instances, name)
     return (
         image_table(images, ids, origin_prefix),
