@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # They must equal those of the corpora for equal results.
-TIMESTAMP_PREFIX = r"^(\d{8}_\d{6})"
+TIMESTAMP_PREFIX = r"(?s)^(\d{8}_\d{6}).*$"
 TIMESTAMP_SHAPE = r"^\d{8}_\d{6}$"
 TIMESTAMP_FORMATS = ("ddMMyyyy_HHmmss", "yyyyMMdd_HHmmss")
 THUMBNAIL_PREFIX = "Thumbnail"
@@ -34,21 +34,22 @@ def parent_dir(path) -> Column:
 
 def timestamp_group(file_name) -> Column:
     """Leading time stamp of a file name, else the whole name."""
-    name = _col(file_name)
-    return F.coalesce(F.nullif(F.regexp_extract(name, TIMESTAMP_PREFIX, 1), F.lit("")), name)
+    return F.regexp_replace(_col(file_name), TIMESTAMP_PREFIX, "$1")
 
 
-def group_time(group_id) -> Column:
-    """Device clock of a time-stamped id, day-first form before year-first.
+def group_micros(group_id) -> Column:
+    """Device clock of a time-stamped id in microseconds since 1970.
 
-    Null when neither form is a real date. The value carries no zone: it is
-    only ever compared with itself.
+    Day-first form before year-first, null when neither is a real date. The
+    clock has no zone and is only ever compared with itself, so it is read as
+    UTC whatever the session zone.
     """
     gid = _col(group_id)
+    stamped = F.concat(gid, F.lit("Z"))
     parsed = F.coalesce(
-        *[F.try_to_timestamp(gid, F.lit(fmt)) for fmt in TIMESTAMP_FORMATS]
-    ).cast("timestamp_ntz")
-    return F.when(gid.rlike(TIMESTAMP_SHAPE), parsed)
+        *[F.try_to_timestamp(stamped, F.lit(f"{fmt}X")) for fmt in TIMESTAMP_FORMATS]
+    )
+    return F.when(gid.rlike(TIMESTAMP_SHAPE), F.unix_micros(parsed))
 
 
 def seeded_hash(seed, key) -> Column:

@@ -219,19 +219,19 @@ def run_grid(specs: DataFrame, density=False) -> DataFrame:
     return grid.withColumn("run", run_key("point", "seed"))
 
 
-def pending_runs(grid: DataFrame, finished: DataFrame, force=False) -> DataFrame:
+def pending_runs(grid: DataFrame, finished: DataFrame, force=False, on=("run",)) -> DataFrame:
     """Planned runs without a result yet; ``force`` plans them all again."""
     if force:
         return grid
-    return grid.join(finished.select("run"), "run", "left_anti")
+    return grid.join(finished.select(*on), list(on), "left_anti")
 
 
-def grid_status(grid: DataFrame, finished: DataFrame, force=False) -> DataFrame:
+def grid_status(grid: DataFrame, finished: DataFrame, force=False, on=("run",)) -> DataFrame:
     """The whole grid with ``status`` skipped or planned."""
-    done = finished.select("run").distinct().withColumn("_done", F.lit(True))
+    done = finished.select(*on).distinct().withColumn("_done", F.lit(True))
     skip = F.coalesce("_done", F.lit(False)) & F.lit(not force)
     return (
-        grid.join(done, "run", "left")
+        grid.join(done, list(on), "left")
         .withColumn("status", F.when(skip, "skipped").otherwise("planned"))
         .drop("_done")
     )

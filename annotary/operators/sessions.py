@@ -11,8 +11,9 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from annotary.functions.naming import THUMBNAIL_PREFIX, basename, group_time
+from annotary.functions.naming import THUMBNAIL_PREFIX, basename, group_micros
 from annotary.session import pinned
 
 # Fixed value: time stamps at most this far apart belong to one session.
@@ -29,8 +30,8 @@ def session_heads(stamped: DataFrame, keys=(), gap_seconds=SESSION_GAP_SECONDS)
     gap = int(round(gap_seconds * 1_000_000))
     width = max(gap, 1)
     buckets = pinned(
-        stamped.select(*keys, "id", _micros("ts").alias("us"))
-        .withColumn("bucket", _floor_div(F.col("us"), width))
+        stamped.select(*keys, "id", _clock(stamped, "ts").alias("us"))
+        .withColumn("bucket", _div(F.col("us"), width))
         .groupBy(*keys, "bucket")
         .agg(
             F.min("us").alias("first_us"),
@@ -51,7 +52,7 @@ def session_heads(stamped: DataFrame, keys=(), gap_seconds=SESSION_GAP_SECONDS)
     flagged = buckets.join(previous, [*keys, "bucket"], "left").select(
         *keys,
         "bucket",
-        _floor_div(F.col("bucket"), era_width).alias("era"),
+        _div(F.col("bucket"), era_width).alias("era"),
         F.when(
             F.col("previous_us").isNull() | (F.col("first_us") - F.col("previous_us") > gap),
             F.col("opener"),
@@ -89,7 +90,7 @@ def merge_sessions(df: DataFrame, id_col, ts_col, keys=(), gap_seconds=SESSION_G
         gap_seconds,
     )
     merged = (
-        timed.withColumn("bucket", _floor_div(_micros(ts_col), width))
+        timed.withColumn("bucket", _div(_clock(df, ts_col), width))
         .join(heads, [*keys, "bucket"])
         .select(*df.columns, "session_id")
     )
@@ -99,7 +100,7 @@ def merge_sessions(df: DataFrame, id_col, ts_col, keys=(), gap_seconds=SESSION_G
 
 def merge_session_groups(records: DataFrame, gap_seconds=SESSION_GAP_SECONDS) -> DataFrame:
     """Replace time-stamped ``group_id`` values by their session's first id."""
-    stamped = records.withColumn("_ts", group_time("group_id"))
+    stamped = records.withColumn("_ts", group_micros("group_id"))
     merged = merge_sessions(stamped, "group_id", "_ts", gap_seconds=gap_seconds)
     return merged.withColumn("group_id", F.col("session_id")).select(*records.columns)
 
@@ -130,17 +131,24 @@ def link_thumbnails(records: DataFrame, load_order="image_id") -> DataFrame:
     return named.filter(~is_thumb).select(*records.columns).unionByName(linked)
 
 
-def _micros(ts):
-    """Microseconds since 1970 on the naive clock; no session zone enters."""
-    clock = (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
+# 0001-01-01 in microseconds: clocks count from there, so none is negative.
+_ORIGIN = -62_135_596_800_000_000
+
+
+def _clock(df: DataFrame, ts):
+    """Microseconds on the naive clock of a time stamp, or of whole
+    microseconds since 1970; no session zone enters."""
+    if isinstance(df.schema[ts].dataType, T.LongType):
+        return F.col(ts) - _ORIGIN
+    clock = F.col(ts).cast("timestamp_ntz")
     return (
         F.unix_date(F.to_date(clock)).cast("long") * 86_400_000_000
         + F.hour(clock).cast("long") * 3_600_000_000
         + F.minute(clock).cast("long") * 60_000_000
         + (F.date_part(F.lit("SECOND"), clock) * 1_000_000).cast("long")
+        - _ORIGIN
     )
 
 
-def _floor_div(value, width):
-    """Floor division of whole numbers, exact because the remainder goes first."""
-    return ((value - F.pmod(value, F.lit(width))) / F.lit(width)).cast("long")
+def _div(value, width):
+    return F.call_function("div", value, F.lit(width))
