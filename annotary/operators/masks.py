@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annotary.functions import geometry as g
-from annotary.session import pinned
+from annotary.session import broadcast_if_small, pinned
 
 TILE = 512
+MAX_IMAGE_EDGES = 100_000
 _SPANS = "array<struct<x0:int,x1:int>>"
 _ROW_BITS = 31  # a pixel id is y * 2^31 + x: ids order like a raster scan
 
@@ -139,13 +140,12 @@ def letterbox_runs(runs: DataFrame, size: int) -> DataFrame:
         .withColumn("_y0", y0)
         .withColumn("_y1", F.least(y1, new_h))
         .filter((F.col("_x0") < F.col("_x1")) & (F.col("_y0") < F.col("_y1")))
+        .withColumn("_y", F.explode(F.sequence(F.col("_y0"), F.col("_y1") - 1)))
         .select(
             "image_id",
             "class",
             "instance_id",
-            (F.explode(F.sequence(F.col("_y0"), F.col("_y1") - 1)) + F.col("_box.top"))
-            .cast("int")
-            .alias("y"),
+            (F.col("_y") + F.col("_box.top")).cast("int").alias("y"),
             (F.col("_x0") + F.col("_box.left")).cast("int").alias("x0"),
             (F.col("_x1") + F.col("_box.left")).cast("int").alias("x1"),
         )
@@ -159,32 +159,70 @@ def _ceil_div(top, bottom):
 # -- connected components ------------------------------------------------------
 
 
-def components(runs: DataFrame, tile: int = TILE) -> DataFrame:
+def components(runs: DataFrame, tile: int = TILE, max_image_edges: int = MAX_IMAGE_EDGES) -> DataFrame:
     """8-connected components per (image, class): runs plus ``component``.
 
     The component id is its first pixel in raster order, ``y * 2^31 + x``,
     whatever the tile size. Images are cut into tiles, so one huge image is
     many small tasks; each tile is labelled on its own, and the few labels
-    that meet across tile borders are united by distributed star contraction.
+    that meet across tile borders are united afterwards: within one task for
+    an image with few such meetings, by distributed star contraction else.
     """
     cut = _cut_into_tiles(runs.select("image_id", "class", "y", "x0", "x1"), tile)
     labelled = pinned(
-        cut.groupBy("image_id", "class", "ty", "tx").applyInPandas(
-            _label_tile,
+        _map_whole_keys(
+            cut,
+            ["image_id", "class", "ty", "tx"],
+            ["y", "x0"],
+            _label_tiles,
             "image_id string, class int, ty int, tx int, y int, x0 int, x1 int, label long",
         )
     )
     edges = pinned(_border_edges(labelled, tile))
-    if not edges.take(1):
-        return labelled.select(
-            "image_id", "class", "y", "x0", "x1", F.col("label").alias("component")
-        )
-    roots = star_contract(edges, ["image_id", "class"])
+    image = ["image_id", "class"]
+    large = pinned(
+        edges.groupBy(*image)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > max_image_edges)
+        .select(*image)
+    )
+    crowded = bool(large.take(1))
+    few = edges.join(broadcast_if_small(large), image, "left_anti") if crowded else edges
+    roots = _map_whole_keys(
+        few, image, ["a", "b"], _unite_labels, "image_id string, class int, node long, root long"
+    )
+    if crowded:
+        many = edges.join(broadcast_if_small(large), image, "left_semi")
+        roots = roots.unionByName(star_contract(many, image))
+    return labelled.join(
+        roots.withColumnRenamed("node", "label"), [*image, "label"], "left"
+    ).select(*image, "y", "x0", "x1", F.coalesce("root", "label").alias("component"))
+
+
+def _map_whole_keys(df: DataFrame, keys, order, fn, schema) -> DataFrame:
+    """Apply ``fn`` to sorted Arrow batches that never cut a key in two.
+
+    Cheaper than one call per key where keys are many and small. At most one
+    batch and one key are held, and callers bound the size of a key.
+    """
+
+    def batches(source):
+        held = None
+        for batch in source:
+            if held is not None:
+                batch = pd.concat([held, batch], ignore_index=True)
+            if batch.empty:
+                continue
+            same = (batch[keys] == batch[keys].iloc[-1]).all(axis=1).to_numpy()
+            start = int(np.argmax(same))
+            held = batch.iloc[start:]
+            if start:
+                yield fn(batch.iloc[:start])
+        if held is not None:
+            yield fn(held)
+
     return (
-        labelled.join(
-            roots.withColumnRenamed("node", "label"), ["image_id", "class", "label"], "left"
-        )
-        .select("image_id", "class", "y", "x0", "x1", F.coalesce("root", "label").alias("component"))
+        df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(batches, schema)
     )
 
 
@@ -206,41 +244,76 @@ def _cut_into_tiles(runs: DataFrame, tile: int) -> DataFrame:
     )
 
 
-def _label_tile(tile: pd.DataFrame) -> pd.DataFrame:
-    """Union-find over the runs of one tile, row against row above."""
-    tile = tile.sort_values(["y", "x0"], ignore_index=True)
-    ys, x0s, x1s = (tile[c].to_numpy() for c in ("y", "x0", "x1"))
-    parent = np.arange(len(tile))
-
-    def find(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    starts = np.flatnonzero(np.r_[True, ys[1:] != ys[:-1]])
-    ends = np.r_[starts[1:], len(ys)]
+def _find(parent, i):
+    while parent[i] != i:
+        parent[i] = parent[parent[i]]
+        i = parent[i]
+    return i
+
+
+def _group_starts(*columns):
+    """Index of the first row of every run of equal rows."""
+    fresh = np.zeros(len(columns[0]), dtype=bool)
+    fresh[0] = True
+    for column in columns:
+        fresh[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(fresh)
+
+
+def _label_tiles(tiles: pd.DataFrame) -> pd.DataFrame:
+    """Union-find over the runs of whole tiles, each row against the one above."""
+    keys = [tiles[c].to_numpy() for c in ("image_id", "class", "ty", "tx")]
+    ys, x0s, x1s = (tiles[c].to_numpy() for c in ("y", "x0", "x1"))
+    tile_no = np.zeros(len(tiles), dtype=np.int64)
+    tile_no[_group_starts(*keys)[1:]] = 1
+    tile_no = tile_no.cumsum()
+    starts = _group_starts(tile_no, ys)
+    ends = np.append(starts[1:], len(ys))
+    follows = np.append(
+        False, (tile_no[starts[1:]] == tile_no[starts[:-1]]) & (ys[starts[1:]] == ys[starts[:-1]] + 1)
+    )
+    left, right = x0s.tolist(), x1s.tolist()
+    parent = list(range(len(tiles)))
     above = (0, 0)
-    for k, (lo, hi) in enumerate(zip(starts, ends)):
+    for lo, hi, adjacent in zip(starts.tolist(), ends.tolist(), follows.tolist()):
         for i in range(lo + 1, hi):
-            if x0s[i] <= x1s[i - 1]:
-                parent[find(i)] = find(i - 1)
-        if k and ys[starts[k - 1]] == ys[lo] - 1:
+            if left[i] <= right[i - 1]:
+                parent[i] = _find(parent, i - 1)
+        if adjacent:
             i, j = above[0], lo
             while i < above[1] and j < hi:
-                if x0s[i] <= x1s[j] and x0s[j] <= x1s[i]:  # a shared corner counts
-                    a, b = find(i), find(j)
+                if left[i] <= right[j] and left[j] <= right[i]:  # a shared corner counts
+                    a, b = _find(parent, i), _find(parent, j)
                     parent[max(a, b)] = min(a, b)
-                if x1s[i] < x1s[j]:
+                if right[i] < right[j]:
                     i += 1
                 else:
                     j += 1
         above = (lo, hi)
-    roots = np.array([find(i) for i in range(len(tile))], dtype=np.int64)
-    # The first run of a component in raster order names it.
-    first = pd.Series(np.arange(len(tile))).groupby(roots).transform("min").to_numpy()
-    tile["label"] = (ys[first].astype(np.int64) << _ROW_BITS) + x0s[first]
-    return tile[["image_id", "class", "ty", "tx", "y", "x0", "x1", "label"]]
+    # The smaller index always becomes the root, so it is the first in raster order.
+    roots = np.array([_find(parent, i) for i in range(len(tiles))], dtype=np.int64)
+    return tiles.assign(label=(ys[roots].astype(np.int64) << _ROW_BITS) + x0s[roots])
+
+
+def _unite_labels(edges: pd.DataFrame) -> pd.DataFrame:
+    """Smallest connected label of every label, for the edges of whole images."""
+    images = [edges[c].to_numpy() for c in ("image_id", "class")]
+    starts = _group_starts(*images)
+    out = []
+    for lo, hi in zip(starts, np.append(starts[1:], len(edges))):
+        a, b = edges["a"].to_numpy()[lo:hi], edges["b"].to_numpy()[lo:hi]
+        nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        parent = list(range(len(nodes)))
+        for i, j in zip(place[: hi - lo].tolist(), place[hi - lo :].tolist()):
+            i, j = _find(parent, i), _find(parent, j)
+            parent[max(i, j)] = min(i, j)
+        root = nodes[[_find(parent, i) for i in range(len(nodes))]]
+        out.append(
+            pd.DataFrame(
+                {"image_id": images[0][lo], "class": images[1][lo], "node": nodes, "root": root}
+            )
+        )
+    return pd.concat(out, ignore_index=True)
 
 
 def _border_edges(labelled: DataFrame, tile: int) -> DataFrame:
