@@ -44,21 +44,27 @@ def flatten_points(points) -> Column:
     return F.transform(F.flatten(_col(points)), lambda v: v.cast("double"))
 
 
+def let(value, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def ring_area(ring) -> Column:
     """Absolute shoelace area; 0 below three points."""
     ring = _col(ring)
-    n = n_points(ring)
+    n = F.size(ring)
 
     def cross(acc, i):
-        following = (i + 1) % n
-        x, y = F.get(ring, 2 * i), F.get(ring, 2 * i + 1)
-        x_next, y_next = F.get(ring, 2 * following), F.get(ring, 2 * following + 1)
-        return acc + x * y_next - x_next * y
+        x, y = F.get(ring, i), F.get(ring, i + 1)
+        x_next, y_next = F.get(ring, (i + 2) % (n - n % 2)), F.get(ring, (i + 3) % (n - n % 2))
+        return acc + (x * y_next - x_next * y)
 
-    # The guard also keeps sequence(0, -1) from counting downwards.
+    # From the second point on the ring is walked as it is stored; the closing
+    # edge back to the first point comes last. Short rings are never walked:
+    # sequence(0, -2) would count downwards.
     return F.when(
-        n >= 3,
-        F.abs(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(_ZERO), cross)) / 2,
+        n >= 6,
+        F.abs(F.aggregate(F.sequence(F.lit(0), n - n % 2 - 2, F.lit(2)), F.lit(_ZERO), cross)) / 2,
     ).otherwise(F.lit(_ZERO))
 
 
@@ -77,16 +83,37 @@ def ring_ys(ring) -> Column:
     return F.filter(_col(ring), lambda v, i: i % 2 == 1)
 
 
+def extent(ring) -> Column:
+    """``struct(x0, y0, x1, y1)``: the coordinate ranges of a ring."""
+    split = F.struct(ring_xs(ring).alias("xs"), ring_ys(ring).alias("ys"))
+    return let(
+        split,
+        lambda s: F.struct(
+            F.array_min(s["xs"]).alias("x0"),
+            F.array_min(s["ys"]).alias("y0"),
+            F.array_max(s["xs"]).alias("x1"),
+            F.array_max(s["ys"]).alias("y1"),
+        ),
+    )
+
+
+def extent_bbox(box) -> Column:
+    box = _col(box)
+    return F.array(box["x0"], box["y0"], box["x1"] - box["x0"], box["y1"] - box["y0"])
+
+
 def ring_bbox(ring) -> Column:
     """``[x, y, width, height]`` of one ring."""
-    xs, ys = ring_xs(ring), ring_ys(ring)
-    left, top = F.array_min(xs), F.array_min(ys)
-    return F.array(left, top, F.array_max(xs) - left, F.array_max(ys) - top)
+    return let(extent(ring), extent_bbox)
+
+
+def rings_extent(rings) -> Column:
+    """Coordinate ranges over all rings (each of even length)."""
+    return extent(F.flatten(_col(rings)))
 
 
 def rings_bbox(rings) -> Column:
-    """``[x, y, width, height]`` over all rings (each of even length)."""
-    return ring_bbox(F.flatten(_col(rings)))
+    return let(rings_extent(rings), extent_bbox)
 
 
 def is_degenerate(ring) -> Column:
@@ -105,17 +132,21 @@ def readable_rings(rings) -> Column:
     return F.filter(_col(rings), lambda ring: F.size(ring) >= 6)
 
 
+def extent_out_of_frame(box, width, height) -> Column:
+    """No part of an extent touches the frame; unknown sizes never match."""
+    box, width, height = _col(box), _col(width), _col(height)
+    outside = (box["x0"] >= width) | (box["y0"] >= height) | (box["x1"] <= 0) | (box["y1"] <= 0)
+    return F.coalesce(width.isNotNull() & height.isNotNull() & outside, F.lit(False))
+
+
 def is_out_of_frame(ring, width, height) -> Column:
-    """No part of the ring touches the frame; unknown sizes never match."""
-    xs, ys = ring_xs(ring), ring_ys(ring)
-    outside = (
-        (F.array_min(xs) >= _col(width))
-        | (F.array_min(ys) >= _col(height))
-        | (F.array_max(xs) <= 0)
-        | (F.array_max(ys) <= 0)
-    )
-    known = _col(width).isNotNull() & _col(height).isNotNull()
-    return known & outside
+    return let(extent(ring), lambda box: extent_out_of_frame(box, width, height))
+
+
+def measured(ring) -> Column:
+    """``struct(ring, area, extent)`` of a ring, the inputs of all the tests."""
+    ring = _col(ring)
+    return F.struct(ring.alias("ring"), ring_area(ring).alias("area"), extent(ring).alias("extent"))
 
 
 def letterbox(width, height, size) -> Column:

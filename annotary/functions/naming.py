@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 # They must equal those of the corpora for equal results.
 TIMESTAMP_PREFIX = r"(?s)^(\d{8}_\d{6}).*$"
-TIMESTAMP_SHAPE = r"^\d{8}_\d{6}$"
 TIMESTAMP_FORMATS = ("ddMMyyyy_HHmmss", "yyyyMMdd_HHmmss")
 THUMBNAIL_PREFIX = "Thumbnail"
 
@@ -37,6 +36,12 @@ def timestamp_group(file_name) -> Column:
     return F.regexp_replace(_col(file_name), TIMESTAMP_PREFIX, "$1")
 
 
+# What a date of each format can look like: parsing is only tried on these,
+# since a failed parse costs far more than a pattern.
+_DAY, _MONTH, _CLOCK = r"(0[1-9]|[12]\d|3[01])", r"(0[1-9]|1[0-2])", r"_([01]\d|2[0-3])[0-5]\d[0-5]\d$"
+_DATE_SHAPES = (rf"^{_DAY}{_MONTH}\d{{4}}{_CLOCK}", rf"^\d{{4}}{_MONTH}{_DAY}{_CLOCK}")
+
+
 def group_micros(group_id) -> Column:
     """Device clock of a time-stamped id in microseconds since 1970.
 
@@ -46,10 +51,12 @@ def group_micros(group_id) -> Column:
     """
     gid = _col(group_id)
     stamped = F.concat(gid, F.lit("Z"))
-    parsed = F.coalesce(
-        *[F.try_to_timestamp(stamped, F.lit(f"{fmt}X")) for fmt in TIMESTAMP_FORMATS]
+    return F.coalesce(
+        *[
+            F.when(gid.rlike(shape), F.unix_micros(F.try_to_timestamp(stamped, F.lit(f"{fmt}X"))))
+            for fmt, shape in zip(TIMESTAMP_FORMATS, _DATE_SHAPES)
+        ]
     )
-    return F.when(gid.rlike(TIMESTAMP_SHAPE), F.unix_micros(parsed))
 
 
 def seeded_hash(seed, key) -> Column:

@@ -1,4 +1,11 @@
-"""Class-score arithmetic on one row's array of logits or probabilities."""
+"""Class-score arithmetic on one row's array of logits or probabilities.
+
+With ``n_classes`` known the arithmetic is written out per class, which keeps
+it inside generated code; without, it falls back to array functions.
+"""
+
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -8,7 +15,22 @@ def _col(value):
     return F.col(value) if isinstance(value, str) else value
 
 
-def softmax(logits) -> Column:
+def _items(scores, n_classes):
+    scores = _col(scores)
+    return [F.get(scores, c).cast("double") for c in range(n_classes)]
+
+
+def _largest(items):
+    return F.greatest(*items) if len(items) > 1 else items[0]
+
+
+def softmax(logits, n_classes=None) -> Column:
+    if n_classes is not None:
+        items = _items(logits, n_classes)
+        top = _largest(items)
+        exps = [F.exp(v - top) for v in items]
+        total = reduce(add, exps)
+        return F.array(*[e / total for e in exps])
     logits = F.transform(_col(logits), lambda v: v.cast("double"))
     top = F.array_max(logits)
     exps = F.transform(logits, lambda v: F.exp(v - top))
@@ -16,27 +38,36 @@ def softmax(logits) -> Column:
     return F.transform(exps, lambda v: v / total)
 
 
-def argmax(scores) -> Column:
+def argmax(scores, n_classes=None) -> Column:
     """Index of the largest score; the first one wins a tie."""
+    if n_classes is not None:
+        items = _items(scores, n_classes)
+        top = _largest(items)
+        chosen = F.lit(n_classes - 1)
+        for c in reversed(range(n_classes - 1)):
+            chosen = F.when(items[c] == top, c).otherwise(chosen)
+        return F.when(top.isNotNull(), chosen).cast("int")
     scores = _col(scores)
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
-def confidence(probs) -> Column:
+def confidence(probs, n_classes=None) -> Column:
+    if n_classes is not None:
+        return _largest(_items(probs, n_classes))
     return F.array_max(_col(probs))
 
 
-def squared_error(probs, target) -> Column:
+def squared_error(probs, target, n_classes=None) -> Column:
     """Multiclass Brier term: sum over classes of (p - 1[class = target])^2."""
     target = _col(target)
-    return F.aggregate(
-        F.transform(
-            _col(probs),
-            lambda p, c: F.pow(p - F.when(c == target, 1.0).otherwise(0.0), F.lit(2.0)),
-        ),
-        F.lit(0.0),
-        lambda acc, v: acc + v,
-    )
+
+    def term(p, c):
+        off = p - F.when(target == c, 1.0).otherwise(0.0)
+        return off * off
+
+    if n_classes is not None:
+        return reduce(add, [term(p, c) for c, p in enumerate(_items(probs, n_classes))])
+    return F.aggregate(F.transform(_col(probs), term), F.lit(0.0), lambda acc, v: acc + v)
 
 
 def cross_entropy(probs, target) -> Column:

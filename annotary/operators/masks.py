@@ -13,6 +13,7 @@ from annotary.functions import geometry as g
 from annotary.session import broadcast_if_small, pinned
 
 TILE = 512
+CELL_BITS = 32
 MAX_IMAGE_EDGES = 100_000
 _SPANS = "array<struct<x0:int,x1:int>>"
 _ROW_BITS = 31  # a pixel id is y * 2^31 + x: ids order like a raster scan
@@ -21,86 +22,182 @@ _ROW_BITS = 31  # a pixel id is y * 2^31 + x: ids order like a raster scan
 def polygon_runs(instances: DataFrame) -> DataFrame:
     """Fill ``polygon`` (rings, united) inside ``width`` x ``height``.
 
-    Pixel-centre scanlines with the even-odd rule per ring. One row per
-    scanline is generated next to its polygon, then crossings, spans and their
-    union are array expressions of that row, so nothing is shuffled.
+    Pixel-centre scanlines with the even-odd rule per ring. Every edge lists
+    the scanlines it crosses; sorted by (row, x), two consecutive crossings of
+    a ring bound one span. All of it happens inside the polygon's own row, in
+    proportion to the crossings, and nothing is shuffled. Only instances of
+    several rings, which may overlap, have their spans united afterwards.
     """
-    ys = F.flatten(F.transform("polygon", g.ring_ys))
-    # A centre y + 0.5 is crossed only between ceil(min - 0.5) and ceil(max - 0.5) - 1.
-    first = F.greatest(F.lit(0), F.ceil(F.array_min(ys) - 0.5).cast("int"))
-    last = F.least(F.col("height"), F.ceil(F.array_max(ys) - 0.5).cast("int")) - 1
-    lines = (
-        instances.withColumn("_first", first)
-        .withColumn("_last", last)
-        .filter(F.col("_first") <= F.col("_last"))
+    spans = F.transform(F.filter("polygon", lambda r: F.size(r) >= 6), _ring_spans)
+    found = (
+        instances.withColumn("_several", F.size("polygon") > 1)
+        .withColumn("span", F.explode(F.flatten(spans)))
         .select(
             "image_id",
             "class",
             "instance_id",
-            "polygon",
-            "width",
-            F.explode(F.sequence("_first", "_last")).alias("y"),
+            "_several",
+            F.col("span.y").alias("y"),
+            F.greatest(F.lit(0), "span.x0").alias("x0"),
+            F.least("width", "span.x1").alias("x1"),
+            "height",
         )
+        .filter((F.col("y") >= 0) & (F.col("y") < F.col("height")) & (F.col("x0") < F.col("x1")))
+        .drop("height")
     )
-    centre = F.col("y") + F.lit(0.5)
+    single = found.filter(~F.col("_several")).drop("_several")
+    return single.unionByName(_disjoint(found.filter("_several").drop("_several")))
 
-    def spans(ring):
-        n = g.n_points(ring)
 
-        def crossing(i):
-            j = (i + 1) % n
-            x1, y1 = F.get(ring, 2 * i), F.get(ring, 2 * i + 1)
-            x2, y2 = F.get(ring, 2 * j), F.get(ring, 2 * j + 1)
-            straddles = (y1 <= centre) != (y2 <= centre)
-            return F.when(straddles, x1 + (centre - y1) * (x2 - x1) / (y2 - y1))
+def _ring_spans(ring):
+    """Spans ``(y, x0, x1)`` of one ring, before clipping to a frame."""
+    n = g.n_points(ring)
 
-        xs = F.array_sort(
-            F.filter(
-                F.transform(F.sequence(F.lit(0), n - 1), crossing), lambda x: x.isNotNull()
-            )
-        )
-        cuts = F.transform(
-            xs, lambda x: F.least(F.col("width"), F.greatest(F.lit(0), F.ceil(x - 0.5).cast("int")))
+    def crossings(i):
+        j = (i + 1) % n
+        edge = F.struct(
+            F.get(ring, 2 * i).alias("x1"),
+            F.get(ring, 2 * i + 1).alias("y1"),
+            F.get(ring, 2 * j).alias("x2"),
+            F.get(ring, 2 * j + 1).alias("y2"),
         )
-        half = F.floor(F.size(cuts) / 2).cast("int")
+        return g.let(edge, _edge_crossings)
+
+    ordered = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), crossings)))
+
+    def pair_up(cuts):
         pairs = F.transform(
-            F.when(half > 0, F.sequence(F.lit(0), half - 1)).otherwise(F.expr("array()").cast("array<int>")),
-            lambda k: F.struct(F.get(cuts, 2 * k).alias("x0"), F.get(cuts, 2 * k + 1).alias("x1")),
+            F.sequence(F.lit(0), F.size(cuts) - 2, F.lit(2)),
+            lambda k: F.struct(
+                F.get(cuts, k)["y"].alias("y"),
+                F.ceil(F.get(cuts, k)["x"] - 0.5).cast("int").alias("x0"),
+                F.ceil(F.get(cuts, k + 1)["x"] - 0.5).cast("int").alias("x1"),
+            ),
         )
-        return F.filter(pairs, lambda s: s["x0"] < s["x1"])
+        return F.when(F.size(cuts) >= 2, pairs).otherwise(F.expr("array()"))
+
+    return g.let(ordered, pair_up)
+
+
+def _edge_crossings(e):
+    """``(y, x)`` where an edge passes the centre line y + 0.5 of a row."""
+    low, high = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
+    first = F.ceil(low - 0.5).cast("int")
+    last = F.ceil(high - 0.5).cast("int") - 1
+    return F.when(
+        first <= last,
+        F.transform(
+            F.sequence(first, last),
+            lambda y: F.struct(
+                y.alias("y"),
+                (e["x1"] + (y + F.lit(0.5) - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])).alias("x"),
+            ),
+        ),
+    ).otherwise(F.expr("array()"))
 
-    def unite(acc, span):
-        tail = F.get(acc, F.size(acc) - 1)
-        widened = F.struct(
-            tail["x0"].alias("x0"), F.greatest(tail["x1"], span["x1"]).alias("x1")
-        )
-        touches = (F.size(acc) > 0) & (span["x0"] <= tail["x1"])
-        return F.when(
-            touches, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(widened))
-        ).otherwise(F.concat(acc, F.array(span)))
 
-    rings = F.filter("polygon", lambda r: F.size(r) >= 6)
-    all_spans = F.array_sort(F.flatten(F.transform(rings, spans))).cast(_SPANS)
-    united = F.aggregate(all_spans, F.expr("array()").cast(_SPANS), unite)
-    return lines.select(
-        "image_id", "class", "instance_id", "y", F.explode(united).alias("span")
-    ).select("image_id", "class", "instance_id", "y", "span.x0", "span.x1")
+def _disjoint(runs: DataFrame) -> DataFrame:
+    """Cut each run where earlier runs of the same instance row already reach."""
+    line = Window.partitionBy("image_id", "class", "instance_id", "y").orderBy("x0", "x1")
+    reached = F.max("x1").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        runs.withColumn("_reached", reached)
+        .withColumn("x0", F.greatest("x0", "_reached"))
+        .filter(F.col("x0") < F.col("x1"))
+        .drop("_reached")
+    )
 
 
 def run_pixels(runs: DataFrame) -> DataFrame:
     return runs.withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1))).drop("x0", "x1")
 
 
-def merge_masks(runs: DataFrame, priority=("category_id", "ann_id")) -> DataFrame:
-    """One class per pixel: the highest ``priority`` wins an overlap.
+def merge_masks(runs: DataFrame, priority="category_id") -> DataFrame:
+    """One class per pixel: the highest category wins an overlap.
+
+    Runs become bit masks of 32-pixel cells. Masks of the same category unite
+    by ``bit_or``, combined map-side, so neither pixels nor instances are ever
+    listed; per cell the categories, at most the class vocabulary, then hide
+    each other from the highest down. Instances of one category have one
+    class, so which of them lies on top makes no difference.
+    """
+    cells = _with_bits(runs).groupBy("image_id", "y", "cell", priority, "class").agg(
+        F.bit_or("bits").alias("bits")
+    )
+    cell = Window.partitionBy("image_id", "y", "cell")
+    above = F.bit_or("bits").over(
+        cell.orderBy(F.col(priority).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    visible = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce(above, F.lit(0).cast("long"))))
+    shown = (
+        cells.withColumn("bits", visible)
+        .filter(F.col("bits") != 0)
+        .groupBy("image_id", "y", "cell", "class")
+        .agg(F.bit_or("bits").alias("bits"))
+    )
+    return _maximal(
+        shown.withColumn("_run", F.explode(_bit_runs(F.col("bits")))).select(
+            "image_id",
+            "class",
+            "y",
+            (F.col("cell") * CELL_BITS + F.col("_run.x0")).alias("x0"),
+            (F.col("cell") * CELL_BITS + F.col("_run.x1")).alias("x1"),
+        )
+    )
+
+
+def _with_bits(runs: DataFrame) -> DataFrame:
+    """Runs as ``(cell, bits)``: bit k stands for pixel cell * 32 + k."""
+    cell = F.explode(
+        F.sequence(
+            F.floor(F.col("x0") / CELL_BITS).cast("int"),
+            F.floor((F.col("x1") - 1) / CELL_BITS).cast("int"),
+        )
+    )
+
+    def ones(n):  # the n lowest bits, n from 0 to 32
+        return F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1
+
+    start = F.greatest(F.lit(0), F.col("x0") - F.col("cell") * CELL_BITS)
+    stop = F.least(F.lit(CELL_BITS), F.col("x1") - F.col("cell") * CELL_BITS)
+    return runs.withColumn("cell", cell).withColumn("bits", ones(stop) - ones(start)).drop("x0", "x1")
 
-    The winner is a plain ``max`` per pixel, combined map-side, so an image
-    crowded with instances needs no sort and no collected group. Equal
-    neighbours are then folded into runs again, row by row.
+
+def _bit_runs(bits):
+    """Runs of ones of a 32-bit mask, lowest first.
+
+    Adding the lowest one-bit carries through the run it starts, which shows
+    where that run ends; what the sum leaves standing is the rest.
     """
-    winner = F.max(F.struct(*priority, "class"))["class"]
-    pixels = run_pixels(runs).groupBy("image_id", "y", "x").agg(winner.alias("class"))
-    return pixels_to_runs(pixels, ["image_id", "class"])
+    runs = F.bit_count(bits.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", bits, F.lit(1)))))
+
+    def place(one_bit):
+        return F.bit_count(one_bit - 1)
+
+    def peel(state, _):
+        low = state["m"].bitwiseAND(-state["m"])
+        carried = state["m"] + low
+        end = carried.bitwiseAND(-carried)
+        run = F.struct(place(low).cast("int").alias("x0"), place(end).cast("int").alias("x1"))
+        return F.struct(
+            state["m"].bitwiseAND(carried).alias("m"), F.array_append(state["runs"], run).alias("runs")
+        )
+
+    start = F.struct(bits.alias("m"), F.expr("array()").cast(_SPANS).alias("runs"))
+    return F.aggregate(F.sequence(F.lit(1), runs), start, peel, lambda s: s["runs"])
+
+
+def _maximal(runs: DataFrame) -> DataFrame:
+    """Join runs of one class that touch, row by row (one image row per key)."""
+    line = Window.partitionBy("image_id", "y", "class").orderBy("x0")
+    fresh = F.coalesce(F.lag("x1").over(line) != F.col("x0"), F.lit(True))
+    return (
+        runs.withColumn("_fresh", fresh.cast("int"))
+        .withColumn("_run", F.sum("_fresh").over(line))
+        .groupBy("image_id", "class", "y", "_run")
+        .agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+        .drop("_run")
+    )
 
 
 def pixels_to_runs(pixels: DataFrame, keys) -> DataFrame:
@@ -397,7 +494,7 @@ def star_contract(edges: DataFrame, keys) -> DataFrame:
         previous = mark
 
 
-def predicted_instances(scored_pixels: DataFrame, tile: int = TILE):
+def predicted_instances(scored_pixels: DataFrame, tile: int = TILE, n_classes=None):
     """``(instances, runs)`` from scored pixels ``(image_id, y, x, probs)``.
 
     One instance per component of the argmax mask and positive class (not 0);
@@ -406,7 +503,8 @@ def predicted_instances(scored_pixels: DataFrame, tile: int = TILE):
     from annotary.functions import scoring
 
     classed = scored_pixels.select(
-        "image_id", "y", "x", scoring.argmax("probs").alias("class"), F.array_max("probs").alias("p")
+        "image_id", "y", "x", scoring.argmax("probs", n_classes).alias("class"),
+        scoring.confidence("probs", n_classes).alias("p"),
     ).filter(F.col("class") > 0)
     runs = (
         classed.select("image_id", "class", "y", F.col("x").alias("x0"))

@@ -62,7 +62,7 @@ def running_totals(df: DataFrame, order_by, sums=None, partition_by=(), position
         ],
     )
     # One row per range partition, plus one per key that starts inside one.
-    offsets = broadcast_if_small(pinned(offsets))
+    offsets = broadcast_if_small(offsets)
 
     local = laid
     for name, value in sums.items():

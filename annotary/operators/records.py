@@ -65,28 +65,38 @@ def clean_instances(instances: DataFrame) -> DataFrame:
     """Ring-by-ring cleaning with the counters that make it accountable.
 
     ``n_degenerate`` counts dropped rings, ``dropped`` marks instances of
-    which none is left. Nothing is removed here; see ``kept_instances``.
+    which none is left, ``extent`` keeps the coordinate ranges of the rest.
+    Nothing is removed here; see ``kept_instances``. Every ring is measured
+    once, in place.
     """
-    rings = F.coalesce("polygon", F.expr("array()"))
+    measured = F.transform(
+        F.coalesce("polygon", F.expr("array()")),
+        lambda r: F.struct(r.alias("ring"), g.ring_area(r).alias("area")),
+    )
+    good = F.filter(measured, lambda m: (F.size(m["ring"]) >= 6) & (m["area"] > 0))
     return (
-        instances.withColumn("_rings", g.clean_rings(rings))
-        .withColumn("n_degenerate", F.size(rings) - F.size("_rings"))
-        .withColumn("dropped", F.size("_rings") == 0)
-        .withColumn("polygon", F.col("_rings"))
-        .withColumn("bbox", g.rings_bbox("polygon"))
-        .withColumn("area", g.rings_area("polygon"))
-        .drop("_rings")
+        instances.withColumn("n_degenerate", F.coalesce(F.size("polygon"), F.lit(0)))
+        .withColumn("_good", good)
+        .withColumn("n_degenerate", F.col("n_degenerate") - F.size("_good"))
+        .withColumn("dropped", F.size("_good") == 0)
+        .withColumn("polygon", F.col("_good")["ring"])
+        .withColumn(
+            "area", F.aggregate(F.col("_good")["area"], F.lit(0.0), lambda acc, a: acc + a)
+        )
+        .withColumn("extent", g.rings_extent("polygon"))
+        .withColumn("bbox", g.extent_bbox("extent"))
+        .drop("_good")
     )
 
 
-def mark_out_of_frame(instances: DataFrame) -> DataFrame:
+def mark_out_of_frame(cleaned: DataFrame) -> DataFrame:
     """Mark instances wholly outside their frame; needs ``width``, ``height``."""
-    outside = g.is_out_of_frame(F.flatten("polygon"), "width", "height")
-    return instances.withColumn("dropped", F.col("dropped") | F.coalesce(outside, F.lit(False)))
+    outside = g.extent_out_of_frame("extent", "width", "height")
+    return cleaned.withColumn("dropped", F.col("dropped") | outside)
 
 
 def kept_instances(cleaned: DataFrame) -> DataFrame:
-    return cleaned.filter(~F.col("dropped")).drop("dropped", "n_degenerate")
+    return cleaned.filter(~F.col("dropped")).drop("dropped", "n_degenerate", "extent")
 
 
 def drop_counters(cleaned: DataFrame, by="source", holes=None) -> DataFrame:

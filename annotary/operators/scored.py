@@ -18,8 +18,8 @@ N_BINS = 15
 DICE_EPS = 1e-6
 
 
-def with_prediction(scored: DataFrame) -> DataFrame:
-    return scored.withColumn("pred", scoring.argmax("probs"))
+def with_prediction(scored: DataFrame, n_classes=None) -> DataFrame:
+    return scored.withColumn("pred", scoring.argmax("probs", n_classes))
 
 
 def _checked(col, n_classes):
@@ -97,19 +97,19 @@ def score_cube(scored: DataFrame, n_classes: int, n_bins: int = N_BINS) -> DataF
     if n_bins < 1:
         raise ValueError("n_bins must be at least 1")
     rows = (
-        with_prediction(scored)
+        with_prediction(scored, n_classes)
         .select(
             _checked("target", n_classes).alias("target"),
-            _checked("pred", n_classes).alias("pred"),
+            "pred",
             "probs",
-            scoring.confidence("probs").alias("conf"),
+            scoring.confidence("probs", n_classes).alias("conf"),
         )
         .withColumn("bin", scoring.confidence_bin("conf", n_bins))
     )
     return rows.groupBy("target", "pred", "bin").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("conf").alias("conf_sum"),
-        F.sum(scoring.squared_error("probs", "target")).alias("brier_sum"),
+        F.sum(scoring.squared_error("probs", "target", n_classes)).alias("brier_sum"),
         F.sum(scoring.cross_entropy("probs", "target")).alias("ce_sum"),
         *[F.sum(F.get("probs", c)).alias(f"p{c}") for c in range(n_classes)],
     )

@@ -217,9 +217,7 @@ SELECT image_id, class, CAST(y AS INTEGER) AS y, CAST(min(x) AS INTEGER) AS x0,
 FROM starts GROUP BY image_id, class, y, island""")
 def mask_merge(spark, sf_dir):
     """All rectangles of an image in one mask; the higher class id wins."""
-    runs = _runs(_rects(spark, sf_dir)).select(
-        "*", F.col("class").alias("category_id"), F.col("instance_id").alias("ann_id")
-    )
+    runs = _runs(_rects(spark, sf_dir)).withColumn("category_id", F.col("class"))
     return masks.merge_masks(runs).select("image_id", "class", "y", "x0", "x1")
 
 
@@ -325,7 +323,7 @@ def predicted_instances(spark, sf_dir):
         )
     )
     scores, _ = masks.predicted_instances(
-        logits.select("image_id", "y", "x", scoring.softmax("logits").alias("probs")), tile=32
+        logits.select("image_id", "y", "x", scoring.softmax("logits", 3).alias("probs")), tile=32, n_classes=3
     )
     return scores.select(
         "image_id", "class", F.col("instance_id").cast("long").alias("component"), "n_pixels",

@@ -50,7 +50,7 @@ def _scored_of(lines):
         F.col("l_discount") * F.lit(37.3) + F.lit(0.0173),
     )
     return lines.select(
-        (F.col("l_partkey") % K).cast("int").alias("target"), scoring.softmax(logits).alias("probs")
+        (F.col("l_partkey") % K).cast("int").alias("target"), scoring.softmax(logits, K).alias("probs")
     )
 
 
@@ -64,24 +64,24 @@ SELECT vec_id, round(a / (a + b + c), 6) AS p0, round(b / (a + b + c), 6) AS p1,
   CASE greatest(a, b, c) WHEN a THEN 0 WHEN b THEN 1 ELSE 2 END AS pred FROM x""")
 def softmax_scores(spark, sf_dir):
     probs = standin.table(spark, sf_dir, "embeddings").select(
-        "vec_id", scoring.softmax(F.slice("embedding", 1, 3)).alias("p")
+        "vec_id", scoring.softmax("embedding", K).alias("p")
     )
     return probs.select(
         "vec_id",
         *[F.round(F.get("p", k), 6).alias(f"p{k}") for k in range(K)],
-        scoring.argmax("p").alias("pred"),
+        scoring.argmax("p", K).alias("pred"),
     )
 
 
 @query(f"WITH {_SCORED} SELECT target, pred, n FROM confusion")
 def confusion(spark, sf_dir):
-    return m.confusion(m.with_prediction(scored_lines(spark, sf_dir)), K)
+    return m.confusion(m.with_prediction(scored_lines(spark, sf_dir), K), K)
 
 
 @query(f"""WITH {_SCORED}
 SELECT class, tp, fp, fn, round(iou, 6) AS iou, round(dice, 6) AS dice FROM scores""")
 def iou_dice(spark, sf_dir):
-    scores = m.class_scores(m.confusion(m.with_prediction(scored_lines(spark, sf_dir)), K))
+    scores = m.class_scores(m.confusion(m.with_prediction(scored_lines(spark, sf_dir), K), K))
     return scores.withColumn("iou", F.round("iou", 6)).withColumn("dice", F.round("dice", 6))
 
 
@@ -89,7 +89,7 @@ def iou_dice(spark, sf_dir):
 SELECT round(avg(iou), 6) AS mean_iou, round(coalesce(avg(iou) FILTER (class <> 0), 0), 6) AS mean_iou_damage
 FROM scores""")
 def mean_iou(spark, sf_dir):
-    table = m.confusion(m.with_prediction(scored_lines(spark, sf_dir)), K)
+    table = m.confusion(m.with_prediction(scored_lines(spark, sf_dir), K), K)
     means = m.mean_iou(m.class_scores(table))
     return means.select(*[F.round(c, 6).alias(c) for c in means.columns])
 
@@ -143,7 +143,7 @@ def merged_confusion(spark, sf_dir):
     """Two partial tables added: shipped before and since 1999."""
     def part(test):
         lines = standin.table(spark, sf_dir, "lineitem").filter(test)
-        return m.confusion(m.with_prediction(_scored_of(lines)), K)
+        return m.confusion(m.with_prediction(_scored_of(lines), K), K)
 
     recent = F.col("l_shipdate") >= F.lit("1999-01-01").cast("timestamp_ntz")
     return m.merge_confusions(part(recent), part(~recent))

@@ -11,8 +11,10 @@ from annotary.plans.catalog import query
 @query(f"""WITH {sql.COUNTED}, {sql.split()}
 SELECT image_id, group_id, split FROM counted JOIN assignment USING (group_id)""")
 def group_split(spark, sf_dir):
-    images = standin.counted_images(spark, sf_dir)
-    return split.group_split(images, seed=42).select("image_id", "group_id", "split")
+    profile = split.group_profile(standin.counted_images(spark, sf_dir))
+    assignment = split.assign_groups(profile, seed=42)
+    images = standin.images(spark, sf_dir).select("image_id", "group_id")
+    return split.attach_split(images, assignment)
 
 
 @query(f"""WITH {sql.COUNTED}, {sql.split(official="TRUE")}

@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 
 
 def build_session(app_name="annotary", master=None, conf=None):
@@ -67,10 +67,13 @@ def pinned(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when a bounded count proves the side is small.
+    """A broadcast copy of ``df`` if it proves to have few rows.
 
-    Beyond the bound the plain frame is returned, so the join shuffles.
+    One bounded job fetches at most ``max_rows + 1`` rows. Within the bound
+    they become a local table, so the frame is computed once and joined by
+    broadcast; beyond it the frame itself is returned and the join shuffles.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    head = df.limit(max_rows + 1).toArrow()
+    if head.num_rows > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))

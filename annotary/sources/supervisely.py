@@ -70,22 +70,24 @@ def supervisely_instances(docs: DataFrame, classes=CLASSES) -> DataFrame:
         "objects",
         lambda o: F.struct(
             o["classTitle"].alias("source_class"),
-            g.flatten_points(o["points"]["exterior"]).alias("ring"),
+            g.measured(g.flatten_points(o["points"]["exterior"])).alias("m"),
             F.coalesce(F.size(F.coalesce(o["points"]["interior"], F.expr("array()"))), F.lit(0)).alias("holes"),
         ),
     )
     return (
         docs.withColumn("_rings", rings)
-        .withColumn("_good", F.filter("_rings", lambda r: ~g.is_degenerate(r["ring"])))
+        .withColumn("_good", F.filter(
+                "_rings", lambda r: (F.size(r["m"]["ring"]) >= 6) & (r["m"]["area"] > 0)
+            ))
         .withColumn(
             "instances",
             F.transform(
                 "_good",
                 lambda r: F.struct(
                     r["source_class"].alias("source_class"),
-                    F.array(r["ring"]).alias("polygon"),
-                    g.ring_bbox(r["ring"]).alias("bbox"),
-                    g.ring_area(r["ring"]).alias("area"),
+                    F.array(r["m"]["ring"]).alias("polygon"),
+                    g.extent_bbox(r["m"]["extent"]).alias("bbox"),
+                    r["m"]["area"].alias("area"),
                 ),
             ),
         )

@@ -39,13 +39,14 @@ def via_instances(entries: DataFrame) -> DataFrame:
     rings = F.transform(
         F.coalesce("regions", F.expr("array()")),
         lambda r: F.struct(
-            r["class"].alias("source_class"), g.interleave(r["all_x"], r["all_y"]).alias("ring")
+            r["class"].alias("source_class"), g.measured(g.interleave(r["all_x"], r["all_y"])).alias("m")
         ),
     )
     good = F.filter(
         "_rings",
-        lambda r: ~g.is_degenerate(r["ring"])
-        & ~F.coalesce(g.is_out_of_frame(r["ring"], "width", "height"), F.lit(False)),
+        lambda r: (F.size(r["m"]["ring"]) >= 6)
+        & (r["m"]["area"] > 0)
+        & ~g.extent_out_of_frame(r["m"]["extent"], "width", "height"),
     )
     return (
         entries.withColumn("_rings", rings)
@@ -56,9 +57,9 @@ def via_instances(entries: DataFrame) -> DataFrame:
                 "_good",
                 lambda r: F.struct(
                     r["source_class"].alias("source_class"),
-                    F.array(r["ring"]).alias("polygon"),
-                    g.ring_bbox(r["ring"]).alias("bbox"),
-                    g.ring_area(r["ring"]).alias("area"),
+                    F.array(r["m"]["ring"]).alias("polygon"),
+                    g.extent_bbox(r["m"]["extent"]).alias("bbox"),
+                    r["m"]["area"].alias("area"),
                 ),
             ),
         )

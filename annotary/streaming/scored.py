@@ -14,7 +14,7 @@ def running_confusion(scored: DataFrame, n_classes: int):
     from pyspark.sql import functions as F
 
     return (
-        m.with_prediction(scored)
+        m.with_prediction(scored, n_classes)
         .select(
             m._checked("target", n_classes).alias("target"), m._checked("pred", n_classes).alias("pred")
         )
