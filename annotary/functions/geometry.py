@@ -51,21 +51,24 @@ def let(value, fn) -> Column:
 
 def ring_area(ring) -> Column:
     """Absolute shoelace area; 0 below three points."""
-    ring = _col(ring)
-    n = F.size(ring)
 
-    def cross(acc, i):
-        x, y = F.get(ring, i), F.get(ring, i + 1)
-        x_next, y_next = F.get(ring, (i + 2) % (n - n % 2)), F.get(ring, (i + 3) % (n - n % 2))
-        return acc + (x * y_next - x_next * y)
+    def shoelace(r):
+        n = 2 * n_points(r)
+
+        def cross(acc, i):
+            x, y = F.get(r, i), F.get(r, i + 1)
+            x_next, y_next = F.get(r, (i + 2) % n), F.get(r, (i + 3) % n)
+            return acc + (x * y_next - x_next * y)
+
+        # Short rings are never walked: sequence(0, -2) would count downwards.
+        return F.when(
+            n >= 6,
+            F.abs(F.aggregate(F.sequence(F.lit(0), n - 2, F.lit(2)), F.lit(_ZERO), cross)) / 2,
+        ).otherwise(F.lit(_ZERO))
 
-    # From the second point on the ring is walked as it is stored; the closing
-    # edge back to the first point comes last. Short rings are never walked:
-    # sequence(0, -2) would count downwards.
-    return F.when(
-        n >= 6,
-        F.abs(F.aggregate(F.sequence(F.lit(0), n - n % 2 - 2, F.lit(2)), F.lit(_ZERO), cross)) / 2,
-    ).otherwise(F.lit(_ZERO))
+    # Inside an array function a ring that is an expression, not a column,
+    # would be built again for every vertex.
+    return let(_col(ring), shoelace)
 
 
 def rings_area(rings) -> Column:
@@ -145,8 +148,10 @@ def is_out_of_frame(ring, width, height) -> Column:
 
 def measured(ring) -> Column:
     """``struct(ring, area, extent)`` of a ring, the inputs of all the tests."""
-    ring = _col(ring)
-    return F.struct(ring.alias("ring"), ring_area(ring).alias("area"), extent(ring).alias("extent"))
+    return let(
+        _col(ring),
+        lambda r: F.struct(r.alias("ring"), ring_area(r).alias("area"), extent(r).alias("extent")),
+    )
 
 
 def letterbox(width, height, size) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annotary.functions import geometry as g
-from annotary.session import broadcast_if_small, pinned
+from annotary.session import broadcast_if_small, evaluate_once, pinned
 
 TILE = 512
 CELL_BITS = 32
@@ -218,7 +218,7 @@ def letterbox_runs(runs: DataFrame, size: int) -> DataFrame:
     floor((2d + 1) * source / (2 * target)). Solved for d with whole numbers,
     a source run becomes a target run directly, no pixel is expanded.
     """
-    boxed = runs.withColumn("_box", g.letterbox("width", "height", size))
+    boxed = evaluate_once(runs, _box=g.letterbox("width", "height", size))
     new_w, new_h = F.col("_box.new_w").cast("long"), F.col("_box.new_h").cast("long")
     width, height = F.col("width").cast("long"), F.col("height").cast("long")
 
@@ -232,10 +232,7 @@ def letterbox_runs(runs: DataFrame, size: int) -> DataFrame:
     y0 = first_target(F.col("y"), height, new_h)
     y1 = first_target(F.col("y") + 1, height, new_h)
     return (
-        boxed.withColumn("_x0", x0)
-        .withColumn("_x1", F.least(x1, new_w))
-        .withColumn("_y0", y0)
-        .withColumn("_y1", F.least(y1, new_h))
+        evaluate_once(boxed, _x0=x0, _x1=F.least(x1, new_w), _y0=y0, _y1=F.least(y1, new_h))
         .filter((F.col("_x0") < F.col("_x1")) & (F.col("_y0") < F.col("_y1")))
         .withColumn("_y", F.explode(F.sequence(F.col("_y0"), F.col("_y1") - 1)))
         .select(
@@ -494,7 +491,7 @@ def star_contract(edges: DataFrame, keys) -> DataFrame:
         previous = mark
 
 
-def predicted_instances(scored_pixels: DataFrame, tile: int = TILE, n_classes=None):
+def predicted_instances(scored_pixels: DataFrame, tile: int = TILE):
     """``(instances, runs)`` from scored pixels ``(image_id, y, x, probs)``.
 
     One instance per component of the argmax mask and positive class (not 0);
@@ -503,8 +500,8 @@ def predicted_instances(scored_pixels: DataFrame, tile: int = TILE, n_classes=No
     from annotary.functions import scoring
 
     classed = scored_pixels.select(
-        "image_id", "y", "x", scoring.argmax("probs", n_classes).alias("class"),
-        scoring.confidence("probs", n_classes).alias("p"),
+        "image_id", "y", "x", scoring.argmax("probs").alias("class"),
+        scoring.confidence("probs").alias("p"),
     ).filter(F.col("class") > 0)
     runs = (
         classed.select("image_id", "class", "y", F.col("x").alias("x0"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annotary.functions import geometry as g
+from annotary.session import evaluate_once
 
 
 def instance_counts(instances: DataFrame) -> DataFrame:
@@ -74,16 +75,17 @@ def clean_instances(instances: DataFrame) -> DataFrame:
         lambda r: F.struct(r.alias("ring"), g.ring_area(r).alias("area")),
     )
     good = F.filter(measured, lambda m: (F.size(m["ring"]) >= 6) & (m["area"] > 0))
+    read = evaluate_once(
+        instances.withColumn("n_degenerate", F.coalesce(F.size("polygon"), F.lit(0))), _good=good
+    )
+    kept = F.col("_good")["ring"]
     return (
-        instances.withColumn("n_degenerate", F.coalesce(F.size("polygon"), F.lit(0)))
-        .withColumn("_good", good)
+        evaluate_once(read.drop("polygon"), polygon=kept, extent=g.rings_extent(kept))
         .withColumn("n_degenerate", F.col("n_degenerate") - F.size("_good"))
         .withColumn("dropped", F.size("_good") == 0)
-        .withColumn("polygon", F.col("_good")["ring"])
         .withColumn(
             "area", F.aggregate(F.col("_good")["area"], F.lit(0.0), lambda acc, a: acc + a)
         )
-        .withColumn("extent", g.rings_extent("polygon"))
         .withColumn("bbox", g.extent_bbox("extent"))
         .drop("_good")
     )

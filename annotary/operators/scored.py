@@ -18,13 +18,13 @@ N_BINS = 15
 DICE_EPS = 1e-6
 
 
-def with_prediction(scored: DataFrame, n_classes=None) -> DataFrame:
-    return scored.withColumn("pred", scoring.argmax("probs", n_classes))
+def with_prediction(scored: DataFrame) -> DataFrame:
+    return scored.withColumn("pred", scoring.argmax("probs"))
 
 
 def _checked(col, n_classes):
     """The column itself, or an error naming the class outside 0..K-1."""
-    c = F.col(col).cast("int")
+    c = F.col(col)
     return F.when((c >= 0) & (c < n_classes), c).otherwise(
         F.raise_error(
             F.concat(F.lit(f"{col} out of range for K={n_classes}: "), c.cast("string"))
@@ -34,26 +34,30 @@ def _checked(col, n_classes):
 
 def confusion(labelled: DataFrame, n_classes: int) -> DataFrame:
     """Full K x K grid ``(target, pred, n)``; row = truth, column = prediction."""
-    counts = (
-        labelled.select(
-            _checked("target", n_classes).alias("target"), _checked("pred", n_classes).alias("pred")
-        )
-        .groupBy("target", "pred")
-        .agg(F.count(F.lit(1)).alias("n"))
+    return complete_grid(confusion_counts(labelled, n_classes), n_classes)
+
+
+def confusion_counts(labelled: DataFrame, n_classes: int) -> DataFrame:
+    """Non-zero cells only; also the form a stream keeps as state.
+
+    Labels are checked once per cell, after counting, not once per row.
+    """
+    counts = labelled.groupBy(
+        F.col("target").cast("int").alias("target"), F.col("pred").cast("int").alias("pred")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(
+        _checked("target", n_classes).alias("target"), _checked("pred", n_classes).alias("pred"), "n"
     )
-    return complete_grid(counts, n_classes)
 
 
 def complete_grid(counts: DataFrame, n_classes: int) -> DataFrame:
     """Absent cells of a confusion table as zeros (K x K rows in all)."""
-    spark = counts.sparkSession
-    cells = spark.range(n_classes * n_classes).select(
+    cells = counts.sparkSession.range(n_classes * n_classes).select(
         F.floor(F.col("id") / n_classes).cast("int").alias("target"),
         (F.col("id") % n_classes).cast("int").alias("pred"),
+        F.lit(0).cast("long").alias("n"),
     )
-    return cells.join(counts, ["target", "pred"], "left").select(
-        "target", "pred", F.coalesce("n", F.lit(0)).alias("n")
-    )
+    return cells.unionByName(counts).groupBy("target", "pred").agg(F.sum("n").alias("n"))
 
 
 def class_scores(confusion_table: DataFrame) -> DataFrame:
@@ -97,22 +101,23 @@ def score_cube(scored: DataFrame, n_classes: int, n_bins: int = N_BINS) -> DataF
     if n_bins < 1:
         raise ValueError("n_bins must be at least 1")
     rows = (
-        with_prediction(scored, n_classes)
+        with_prediction(scored)
         .select(
-            _checked("target", n_classes).alias("target"),
+            F.col("target").cast("int").alias("target"),
             "pred",
             "probs",
-            scoring.confidence("probs", n_classes).alias("conf"),
+            scoring.confidence("probs").alias("conf"),
         )
         .withColumn("bin", scoring.confidence_bin("conf", n_bins))
     )
-    return rows.groupBy("target", "pred", "bin").agg(
+    cube = rows.groupBy("target", "pred", "bin").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("conf").alias("conf_sum"),
         F.sum(scoring.squared_error("probs", "target", n_classes)).alias("brier_sum"),
         F.sum(scoring.cross_entropy("probs", "target")).alias("ce_sum"),
         *[F.sum(F.get("probs", c)).alias(f"p{c}") for c in range(n_classes)],
     )
+    return cube.withColumn("target", _checked("target", n_classes))
 
 
 def cube_confusion(cube: DataFrame, n_classes: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annotary.functions.naming import THUMBNAIL_PREFIX, basename, group_micros
-from annotary.session import pinned
+from annotary.session import evaluate_once, pinned
 
 # Fixed value: time stamps at most this far apart belong to one session.
 SESSION_GAP_SECONDS = 60
@@ -100,7 +100,7 @@ def merge_sessions(df: DataFrame, id_col, ts_col, keys=(), gap_seconds=SESSION_G
 
 def merge_session_groups(records: DataFrame, gap_seconds=SESSION_GAP_SECONDS) -> DataFrame:
     """Replace time-stamped ``group_id`` values by their session's first id."""
-    stamped = records.withColumn("_ts", group_micros("group_id"))
+    stamped = evaluate_once(records, _ts=group_micros("group_id"))
     merged = merge_sessions(stamped, "group_id", "_ts", gap_seconds=gap_seconds)
     return merged.withColumn("group_id", F.col("session_id")).select(*records.columns)
 

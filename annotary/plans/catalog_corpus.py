@@ -8,7 +8,7 @@ from annotary.functions import naming
 from annotary.operators import coco, records, stats, taxonomy
 from annotary.plans import sql, standin
 from annotary.plans.catalog import query
-from annotary.session import scratch_path
+from annotary.session import pinned, scratch_path
 from annotary.sources import coco as coco_source
 from annotary.sources import images as image_source
 from annotary.sources import sinks, supervisely, via
@@ -417,7 +417,7 @@ SELECT row_number() OVER (ORDER BY ids.image_id, l_linenumber, l_partkey, l_supp
   ids.id AS image_id, CAST(cats.id AS INTEGER) AS category_id, w * h AS area, 0 AS iscrowd
 FROM kept JOIN ids USING (image_id) JOIN cats USING (canonical)""")
 def coco_annotations(spark, sf_dir):
-    images, inst = standin.images(spark, sf_dir), _mapped_boxes(spark, sf_dir)
+    images, inst = standin.images(spark, sf_dir), pinned(_mapped_boxes(spark, sf_dir))
     table = coco.annotation_table(inst, coco.image_ids(images), coco.category_table(inst))
     return table.select("id", "image_id", "category_id", F.coalesce("area", F.lit(0.0)).alias("area"), "iscrowd")
 
@@ -554,7 +554,9 @@ def via_scan(spark, sf_dir):
             F.create_map("name", F.struct("name", F.col("items").alias("regions")))
         ).alias("value")
     ).write.text(path)
-    sizes = orders.select(F.col("name").alias("file_name"), "width", "height")
+    sizes = standin.images(spark, sf_dir).select(
+        naming.basename("file_path").alias("file_name"), "width", "height"
+    )
     return _summary(via.via_instances(via.via_entries(spark, path, lines=True).join(sizes, "file_name")))
 
 

@@ -323,7 +323,7 @@ def predicted_instances(spark, sf_dir):
         )
     )
     scores, _ = masks.predicted_instances(
-        logits.select("image_id", "y", "x", scoring.softmax("logits", 3).alias("probs")), tile=32, n_classes=3
+        logits.select("image_id", "y", "x", scoring.softmax("logits", 3).alias("probs")), tile=32
     )
     return scores.select(
         "image_id", "class", F.col("instance_id").cast("long").alias("component"), "n_pixels",

@@ -67,7 +67,7 @@ def build_corpus(spark: SparkSession, datasets_root, out, canonical=None, mappin
     load_seconds = time.perf_counter() - started
 
     images, instances = flatten_records(records)
-    harmonised = taxonomy.harmonise(instances, mappings)
+    harmonised = pinned(taxonomy.harmonise(instances, mappings))
     per_image = stats.image_stats(records)
     sinks.write_stats(per_image, f"{out}/stats")
 

@@ -66,6 +66,17 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def evaluate_once(df: DataFrame, **columns) -> DataFrame:
+    """Add expensive columns that later filters and joins must not repeat.
+
+    A filter on a plain computed column is pushed below it and carries a copy
+    of the whole expression along. Columns that come out of a generator stay
+    where they are.
+    """
+    row = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast copy of ``df`` if it proves to have few rows.
 

@@ -7,6 +7,7 @@ from annotary import schemas
 from annotary.checks import CorpusError, require_empty
 from annotary.functions import geometry as g
 from annotary.functions.naming import image_key
+from annotary.session import evaluate_once
 from annotary.sources.images import list_files, require_files
 
 # Corpus name, the folder holding damages (the two folder names
@@ -74,11 +75,9 @@ def supervisely_instances(docs: DataFrame, classes=CLASSES) -> DataFrame:
             F.coalesce(F.size(F.coalesce(o["points"]["interior"], F.expr("array()"))), F.lit(0)).alias("holes"),
         ),
     )
+    good = F.filter("_rings", lambda r: (F.size(r["m"]["ring"]) >= 6) & (r["m"]["area"] > 0))
     return (
-        docs.withColumn("_rings", rings)
-        .withColumn("_good", F.filter(
-                "_rings", lambda r: (F.size(r["m"]["ring"]) >= 6) & (r["m"]["area"] > 0)
-            ))
+        evaluate_once(evaluate_once(docs, _rings=rings), _good=good)
         .withColumn(
             "instances",
             F.transform(

@@ -8,6 +8,7 @@ from annotary.checks import CorpusError, require_empty
 from annotary.functions import geometry as g
 from annotary.functions.naming import image_key, timestamp_group
 from annotary.operators.sessions import link_thumbnails, merge_session_groups
+from annotary.session import evaluate_once
 from annotary.sources.images import scan_images
 
 # Where the corpus keeps its two official splits.
@@ -49,8 +50,7 @@ def via_instances(entries: DataFrame) -> DataFrame:
         & ~g.extent_out_of_frame(r["m"]["extent"], "width", "height"),
     )
     return (
-        entries.withColumn("_rings", rings)
-        .withColumn("_good", good)
+        evaluate_once(evaluate_once(entries, _rings=rings), _good=good)
         .withColumn(
             "instances",
             F.transform(

@@ -5,22 +5,13 @@ from pyspark.sql import DataFrame
 from annotary.operators import scored as m
 
 
-def running_confusion(scored: DataFrame, n_classes: int):
+def running_confusion(scored: DataFrame, n_classes: int) -> DataFrame:
     """Stream of ``(target, pred, n)`` counts, state bounded by K x K rows.
 
     Use output mode ``complete``; ``scored.complete_grid`` and the class
     scores apply to each emitted table.
     """
-    from pyspark.sql import functions as F
-
-    return (
-        m.with_prediction(scored, n_classes)
-        .select(
-            m._checked("target", n_classes).alias("target"), m._checked("pred", n_classes).alias("pred")
-        )
-        .groupBy("target", "pred")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return m.confusion_counts(m.with_prediction(scored), n_classes)
 
 
 def running_cube(scored: DataFrame, n_classes: int, n_bins: int = m.N_BINS) -> DataFrame:
