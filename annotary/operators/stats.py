@@ -48,7 +48,7 @@ def image_stats_flat(images: DataFrame, instances: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_instances"),
         F.array_join(F.array_sort(F.collect_set("source_class")), CLASS_SEPARATOR).alias("classes"),
     )
-    joined = images.join(per_image, "image_id", "left").withColumn(
+    joined = images.drop("n_instances", "classes").join(per_image, "image_id", "left").withColumn(
         "n_instances", F.coalesce("n_instances", F.lit(0))
     ).withColumn("classes", F.coalesce("classes", F.lit("")))
     return _with_sizes(joined).select(
