@@ -52,18 +52,17 @@ def annotation_table(
     """COCO annotations numbered in image order, then instance order.
 
     ``pos`` orders the instances of an image. Only the two key columns are put
-    in global order, polygons join their number afterwards; an image with most
-    of the annotations is spread over many tasks all the same.
+    in global order and meet the image ids; polygons move once, to join their
+    numbers. An image with most of the annotations spreads over many tasks.
     """
     numbers = running_totals(
         instances.select("image_id", "pos"),
         [F.col("image_id"), F.col("pos")],
         position="_number",
-    )
+    ).join(ids.select("image_id", F.col("id").alias("_image")), "image_id")
     cats = categories.select(F.col("id").alias("category_id"), F.col("name").alias(name))
     return (
         instances.join(numbers, ["image_id", "pos"])
-        .join(ids.select("image_id", F.col("id").alias("_image")), "image_id")
         .join(broadcast_if_small(cats), name)
         .select(
             F.col("_number").alias("id"),

@@ -253,7 +253,9 @@ def _ceil_div(top, bottom):
 # -- connected components ------------------------------------------------------
 
 
-def components(runs: DataFrame, tile: int = TILE, max_image_edges: int = MAX_IMAGE_EDGES) -> DataFrame:
+def components(
+    runs: DataFrame, tile: int = TILE, max_image_edges: int = MAX_IMAGE_EDGES, carry=()
+) -> DataFrame:
     """8-connected components per (image, class): runs plus ``component``.
 
     The component id is its first pixel in raster order, ``y * 2^31 + x``,
@@ -261,15 +263,18 @@ def components(runs: DataFrame, tile: int = TILE, max_image_edges: int = MAX_IMA
     many small tasks; each tile is labelled on its own, and the few labels
     that meet across tile borders are united afterwards: within one task for
     an image with few such meetings, by distributed star contraction else.
+    Columns named in ``carry`` stay with their run.
     """
-    cut = _cut_into_tiles(runs.select("image_id", "class", "y", "x0", "x1"), tile)
+    carry = list(carry)
+    cut = _cut_into_tiles(runs.select("image_id", "class", "y", "x0", "x1", *carry), tile)
+    kept = "".join(f", `{c}` {runs.schema[c].dataType.simpleString()}" for c in carry)
     labelled = pinned(
         _map_whole_keys(
             cut,
             ["image_id", "class", "ty", "tx"],
             ["y", "x0"],
             _label_tiles,
-            "image_id string, class int, ty int, tx int, y int, x0 int, x1 int, label long",
+            f"image_id string, class int, ty int, tx int, y int, x0 int, x1 int, label long{kept}",
         )
     )
     edges = pinned(_border_edges(labelled, tile))
@@ -290,7 +295,7 @@ def components(runs: DataFrame, tile: int = TILE, max_image_edges: int = MAX_IMA
         roots = roots.unionByName(star_contract(many, image))
     return labelled.join(
         roots.withColumnRenamed("node", "label"), [*image, "label"], "left"
-    ).select(*image, "y", "x0", "x1", F.coalesce("root", "label").alias("component"))
+    ).select(*image, "y", "x0", "x1", *carry, F.coalesce("root", "label").alias("component"))
 
 
 def _map_whole_keys(df: DataFrame, keys, order, fn, schema) -> DataFrame:
@@ -503,18 +508,10 @@ def predicted_instances(scored_pixels: DataFrame, tile: int = TILE):
         "image_id", "y", "x", scoring.argmax("probs").alias("class"),
         scoring.confidence("probs").alias("p"),
     ).filter(F.col("class") > 0)
-    runs = (
-        classed.select("image_id", "class", "y", F.col("x").alias("x0"))
-        .withColumn("x1", F.col("x0") + 1)
+    runs = classed.withColumnRenamed("x", "x0").withColumn("x1", F.col("x0") + 1)
+    found = components(runs, tile, carry=["p"])  # unit runs stay unit runs
+    placed = found.withColumn("instance_id", F.format_string("%019d", F.col("component")))
+    scores = placed.groupBy("image_id", "class", "instance_id").agg(
+        F.avg("p").alias("score"), F.count(F.lit(1)).alias("n_pixels")
     )
-    found = components(runs, tile)  # unit runs stay unit runs
-    instance_id = F.format_string("%019d", F.col("component"))
-    placed = found.select("image_id", "class", "y", "x0", "x1", instance_id.alias("instance_id"))
-    scores = (
-        placed.join(
-            classed.withColumnRenamed("x", "x0"), ["image_id", "class", "y", "x0"]
-        )
-        .groupBy("image_id", "class", "instance_id")
-        .agg(F.avg("p").alias("score"), F.count(F.lit(1)).alias("n_pixels"))
-    )
-    return scores, placed
+    return scores, placed.select("image_id", "class", "instance_id", "y", "x0", "x1")

@@ -223,7 +223,7 @@ def pending_runs(grid: DataFrame, finished: DataFrame, force=False, on=("run",))
     """Planned runs without a result yet; ``force`` plans them all again."""
     if force:
         return grid
-    return grid.join(finished.select(*on), list(on), "left_anti")
+    return grid.join(finished.select(*on).distinct(), list(on), "left_anti")
 
 
 def grid_status(grid: DataFrame, finished: DataFrame, force=False, on=("run",)) -> DataFrame:

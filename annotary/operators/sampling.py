@@ -75,7 +75,7 @@ def sample_per_source(images: DataFrame, annotated: DataFrame, n: int, seed: int
     ``row_number() <= n`` is pruned before the shuffle, so a source holding
     most of the images sends only ``n`` rows per task.
     """
-    ranked = images.join(annotated.select(key), key, "left_semi").withColumn(
+    ranked = images.join(annotated.select(key).distinct(), key, "left_semi").withColumn(
         "rank",
         F.row_number().over(
             Window.partitionBy("source").orderBy(seeded_hash(seed, key), F.col(key))

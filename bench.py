@@ -75,8 +75,8 @@ def main():
         for k in range(runs + 1):
             start = time.perf_counter()
             queries[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            if k:  # the first run warms up
-                samples.append(time.perf_counter() - start)
+            samples.append(time.perf_counter() - start)
+        samples = samples[1:]  # the first run warms up
         times[name] = round(statistics.median(samples), 3)
         print(f"{name:28s} {times[name]:7.2f}s", file=sys.stderr, flush=True)
     print(
