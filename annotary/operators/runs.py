@@ -3,7 +3,12 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annotary.functions.naming import bucket_array_label, duration_text, run_key
+from annotary.functions.naming import (
+    bucket_array_label,
+    bucket_label,
+    duration_text,
+    run_key,
+)
 
 # Category orders of the result tables.
 DENSITY_ORDER = ["1", "2", "3", "4+"]
@@ -248,3 +253,17 @@ VOLUME_ROW = [
     "output_dir",
 ]
 DENSITY_ROW = ["density_bucket", *VOLUME_ROW]
+
+
+def result_rows(grid: DataFrame, summaries: DataFrame, output_root, density=False) -> DataFrame:
+    """One row per finished cell of the grid, in the order it was planned."""
+    places = ["bucket_place", "seed_place"] if density else ["point_place", "seed_place"]
+    rows = (
+        grid.join(summaries.drop("seed"), "run")
+        .withColumn("subset_n_images", F.coalesce(F.col("point").cast("string"), F.lit("full")))
+        .withColumn("output_dir", F.concat(F.lit(f"{str(output_root).rstrip('/')}/"), "run"))
+        .orderBy(*places)
+    )
+    if density:
+        return rows.withColumn("density_bucket", bucket_label("lo", "hi")).select(*DENSITY_ROW)
+    return rows.select(*VOLUME_ROW)

@@ -8,7 +8,7 @@ from annotary import schemas
 from annotary.operators.runs import join_runs
 
 
-def _named(df: DataFrame) -> DataFrame:
+def named_by_folder(df: DataFrame) -> DataFrame:
     """Campaign and run from the last two directories of the file's path."""
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return df.select(
@@ -19,13 +19,13 @@ def _named(df: DataFrame) -> DataFrame:
 
 
 def run_summaries(spark: SparkSession, root) -> DataFrame:
-    return _named(
+    return named_by_folder(
         spark.read.schema(schemas.RUN_SUMMARY).json(f"{root}/*/*/summary.json", multiLine=True)
     )
 
 
 def run_configs(spark: SparkSession, root) -> DataFrame:
-    return _named(
+    return named_by_folder(
         spark.read.schema(schemas.RUN_CONFIG).json(f"{root}/*/*/config.json", multiLine=True)
     )
 
@@ -37,6 +37,6 @@ def finished_runs(spark: SparkSession, root) -> DataFrame:
 
 def run_events(spark: SparkSession, path) -> DataFrame:
     """Event logs as JSON lines; a half-written last line is skipped."""
-    return _named(
+    return named_by_folder(
         spark.read.schema(schemas.RUN_EVENT).option("mode", "DROPMALFORMED").json(path)
     ).filter(F.col("type").isNotNull())

@@ -4,12 +4,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from annotary import schemas
 from annotary.operators.runs import last_events
+from annotary.sources.run_files import named_by_folder
 
 
 def event_stream(spark: SparkSession, path) -> DataFrame:
-    """Event files as a stream. A file is read once: events must land as new
-    files, not as appends to an old one."""
-    return (
+    """Event files as a stream, campaign and run taken from their folders. A
+    file is read once: events must land as new files, not as appends."""
+    return named_by_folder(
         spark.readStream.schema(schemas.RUN_EVENT).option("mode", "DROPMALFORMED").json(path)
     )
 

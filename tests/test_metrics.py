@@ -239,3 +239,31 @@ def test_predicted_instances(spark):
     got = found.collect()
     assert sorted(r["n_pixels"] for r in got) == [4, 4] and all(r["score"] == pytest.approx(0.8) for r in got)
     assert runs.agg(F.sum(F.col("x1") - F.col("x0"))).first()[0] == 8
+
+
+def test_instance_evaluation_end_to_end(spark):
+    from annotary.operators import taxonomy
+    from annotary.plans import evaluation
+
+    images = spark.createDataFrame([("a", 12, 10), ("b", 12, 10)], "image_id string, width int, height int")
+    square = [1.0, 1.0, 5.0, 1.0, 5.0, 4.0, 1.0, 4.0]
+    inst_rows = [("a", 0, "scratch", [square]), ("b", 0, "lamp_broken", [square])]
+    annotated = spark.createDataFrame(inst_rows, "image_id string, pos int, canonical string, polygon array<array<double>>")
+    canonical, _ = taxonomy.damage_taxonomy(spark)
+    truth = evaluation.truth_runs(images, annotated, canonical=canonical)
+    assert {r["class"] for r in truth.collect()} == {1, 2}
+
+    def probs(image, y, x):
+        hit = 1 <= y < 4 and 1 <= x < 5
+        return [0.1, 0.2, 0.7] if hit and image == "a" else [0.8, 0.1, 0.1]
+
+    px = spark.createDataFrame(
+        [(i, y, x, probs(i, y, x)) for i in "ab" for y in range(10) for x in range(12)],
+        "image_id string, y int, x int, probs array<double>",
+    )
+    ap, total = evaluation.evaluate_instances(px, truth, 3)
+    got = {(r["class"], r["threshold"]): r["ap"] for r in ap.collect()}
+    assert got[2, 0.95] == 1.0 and got[1, 0.5] == 0.0
+    assert tuple(total.first()) == (0.5, 0.5)
+    boxed = evaluation.truth_runs(images, annotated, size=24).collect()
+    assert sum(r["x1"] - r["x0"] for r in boxed if r["image_id"] == "a") == 8 * 6

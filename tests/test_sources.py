@@ -359,3 +359,15 @@ def test_grid(spark):
     assert grid.count() == 6 and r.run_grid(spec, density=True).count() == 12
     done = spark.createDataFrame([("n50_seed42",)], "run string")
     assert r.pending_runs(grid, done).count() == 5 and r.pending_runs(grid, done, force=True).count() == 6
+
+
+def test_document_parts_concatenate(spark, tmp_path):
+    rows = [record(f"i{k:02d}", ["dent"] * (k % 3)) for k in range(20)]
+    images, inst = records.flatten_records(spark.createDataFrame(rows, schemas.RECORDS))
+    triple = coco.coco_triple(images, inst.withColumn("canonical", F.col("source_class")))
+    sinks.write_coco_document(*triple, str(tmp_path / "doc"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "doc").glob("part-*")))
+    doc = json.loads(text)
+    assert [im["id"] for im in doc["images"]] == list(range(1, 21))
+    assert len(doc["annotations"]) == sum(k % 3 for k in range(20)) and doc["annotations"][0]["iscrowd"] == 0
+    assert sinks.markdown_table(triple[2]).splitlines()[0] == "| id | name | supercategory |"
