@@ -84,6 +84,9 @@ def letterbox(spark, sf_dir):
 # -- cleaning --------------------------------------------------------------------
 
 
+POSITION = ["pos.l_linenumber", "pos.l_partkey", "pos.l_suppkey"]
+
+
 def _sized_instances(spark, sf_dir):
     sizes = standin.images(spark, sf_dir).select("image_id", "source", "width", "height")
     return records.mark_out_of_frame(
@@ -100,7 +103,7 @@ def clean_polygons(spark, sf_dir):
     kept = records.kept_instances(_sized_instances(spark, sf_dir))
     return kept.select(
         "image_id",
-        "pos.*",
+        *POSITION,
         "source_class",
         *[F.get("bbox", k).alias(n) for k, n in enumerate(["x", "y", "w", "h"])],
         "area",
@@ -114,12 +117,7 @@ SELECT source, count(*) AS n_read,
   count(*) FILTER (l_tax = 0) AS interior_holes_dropped
 FROM boxes JOIN images USING (image_id) GROUP BY 1""")
 def drop_counters(spark, sf_dir):
-    holes = standin.table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("img/"), F.col("l_orderkey").cast("string")).alias("image_id"),
-        F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"),
-        (F.col("l_tax") == 0).cast("int").alias("n_holes"),
-    )
-    cleaned = _sized_instances(spark, sf_dir).join(holes, ["image_id", "pos"])
+    cleaned = _sized_instances(spark, sf_dir)
     return records.drop_counters(cleaned, holes="n_holes")
 
 
@@ -186,7 +184,7 @@ def _harmonised(spark, sf_dir):
 SELECT image_id, l_linenumber, l_partkey, l_suppkey, source, canonical
 FROM boxes JOIN images USING (image_id) JOIN mapping USING (source_class) WHERE decision <> 'exclude'""")
 def harmonise(spark, sf_dir):
-    return _harmonised(spark, sf_dir).select("image_id", "pos.*", "source", "canonical")
+    return _harmonised(spark, sf_dir).select("image_id", *POSITION, "source", "canonical")
 
 
 @query(f"""WITH {sql.IMAGES}, {sql.BOXES}, {sql.MAPPING}
@@ -413,7 +411,7 @@ def _mapped_boxes(spark, sf_dir):
 
 
 @query(_COCO + """
-SELECT row_number() OVER (ORDER BY ids.image_id, l_linenumber, l_partkey, l_suppkey) AS id,
+SELECT row_number() OVER (ORDER BY ids.image_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id,
   ids.id AS image_id, CAST(cats.id AS INTEGER) AS category_id, w * h AS area, 0 AS iscrowd
 FROM kept JOIN ids USING (image_id) JOIN cats USING (canonical)""")
 def coco_annotations(spark, sf_dir):

@@ -18,7 +18,8 @@ _RECTS = """rects AS (
   SELECT 'set/' || (l_orderkey // 8) AS image_id,
     CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS class,
     lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || '-' || l_linenumber || '-'
-      || lpad(CAST(l_partkey AS VARCHAR), 12, '0') || '-' || lpad(CAST(l_suppkey AS VARCHAR), 12, '0') AS id,
+      || lpad(CAST(l_partkey AS VARCHAR), 12, '0') || '-' || lpad(CAST(l_suppkey AS VARCHAR), 12, '0')
+      || '-' || CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR) AS id,
     l_linestatus = 'O' AS predicted, 0.5::DOUBLE + l_discount AS score,
     CAST(l_partkey % 24 AS INTEGER) AS x0, CAST(l_partkey % 24 + 4 + l_quantity % 8 AS INTEGER) AS x1,
     CAST(l_suppkey % 16 AS INTEGER) AS y0, CAST(l_suppkey % 16 + 3 + l_linenumber AS INTEGER) AS y1
@@ -81,7 +82,8 @@ def _rects(spark, sf_dir):
         F.concat(F.lit("set/"), F.floor(F.col("l_orderkey") / 8).cast("string")).alias("image_id"),
         F.when(flag == "A", 1).when(flag == "N", 2).otherwise(3).alias("class"),
         F.concat_ws(
-            "-", pad("l_orderkey"), F.col("l_linenumber").cast("string"), pad("l_partkey"), pad("l_suppkey")
+            "-", pad("l_orderkey"), F.col("l_linenumber").cast("string"), pad("l_partkey"), pad("l_suppkey"),
+            F.round(F.col("l_extendedprice") * 100).cast("long").cast("string"),
         ).alias("instance_id"),
         (F.col("l_linestatus") == "O").alias("predicted"),
         (F.col("l_discount") + F.lit(0.5)).alias("score"),

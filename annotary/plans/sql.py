@@ -21,7 +21,7 @@ counted AS (
 # Rectangles x, y, w, h of line items; pos orders them inside an image.
 BOXES = """
 boxes AS (
-  SELECT 'img/' || l_orderkey AS image_id, l_linenumber, l_partkey, l_suppkey, l_tax,
+  SELECT 'img/' || l_orderkey AS image_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_tax,
          l_returnflag || l_linestatus AS source_class,
          CAST(l_partkey % 1000 AS DOUBLE) AS x, CAST(l_suppkey % 700 AS DOUBLE) AS y,
          CASE WHEN l_discount = 0 THEN 0.0::DOUBLE ELSE l_quantity END AS w,

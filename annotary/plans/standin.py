@@ -48,9 +48,10 @@ def instances(spark, sf_dir) -> DataFrame:
     h = (F.col("l_linenumber") * 3).cast("double")
     return table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("img/"), F.col("l_orderkey").cast("string")).alias("image_id"),
-        F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("pos"),
         F.concat("l_returnflag", "l_linestatus").alias("source_class"),
         F.array(F.array(x, y, x + w, y, x + w, y + h, x, y + h)).alias("polygon"),
+        (F.col("l_tax") == 0).cast("int").alias("n_holes"),
     )
 
 
