@@ -2,8 +2,8 @@
 
 A time bucket as wide as the session gap can never contain a session break,
 so a plain aggregate per bucket (first id, first and last instant) is enough:
-the raw rows are never sorted and a crowded minute costs no more than a quiet
-one. Session heads are then carried forward over the bucket table in two
+raw rows are combined before the shuffle, never put in global order, and a
+crowded minute sends no more than a quiet one. Session heads are then carried forward over the bucket table in two
 levels of roughly equal size, so no window spans the whole time axis.
 """
 
