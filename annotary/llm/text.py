@@ -47,9 +47,13 @@ def _power_tables(n):
 
 def prefix_hash(data, fold=False):
     """Cumulative polynomial hash of bytes; see ``range_hash``."""
-    up, _ = _power_tables(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _BYTE)[data] * up[: len(data)], out=out[1:])
+    return prefix_sums((_FOLDED if fold else _BYTE)[data])
+
+
+def prefix_sums(values):
+    up, _ = _power_tables(len(values) + 1)
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=out[1:])
     return out
 
 
