@@ -1,6 +1,6 @@
 """Queries that compare texts with each other or with other tables."""
 
-from annotary.llm import decontamination, mixing, near_dedup
+from annotary.llm import decontamination, mixing, near_dedup, repeats
 from annotary.llm.registry import query, table
 
 
@@ -20,3 +20,8 @@ def op7_icws_dedup(spark, sf_dir):
 def op9_template_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op10_pfp_repeats(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
