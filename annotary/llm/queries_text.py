@@ -1,6 +1,6 @@
 """Queries that judge each text alone."""
 
-from annotary.llm import hashed_model, language, quality_rules
+from annotary.llm import hashed_model, language, pseudonyms, quality_rules
 from annotary.llm.registry import query, table
 
 _OP1 = r"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
@@ -50,3 +50,9 @@ def op4_language_cross_parse(spark, sf_dir):
 def op8_quality_ftrl(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return hashed_model.score_quality(docs, table(spark, sf_dir, "labels"))
+
+
+@query()
+def op3_pii_feistel(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, key="corpus pseudonyms, edition 1")
