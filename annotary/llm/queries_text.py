@@ -1,6 +1,6 @@
 """Queries that judge each text alone."""
 
-from annotary.llm import hashed_model, language, pseudonyms, quality_rules
+from annotary.llm import hashed_model, language, pseudonyms, quality_rules, secrets
 from annotary.llm.registry import query, table
 
 _OP1 = r"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
@@ -56,3 +56,8 @@ def op8_quality_ftrl(spark, sf_dir):
 def op3_pii_feistel(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonyms.pseudonymise(docs, key="corpus pseudonyms, edition 1")
+
+
+@query()
+def op2_secret_forest(spark, sf_dir):
+    return secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
