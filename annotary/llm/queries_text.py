@@ -1,6 +1,8 @@
 """Queries that judge each text alone."""
 
-from annotary.llm import hashed_model, language, pseudonyms, quality_rules, secrets
+from pyspark.sql import functions as F
+
+from annotary.llm import hashed_model, language, pseudonyms, quality_rules, secrets, url_lists
 from annotary.llm.registry import query, table
 
 _OP1 = r"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
@@ -61,3 +63,39 @@ def op3_pii_feistel(spark, sf_dir):
 @query()
 def op2_secret_forest(spark, sf_dir):
     return secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_OP5 = r"""WITH hosts AS (SELECT page_id, url, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '') AS host FROM pages),
+marks AS (SELECT e.event_id AS seq, e.ts, e.value >= 60 AS active, CASE WHEN e.event_id % 4 = 3 THEN 'allow' ELSE 'block' END AS list,
+    string_split(h.host, '.') AS labels, CAST(e.event_id % 3 AS INTEGER) AS up
+  FROM events e JOIN hosts h ON h.page_id = e.user_id WHERE h.host IS NOT NULL),
+entries AS (SELECT seq, ts, active, list, array_to_string(labels[least(1 + up, greatest(len(labels) - 1, 1)):], '.') AS pattern FROM marks),
+spans AS (SELECT list, pattern, active, ts AS start, lead(ts) OVER (PARTITION BY list, pattern ORDER BY ts, seq) AS stop FROM entries),
+captures AS (SELECT h.page_id, h.url, h.host, e.ts AS fetched FROM hosts h LEFT JOIN events e ON e.event_id = h.page_id),
+asked AS (SELECT DISTINCT host, fetched, unnest(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1)) AS rank FROM captures WHERE host IS NOT NULL AND fetched IS NOT NULL),
+wide AS (SELECT *, array_to_string(string_split(host, '.')[rank:], '.') AS pattern FROM asked),
+hit AS (SELECT w.host, w.fetched, w.rank, w.pattern, s.list FROM wide w JOIN spans s ON s.pattern = w.pattern AND s.active
+    AND s.start <= w.fetched AND (s.stop IS NULL OR s.stop > w.fetched)
+  QUALIFY row_number() OVER (PARTITION BY w.host, w.fetched ORDER BY w.rank, s.list) = 1)
+SELECT c.page_id, c.url, c.fetched, c.host, hit.pattern AS decided_by, hit.list, coalesce(hit.list <> 'block', TRUE) AS kept
+FROM captures c LEFT JOIN hit ON hit.host = c.host AND hit.fetched = c.fetched"""
+
+
+@query(_OP5)
+def op5_url_asof(spark, sf_dir):
+    """Pages fetched at the time of the event of their number; events of a user are dated list
+    entries on the host, or a parent domain, of the page of that number."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    times = events.select(F.col("event_id").alias("page_id"), F.col("ts").alias("fetched"))
+    hosts = pages.select(F.col("page_id").alias("user_id"), url_lists.host_of(F.col("url")).alias("host")).filter("host is not null")
+    patterns = url_lists.patterns_of(F.col("host"))
+    up = F.least(F.col("event_id") % 3, F.size(patterns) - 1).cast("int")
+    entries = events.join(hosts, "user_id").select(
+        F.when(F.col("event_id") % 4 == 3, "allow").otherwise("block").alias("list"),
+        F.get(patterns, up).alias("pattern"),
+        "ts",
+        F.col("event_id").alias("seq"),
+        (F.col("value") >= 60).alias("active"),
+    )
+    return url_lists.filter_urls(pages.join(times, "page_id", "left"), entries)

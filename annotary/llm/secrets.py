@@ -46,8 +46,8 @@ def _words(words: str) -> str:
 def candidates(docs: DataFrame, keep=("doc_id",)) -> DataFrame:
     """One row per candidate: the columns ``keep``, start (1-based), candidate, left and right context.
 
-    A text is cut before every candidate, so its context reaches back to the
-    candidate before at most.
+    A text is cut before every candidate; the context on either side ends at
+    the next candidate.
     """
     cut = docs.filter(F.col("text").rlike(CANDIDATE)).select(*keep, F.split("text", f"(?={CANDIDATE})").alias("pieces"))
     sizes = F.transform("pieces", lambda s: F.length(s))
@@ -56,18 +56,24 @@ def candidates(docs: DataFrame, keep=("doc_id",)) -> DataFrame:
         F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("all")),
         lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
     )["all"]
-    rows = F.transform(
-        F.sequence(F.lit(0), F.size("pieces") - 1),
-        lambda i: F.struct(
+    def parts(s):
+        """A piece as the candidate at its start and the text behind it."""
+        head = F.regexp_extract(s, f"^(?:{CANDIDATE})", 0)
+        return F.struct(head.alias("head"), F.substring(s, F.length(head) + 1, F.length(s)).alias("rest"))
+
+    def row(i):
+        here, before = F.get("parts", i), F.coalesce(F.get("parts", i - 1)["rest"], F.lit(""))
+        return F.struct(
             F.get("starts", i).alias("start"),
-            F.regexp_replace(F.regexp_extract(F.get("pieces", i), f"^(?:{CANDIDATE})", 0), r"[.]+$", "").alias("candidate"),
-            F.coalesce(F.substring(F.get("pieces", i - 1), F.greatest(F.length(F.get("pieces", i - 1)) - NEAR + 1, F.lit(1)), F.lit(NEAR)), F.lit("")).alias("left"),
-            F.substring(F.get("pieces", i), F.lit(1), F.length(F.regexp_extract(F.get("pieces", i), f"^(?:{CANDIDATE})", 0)) + NEAR).alias("here"),
-        ),
-    )
-    cut = cut.withColumn("starts", starts).withColumn("rows", F.filter(rows, lambda r: F.length(r["candidate"]) >= 12))
-    flat = cut.select(*keep, F.inline("rows"))
-    return flat.select(*keep, "start", "candidate", "left", F.substring("here", F.length("candidate") + 1, F.lit(NEAR)).alias("right"))
+            F.regexp_replace(here["head"], r"[.]+$", "").alias("candidate"),
+            F.substring(before, F.greatest(F.length(before) - NEAR + 1, F.lit(1)), F.lit(NEAR)).alias("left"),
+            F.substring(here["rest"], 1, NEAR).alias("right"),
+        )
+
+    rows = F.transform(F.sequence(F.lit(0), F.size("pieces") - 1), row)
+    cut = cut.withColumn("starts", starts).withColumn("parts", F.transform("pieces", parts))
+    cut = cut.withColumn("rows", F.filter(rows, lambda r: F.length(r["candidate"]) >= 12))
+    return cut.select(*keep, F.inline("rows"))
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -96,7 +102,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "dots": share("."),
         "dashes": share("_-"),
         "extension": s.rlike(r"\.[a-z]{2,4}$").cast("int"),
-        "mail": left.rlike("@$").cast("int"),
+        "mail": (left.rlike("@$") | right.rlike("^@")).cast("int"),
         "uuid": s.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-").cast("int"),
         "assigned": left.rlike(r"""[=:]\s*["'`]?$""").cast("int"),
         "quoted": left.rlike("""["'`]$""").cast("int"),
@@ -143,6 +149,7 @@ def labelled_findings(docs: DataFrame, ids: int = TRAIN_IDS) -> DataFrame:
         F.concat(F.lit("token uuid = "), uuid),
         F.concat(F.lit("images/"), word(0), F.lit("/"), word(1), F.lit("-"), year, F.lit(".png")),
         F.concat(word(2), F.lit("@mail"), F.substring(year, 3, 2), F.lit(".example.com")),
+        F.concat(word(0), word(1), word(2), F.lit("."), F.substring(year, 3, 2), F.lit("@mail3.example.com")),
         F.concat(word(0), F.lit("-"), word(1), F.lit("-report-"), year, F.lit("-v2")),
         F.concat(F.lit('password = "example-password-1"')),
         F.concat(F.lit("token = your_token_here_"), F.substring(year, 3, 2)),
