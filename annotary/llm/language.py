@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from annotary.llm.shared import free_name
 
@@ -159,25 +160,42 @@ def learn(docs: DataFrame, fold=4, held=2, rows: int = TRAIN_ROWS, chars: int =
     return CrossParser(samples)
 
 
-def identify(docs: DataFrame, parser: CrossParser, fold=4, held=2) -> DataFrame:
-    """Every row of ``docs`` without its text, with held_out, lang_pred and score.
+def identify(docs: DataFrame, parser: CrossParser, fold=4, held=2, keep_text: bool = False) -> DataFrame:
+    """Every row of ``docs``, without its text unless ``keep_text``, with held_out, lang_pred and score.
 
     Null texts and texts without a letter are UNKNOWN with score 0, as is every
-    text if nothing was learned. A row without an id is not held out. Result
-    columns whose names ``docs`` already has get underscores in front.
+    text if nothing was learned. A row without an id is not held out. Repeated
+    rows get equal answers. Result columns whose names ``docs`` already has get
+    underscores in front.
     """
     model = docs.sparkSession.sparkContext.broadcast(parser)
-    rest = docs.drop("text")
-    name, score, held_out = (free_name(rest, n) for n in ("lang_pred", "score", "held_out"))
-    keep = [F.col(f"`{c}`") for c in rest.columns]
-    schema = rest.select(*keep).schema.add(name, "string", False).add(score, "double", False)
+    order = [c for c in docs.columns if c != "text"]
+    row = docs.select(*[F.col(f"`{c}`") for c in order], "text")
+    name, score, held_out = (free_name(docs, n) for n in ("lang_pred", "score", "held_out"))
+    stop = len(order) + keep_text
+    schema = T.StructType(row.schema.fields[:stop]).add(name, "string", False).add(score, "double", False)
 
     def judge(batches):
         for batch in batches:
-            names, scores = model.value.predict(batch.column(batch.num_columns - 1).to_pylist())
+            names, scores = model.value.predict(batch.column(len(order)).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names
+                [*batch.columns[:stop], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names
             )
 
     crc = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold))
-    return docs.select(*keep, "text").mapInArrow(judge, schema).withColumn(held_out, F.coalesce(crc == held, F.lit(False)))
+    return row.mapInArrow(judge, schema).withColumn(held_out, F.coalesce(crc == held, F.lit(False)))
+
+
+def known_language(docs: DataFrame, parser: CrossParser) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language can be told; all rows if nothing was learned.
+
+    Rejected are null and letterless texts, and texts that fit no language
+    better than any other (ten per cent above an equal share).
+    """
+    if not parser.languages:
+        return docs
+    name, score = (free_name(docs, n) for n in ("lang_pred", "score"))
+    told = identify(docs, parser, keep_text=True)
+    least = 1.1 / len(parser.languages) if len(parser.languages) > 1 else 0.0
+    kept = told.filter((F.col(f"`{name}`") != UNKNOWN) & (F.col(f"`{score}`") >= least))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

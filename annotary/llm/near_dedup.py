@@ -257,6 +257,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written(components(found.select("a", "b")), "roots"), found
 
 
+def _spoken():
+    return F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` without its text, with class_id, class_key, class_docs and n_links.
 
@@ -272,9 +276,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = docs.drop("text")
     names = {n: free_name(rest, n) for n in ("class_id", "class_key", "class_docs", "n_links")}
     keep = [F.col(f"r.`{c}`") for c in rest.columns]
-    spoken = F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]")
     row = F.struct(*[F.col(f"`{c}`") for c in rest.columns]).alias("r")
-    rows = docs.select(row, F.when(spoken, text_key()).alias("key"))
+    rows = docs.select(row, F.when(_spoken(), text_key()).alias("key"))
     sizes = rows.filter("key is not null").groupBy("key").agg(F.min("r.doc_id").alias("low"), F.count("*").alias("n"))
     sizes = sizes.join(roots.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left")
     sizes = sizes.select("key", F.coalesce("root", "key").alias("root"), "low", "n", F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -287,3 +290,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.coalesce("class_docs", F.lit(1)).alias(names["class_docs"]),
         F.coalesce("n_links", F.lit(0)).cast("long").alias(names["n_links"]),
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row of each class of near-duplicates.
+
+    The smallest doc_id stays (null ids last), once even if its row is
+    repeated. Rows without a word all stay.
+    """
+    roots, _ = links(docs)
+    rows = docs.filter(_spoken()).select(text_key().alias("key"), "doc_id")
+    rows = rows.groupBy("key", "doc_id").agg(F.count("*").alias("n"))
+    rows = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")).alias("best"))
+    first = (F.col("key") == F.col("best.key")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name")
+    marked = written(rows.join(best, "root").filter(~first | (F.col("n") > 1)).select("key", named, first.alias("first")), "marked")
+
+    key, name = free_name(docs, "key"), free_name(docs, "name")
+    wide = docs.withColumn(key, F.when(_spoken(), text_key())).withColumn(name, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    same = (wide[key] == marked["key"]) & (wide[name] == marked["name"])
+    single = wide.join(marked, same, "left_anti")
+    again = wide.join(marked.filter("first"), same, "left_semi").dropDuplicates([key, name])
+    return single.unionByName(again).drop(key, name)
