@@ -6,7 +6,7 @@ PREVIEW = 20
 
 
 class CorpusError(ValueError):
-    """Input rows break an invariant of the corpus."""
+    """Input rows break an invariant of the corpus; ``violations`` holds them all."""
 
 
 class UnknownSourceError(CorpusError):
@@ -26,11 +26,15 @@ class LeakError(AssertionError):
 
 
 def require_empty(violations: DataFrame, what: str, error=CorpusError) -> None:
-    """Raise ``error`` naming the first offending rows, if there are any.
+    """Raise ``error`` if there are offending rows.
 
-    The preview is part of the message only; the check itself covers all rows.
+    The message gives their full number and shows the first of them; the
+    error's ``violations`` is the frame of all of them.
     """
     rows = violations.limit(PREVIEW).collect()
     if rows:
+        total = violations.count() if len(rows) == PREVIEW else len(rows)
         detail = "; ".join(str(row.asDict()) for row in rows)
-        raise error(f"{what}: {detail}")
+        found = error(f"{what}: {total} in all: {detail}")
+        found.violations = violations
+        raise found

@@ -71,13 +71,6 @@ def ring_area(ring) -> Column:
     return let(_col(ring), shoelace)
 
 
-def rings_area(rings) -> Column:
-    """Sum of ring areas; holes are not subtracted."""
-    return F.aggregate(
-        F.transform(_col(rings), ring_area), F.lit(_ZERO), lambda acc, area: acc + area
-    )
-
-
 def ring_xs(ring) -> Column:
     return F.filter(_col(ring), lambda v, i: i % 2 == 0)
 
@@ -115,10 +108,6 @@ def rings_extent(rings) -> Column:
     return extent(F.flatten(_col(rings)))
 
 
-def rings_bbox(rings) -> Column:
-    return let(rings_extent(rings), extent_bbox)
-
-
 def is_degenerate(ring) -> Column:
     """Fewer than three points or no area."""
     ring = _col(ring)
@@ -130,11 +119,6 @@ def clean_rings(rings) -> Column:
     return F.filter(_col(rings), lambda ring: ~is_degenerate(ring))
 
 
-def readable_rings(rings) -> Column:
-    """Rings of at least three points, whatever their area."""
-    return F.filter(_col(rings), lambda ring: F.size(ring) >= 6)
-
-
 def extent_out_of_frame(box, width, height) -> Column:
     """No part of an extent touches the frame; unknown sizes never match."""
     box, width, height = _col(box), _col(width), _col(height)

@@ -61,8 +61,21 @@ def squared_error(probs, target, n_classes=None) -> Column:
     return F.aggregate(F.transform(_col(probs), term), F.lit(0.0), lambda acc, v: acc + v)
 
 
+#: The smallest normal double; a probability below it counts as that much in a loss.
+LEAST_PROBABILITY = 2.2250738585072014e-308
+
+
 def cross_entropy(probs, target) -> Column:
-    return -F.ln(F.get(_col(probs), _col(target)))
+    """From probabilities alone: at most 708.4, for probabilities that underflow to 0."""
+    return -F.ln(F.greatest(F.get(_col(probs), _col(target)), F.lit(LEAST_PROBABILITY)))
+
+
+def logit_cross_entropy(logits, target, n_classes) -> Column:
+    """Negative log-softmax of the target, exact however small its probability."""
+    items = _items(logits, n_classes)
+    top = _largest(items)
+    total = reduce(add, [F.exp(v - top) for v in items])
+    return F.ln(total) + top - F.get(_col(logits), _col(target)).cast("double")
 
 
 def confidence_bin(conf, n_bins) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from annotary.checks import CorpusError, require_empty
 from annotary.functions.naming import basename
 from annotary.operators.ordered import running_totals
-from annotary.session import broadcast_if_small
 
 SUPERCATEGORY = "damage"
 
@@ -63,7 +62,7 @@ def annotation_table(
     cats = categories.select(F.col("id").alias("category_id"), F.col("name").alias(name))
     return (
         instances.join(numbers, ["image_id", "pos"])
-        .join(broadcast_if_small(cats), name)
+        .join(cats, name)
         .select(
             F.col("_number").alias("id"),
             F.col("_image").alias("image_id"),

@@ -1,17 +1,17 @@
 """Instance-level evaluation: pair IoU, greedy matching, average precision."""
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annotary.operators.ordered import running_totals
-from annotary.session import broadcast_if_small, pinned
+from annotary.session import pinned, scratch_path
 
 # IoU thresholds and recall levels of the averaged metric.
 IOU_THRESHOLDS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
 RECALL_STEPS = 100
 
 CELL = 64
-MAX_GROUP_EDGES = 2_000
 _KEY = ["image_id", "class"]
 
 
@@ -41,29 +41,26 @@ def overlapping_pairs(predicted: DataFrame, truth: DataFrame, cell: int = CELL)
 
     Runs meet on (image, class, row, cell) and only if they overlap there, so
     pairs that do not touch are never produced and a crowded image spreads
-    over all its rows and cells.
+    over all its rows and cells. Every run carries the area of its mask, from
+    one window over the runs, so the inputs are read once each.
     """
-    p = _in_cells(predicted, cell).select(
-        *_KEY, "y", "cell", F.col("instance_id").alias("pred_id"), "x0", "x1"
+    mask = Window.partitionBy(*_KEY, "instance_id")
+    area = F.sum(F.col("x1") - F.col("x0")).over(mask)
+    p = _in_cells(predicted.withColumn("area", area), cell).select(
+        *_KEY, "y", "cell", F.col("instance_id").alias("pred_id"), F.col("area").alias("pred_area"), "x0", "x1"
     )
-    t = _in_cells(truth, cell).select(
-        *_KEY, "y", "cell", F.col("instance_id").alias("true_id"),
+    t = _in_cells(truth.withColumn("area", area), cell).select(
+        *_KEY, "y", "cell", F.col("instance_id").alias("true_id"), F.col("area").alias("true_area"),
         F.col("x0").alias("t0"), F.col("x1").alias("t1"),
     )
     shared = F.least("x1", "t1") - F.greatest("x0", "t0")
-    hits = (
+    union = F.col("pred_area") + F.col("true_area") - F.col("intersection")
+    return (
         p.join(t, [*_KEY, "y", "cell"])
         .withColumn("shared", shared)
         .filter(F.col("shared") > 0)
         .groupBy(*_KEY, "pred_id", "true_id")
-        .agg(F.sum("shared").alias("intersection"))
-    )
-    pred_area = mask_areas(predicted).toDF(*_KEY, "pred_id", "pred_area")
-    true_area = mask_areas(truth).toDF(*_KEY, "true_id", "true_area")
-    union = F.col("pred_area") + F.col("true_area") - F.col("intersection")
-    return (
-        hits.join(pred_area, [*_KEY, "pred_id"])
-        .join(true_area, [*_KEY, "true_id"])
+        .agg(F.sum("shared").alias("intersection"), F.first("pred_area").alias("pred_area"), F.first("true_area").alias("true_area"))
         .withColumn("iou", F.col("intersection") / union)
         .select(*_KEY, "pred_id", "true_id", "intersection", "pred_area", "true_area", "iou")
     )
@@ -77,96 +74,89 @@ def iou_of_pairs(pairs: DataFrame, predicted: DataFrame, truth: DataFrame) -> Da
     )
 
 
-def greedy_matches(
-    predictions: DataFrame,
-    pairs: DataFrame,
-    thresholds=IOU_THRESHOLDS,
-    max_group_edges: int = MAX_GROUP_EDGES,
-) -> DataFrame:
+def greedy_matches(predictions: DataFrame, pairs: DataFrame, thresholds=IOU_THRESHOLDS) -> DataFrame:
     """Predictions with ``hit_thresholds``, those at which they are true positives.
 
     Per image, class and threshold, predictions by falling score (then id)
     each take the free truth of highest IoU (then smallest id) if that reaches
     the threshold. A pair below the threshold can never be taken, so only
-    pairs at or above it enter. Groups of bounded size are walked through in
-    one sorted array; larger ones are settled by ``_mutual_best``, in rounds
-    over the whole cluster, with the same result.
+    pairs at or above it enter. One walk over the sorted pairs settles all
+    thresholds, see ``_walk``.
     """
+    return _with_hits(predictions, _walk(_ranked_edges(predictions, pairs, thresholds), thresholds), thresholds)
+
+
+def greedy_matches_in_rounds(predictions: DataFrame, pairs: DataFrame, thresholds=IOU_THRESHOLDS) -> DataFrame:
+    """The same matches found by rounds over the whole cluster, without any walk."""
+    edges = pinned(_ranked_edges(predictions, pairs, thresholds))
+    return _with_hits(predictions, _mutual_best(edges, thresholds), thresholds)
+
+
+def _ranked_edges(predictions, pairs, thresholds):
     if not thresholds:
         raise ValueError("thresholds must not be empty")
-    lowest = min(thresholds)
-    edges = pinned(
-        pairs.filter(F.col("iou") >= lowest)
-        .select(*_KEY, "pred_id", "true_id", "iou")
-        .join(predictions.select(*_KEY, "pred_id", "score"), [*_KEY, "pred_id"])
-    )
-    sizes = edges.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"))
-    large = pinned(sizes.filter(F.col("n") > max_group_edges).select(*_KEY))
-    if large.take(1):
-        crowded = broadcast_if_small(large)
-        hits = _walk(edges.join(crowded, _KEY, "left_anti"), thresholds).unionByName(
-            _mutual_best(edges.join(crowded, _KEY, "left_semi"), thresholds)
-        )
-    else:
-        hits = _walk(edges, thresholds)
-    per_prediction = hits.groupBy(*_KEY, "pred_id").agg(
-        F.array_sort(F.collect_set("threshold")).alias("hit_thresholds")
-    )
-    return predictions.join(per_prediction, [*_KEY, "pred_id"], "left").withColumn(
-        "hit_thresholds", F.coalesce("hit_thresholds", F.array().cast("array<double>"))
+    strong = pairs.filter(F.col("iou") >= min(thresholds)).select(*_KEY, "pred_id", "true_id", "iou")
+    return strong.join(predictions.select(*_KEY, "pred_id", "score"), [*_KEY, "pred_id"])
+
+
+def _with_hits(predictions, hits, thresholds):
+    """``hits`` has one bit per threshold that a prediction was matched at."""
+    bits = hits.groupBy(*_KEY, "pred_id").agg(F.bit_or("hits").alias("_hits"))
+    order = sorted(range(len(thresholds)), key=lambda k: thresholds[k])
+    levels = F.array(
+        *[F.when(F.col("_hits").bitwiseAND(F.lit(1 << k)) != 0, F.lit(float(thresholds[k]))) for k in order]
     )
+    return predictions.join(bits, [*_KEY, "pred_id"], "left").withColumn(
+        "hit_thresholds", F.coalesce(F.array_compact(levels), F.array().cast("array<double>"))
+    ).drop("_hits")
 
 
 def _walk(edges: DataFrame, thresholds) -> DataFrame:
-    """Matched ``(key, pred_id, threshold)`` of small groups, one fold each.
+    """Matched ``(key, pred_id, hits)``, from one pass over the sorted edges.
 
-    In (score, prediction, IoU, truth) order an edge is taken exactly when
-    both its ends are still free.
+    In (score, prediction, IoU, truth) order an edge is taken at a threshold
+    exactly when both its ends are still free there. Edges stream through;
+    only the bits of the instances of the current image and class are held.
     """
-    item = F.struct(
-        (-F.col("score")).alias("s"), "pred_id", (-F.col("iou")).alias("v"), "true_id", "iou"
-    )
-    grouped = edges.groupBy(*_KEY).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    empty = F.struct(
-        F.array().cast("array<string>").alias("preds"), F.array().cast("array<string>").alias("truths")
-    )
-
-    def take(state, edge):
-        free = ~F.array_contains(state["preds"], edge["pred_id"]) & ~F.array_contains(
-            state["truths"], edge["true_id"]
-        )
-        taken = F.struct(
-            F.array_append(state["preds"], edge["pred_id"]).alias("preds"),
-            F.array_append(state["truths"], edge["true_id"]).alias("truths"),
-        )
-        return F.when(free, taken).otherwise(state)
-
-    per_threshold = grouped.withColumn(
-        "threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
-    )
-    eligible = F.filter("items", lambda e: e["iou"] >= F.col("threshold"))
-    return per_threshold.select(
-        *_KEY,
-        "threshold",
-        F.explode(F.aggregate(eligible, empty, take, lambda s: s["preds"])).alias("pred_id"),
+    levels = [float(t) for t in thresholds]
+    schema = f"image_id {edges.schema['image_id'].dataType.simpleString()}, class int, pred_id string, hits long"
+
+    def walk(batches):
+        key, preds, truths = None, {}, {}
+        for batch in batches:
+            out = []
+            for image, cls, pred, true, iou in zip(*(batch[c].tolist() for c in (*_KEY, "pred_id", "true_id", "iou"))):
+                if (image, cls) != key:
+                    key, preds, truths = (image, cls), {}, {}
+                reached = sum(1 << k for k, t in enumerate(levels) if iou >= t)
+                free = reached & ~preds.get(pred, 0) & ~truths.get(true, 0)
+                if free:
+                    preds[pred] = preds.get(pred, 0) | free
+                    truths[true] = truths.get(true, 0) | free
+                    out.append((image, cls, pred, free))
+            yield pd.DataFrame(out, columns=[*_KEY, "pred_id", "hits"])
+
+    ordered = edges.repartition(*_KEY).sortWithinPartitions(
+        *_KEY, F.col("score").desc(), "pred_id", F.col("iou").desc(), "true_id"
     )
+    return ordered.select(*_KEY, "pred_id", "true_id", "iou").mapInPandas(walk, schema)
 
 
 def _mutual_best(edges: DataFrame, thresholds) -> DataFrame:
-    """The same matches for groups too large for one task.
-
-    An edge that is the best of both its prediction (highest IoU) and its
+    """An edge that is the best of both its prediction (highest IoU) and its
     truth (highest-ranked prediction) is certain; taking all such edges at
     once and dropping whatever they block leaves a smaller problem of the same
-    kind. The top-ranked prediction always settles, so this ends.
+    kind. The top-ranked prediction always settles, so this ends. Each round's
+    matches go to a table of their own, so no plan grows.
     """
-    key = [*_KEY, "threshold"]
+    key = [*_KEY, "level"]
+    bits = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(float(t)).alias("threshold")) for k, t in enumerate(thresholds)])
     pending = pinned(
-        edges.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-        .filter(F.col("iou") >= F.col("threshold"))
+        edges.select("*", F.inline(bits)).filter(F.col("iou") >= F.col("threshold")).drop("threshold")
     )
-    taken = None
-    while pending.take(1):
+    spark, path, rounds = edges.sparkSession, scratch_path(edges.sparkSession, "matches"), 0
+    schema = edges.select(*_KEY, F.lit(0).alias("level"), "pred_id").schema
+    while True:
         by_pred = pending.groupBy(*key, "pred_id").agg(
             F.min(F.struct(-F.col("iou"), F.col("true_id")))["true_id"].alias("true_id")
         )
@@ -174,16 +164,17 @@ def _mutual_best(edges: DataFrame, thresholds) -> DataFrame:
             F.min(F.struct(-F.col("score"), F.col("pred_id")))["pred_id"].alias("pred_id")
         )
         agreed = pinned(by_pred.join(by_truth, [*key, "pred_id", "true_id"]))
+        agreed.select(*key, "pred_id").write.parquet(f"{path}/round={rounds}")
+        rounds += 1
         pending = pinned(
             pending.join(agreed.select(*key, "pred_id"), [*key, "pred_id"], "left_anti").join(
                 agreed.select(*key, "true_id"), [*key, "true_id"], "left_anti"
             )
         )
-        part = agreed.select(*key, "pred_id")
-        taken = part if taken is None else taken.unionByName(part)
-    if taken is None:
-        return edges.select(*_KEY, F.lit(0.0).alias("threshold"), "pred_id").filter(F.lit(False))
-    return taken
+        if pending.isEmpty():
+            break
+    taken = spark.read.schema(schema).parquet(*[f"{path}/round={k}" for k in range(rounds)])
+    return taken.select(*_KEY, "pred_id", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level")).alias("hits"))
 
 
 def match_table(matches: DataFrame, thresholds=IOU_THRESHOLDS) -> DataFrame:
@@ -232,7 +223,7 @@ def precision_recall(matches: DataFrame, truths: DataFrame, thresholds=IOU_THRES
             )
         ).alias("at"),
     ).filter("at.is_tp")
-    return points.join(broadcast_if_small(truth_counts(truths)), "class").select(
+    return points.join(truth_counts(truths), "class").select(
         "class",
         F.col("at.threshold").alias("threshold"),
         "rank",

@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annotary.functions import geometry as g
-from annotary.session import broadcast_if_small, evaluate_once, pinned
+from annotary.session import evaluate_once, pinned
 
 TILE = 512
 CELL_BITS = 32
-MAX_IMAGE_EDGES = 100_000
 _SPANS = "array<struct<x0:int,x1:int>>"
 _ROW_BITS = 31  # a pixel id is y * 2^31 + x: ids order like a raster scan
 
@@ -23,34 +22,20 @@ def polygon_runs(instances: DataFrame) -> DataFrame:
     """Fill ``polygon`` (rings, united) inside ``width`` x ``height``.
 
     Pixel-centre scanlines with the even-odd rule per ring. Every edge lists
-    the scanlines it crosses; sorted by (row, x), two consecutive crossings of
-    a ring bound one span. All of it happens inside the polygon's own row, in
-    proportion to the crossings, and nothing is shuffled. Only instances of
-    several rings, which may overlap, have their spans united afterwards.
+    the scanlines of the frame that it crosses; sorted by (row, x), two
+    consecutive crossings of a ring bound one span. All of it happens inside
+    the polygon's own row, in proportion to the crossings inside the frame,
+    and nothing is shuffled. Spans of several rings, which may overlap, are
+    united in place.
     """
-    spans = F.transform(F.filter("polygon", lambda r: F.size(r) >= 6), _ring_spans)
-    found = (
-        instances.withColumn("_several", F.size("polygon") > 1)
-        .withColumn("span", F.explode(F.flatten(spans)))
-        .select(
-            "image_id",
-            "class",
-            "instance_id",
-            "_several",
-            F.col("span.y").alias("y"),
-            F.greatest(F.lit(0), "span.x0").alias("x0"),
-            F.least("width", "span.x1").alias("x1"),
-            "height",
-        )
-        .filter((F.col("y") >= 0) & (F.col("y") < F.col("height")) & (F.col("x0") < F.col("x1")))
-        .drop("height")
-    )
-    single = found.filter(~F.col("_several")).drop("_several")
-    return single.unionByName(_disjoint(found.filter("_several").drop("_several")))
+    rings = F.filter("polygon", lambda r: F.size(r) >= 6)
+    spans = F.flatten(F.transform(rings, lambda r: _ring_spans(r, F.col("width"), F.col("height"))))
+    united = F.when(F.size("polygon") > 1, g.let(spans, _united)).otherwise(spans)
+    return instances.select("image_id", "class", "instance_id", F.inline(united)).filter("x0 < x1")
 
 
-def _ring_spans(ring):
-    """Spans ``(y, x0, x1)`` of one ring, before clipping to a frame."""
+def _ring_spans(ring, width, height):
+    """Spans ``(y, x0, x1)`` of one ring inside the frame."""
     n = g.n_points(ring)
 
     def crossings(i):
@@ -61,17 +46,20 @@ def _ring_spans(ring):
             F.get(ring, 2 * j).alias("x2"),
             F.get(ring, 2 * j + 1).alias("y2"),
         )
-        return g.let(edge, _edge_crossings)
+        return g.let(edge, lambda e: _edge_crossings(e, height))
 
     ordered = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), crossings)))
 
+    def column(x):  # first pixel whose centre is at or beyond x, clipped while still a double
+        return F.ceil(F.least(F.greatest(x - 0.5, F.lit(0.0)), width.cast("double"))).cast("int")
+
     def pair_up(cuts):
         pairs = F.transform(
             F.sequence(F.lit(0), F.size(cuts) - 2, F.lit(2)),
             lambda k: F.struct(
                 F.get(cuts, k)["y"].alias("y"),
-                F.ceil(F.get(cuts, k)["x"] - 0.5).cast("int").alias("x0"),
-                F.ceil(F.get(cuts, k + 1)["x"] - 0.5).cast("int").alias("x1"),
+                column(F.get(cuts, k)["x"]).alias("x0"),
+                column(F.get(cuts, k + 1)["x"]).alias("x1"),
             ),
         )
         return F.when(F.size(cuts) >= 2, pairs).otherwise(F.expr("array()"))
@@ -79,11 +67,11 @@ def _ring_spans(ring):
     return g.let(ordered, pair_up)
 
 
-def _edge_crossings(e):
-    """``(y, x)`` where an edge passes the centre line y + 0.5 of a row."""
+def _edge_crossings(e, height):
+    """``(y, x)`` where an edge passes the centre line y + 0.5 of a row of the frame."""
     low, high = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
-    first = F.ceil(low - 0.5).cast("int")
-    last = F.ceil(high - 0.5).cast("int") - 1
+    first = F.ceil(F.least(F.greatest(low - 0.5, F.lit(0.0)), height.cast("double"))).cast("int")
+    last = F.ceil(F.least(F.greatest(high - 0.5, F.lit(0.0)), height.cast("double"))).cast("int") - 1
     return F.when(
         first <= last,
         F.transform(
@@ -96,34 +84,33 @@ def _edge_crossings(e):
     ).otherwise(F.expr("array()"))
 
 
-def _disjoint(runs: DataFrame) -> DataFrame:
-    """Cut each run where earlier runs of the same instance row already reach."""
-    line = Window.partitionBy("image_id", "class", "instance_id", "y").orderBy("x0", "x1")
-    reached = F.max("x1").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    return (
-        runs.withColumn("_reached", reached)
-        .withColumn("x0", F.greatest("x0", "_reached"))
-        .filter(F.col("x0") < F.col("x1"))
-        .drop("_reached")
-    )
+def _united(spans):
+    """Spans cut where earlier ones of their row already reach."""
 
+    def add(state, s):
+        reach = F.when(s["y"] == state["y"], state["reach"]).otherwise(0)
+        x0 = F.greatest(s["x0"], reach)
+        rest = F.struct(s["y"].alias("y"), x0.alias("x0"), s["x1"].alias("x1"))
+        out = F.when(x0 < s["x1"], F.array_append(state["out"], rest)).otherwise(state["out"])
+        return F.struct(s["y"].alias("y"), F.greatest(reach, s["x1"]).alias("reach"), out.alias("out"))
 
-def run_pixels(runs: DataFrame) -> DataFrame:
-    return runs.withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1))).drop("x0", "x1")
+    none = F.expr("array()").cast("array<struct<y:int,x0:int,x1:int>>")
+    start = F.struct(F.lit(-1).alias("y"), F.lit(0).alias("reach"), none.alias("out"))
+    return F.aggregate(F.array_sort(spans), start, add, lambda s: s["out"])
 
 
 def merge_masks(runs: DataFrame, priority="category_id") -> DataFrame:
     """One class per pixel: the highest category wins an overlap.
 
     Runs become bit masks of 32-pixel cells. Masks of the same category unite
-    by ``bit_or``, combined map-side, so neither pixels nor instances are ever
+    by ``bit_or``, so neither pixels nor instances are ever
     listed; per cell the categories, at most the class vocabulary, then hide
     each other from the highest down. Instances of one category have one
     class, so which of them lies on top makes no difference.
     """
-    cells = _with_bits(runs).groupBy("image_id", "y", "cell", priority, "class").agg(
-        F.bit_or("bits").alias("bits")
-    )
+    # One exchange, by image row: every grouping below contains that key.
+    cells = _with_bits(runs).repartition("image_id", "y")
+    cells = cells.groupBy("image_id", "y", "cell", priority, "class").agg(F.bit_or("bits").alias("bits"))
     cell = Window.partitionBy("image_id", "y", "cell")
     above = F.bit_or("bits").over(
         cell.orderBy(F.col(priority).desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -200,13 +187,13 @@ def _maximal(runs: DataFrame) -> DataFrame:
     )
 
 
-def pixels_to_runs(pixels: DataFrame, keys) -> DataFrame:
-    """Distinct pixels to maximal runs. A window holds one image row at most."""
+def pixels_to_runs(pixels: DataFrame, keys, total: str) -> DataFrame:
+    """Distinct pixels to maximal runs with the sum of ``total``. A window holds one image row at most."""
     line = Window.partitionBy(*keys, "y").orderBy("x")
     return (
         pixels.withColumn("_island", F.col("x") - F.row_number().over(line))
         .groupBy(*keys, "y", "_island")
-        .agg(F.min("x").alias("x0"), (F.max("x") + 1).cast("int").alias("x1"))
+        .agg(F.min("x").alias("x0"), (F.max("x") + 1).cast("int").alias("x1"), F.sum(total).alias(total))
         .drop("_island")
     )
 
@@ -254,15 +241,15 @@ def _ceil_div(top, bottom):
 
 
 def components(
-    runs: DataFrame, tile: int = TILE, max_image_edges: int = MAX_IMAGE_EDGES, carry=()
+    runs: DataFrame, tile: int = TILE, carry=()
 ) -> DataFrame:
     """8-connected components per (image, class): runs plus ``component``.
 
     The component id is its first pixel in raster order, ``y * 2^31 + x``,
     whatever the tile size. Images are cut into tiles, so one huge image is
     many small tasks; each tile is labelled on its own, and the few labels
-    that meet across tile borders are united afterwards: within one task for
-    an image with few such meetings, by distributed star contraction else.
+    that meet across tile borders are united afterwards by distributed star
+    contraction.
     Columns named in ``carry`` stay with their run.
     """
     carry = list(carry)
@@ -277,22 +264,8 @@ def components(
             f"image_id string, class int, ty int, tx int, y int, x0 int, x1 int, label long{kept}",
         )
     )
-    edges = pinned(_border_edges(labelled, tile))
     image = ["image_id", "class"]
-    large = pinned(
-        edges.groupBy(*image)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > max_image_edges)
-        .select(*image)
-    )
-    crowded = bool(large.take(1))
-    few = edges.join(broadcast_if_small(large), image, "left_anti") if crowded else edges
-    roots = _map_whole_keys(
-        few, image, ["a", "b"], _unite_labels, "image_id string, class int, node long, root long"
-    )
-    if crowded:
-        many = edges.join(broadcast_if_small(large), image, "left_semi")
-        roots = roots.unionByName(star_contract(many, image))
+    roots = star_contract(_border_edges(labelled, tile), image)
     return labelled.join(
         roots.withColumnRenamed("node", "label"), [*image, "label"], "left"
     ).select(*image, "y", "x0", "x1", *carry, F.coalesce("root", "label").alias("component"))
@@ -394,27 +367,6 @@ def _label_tiles(tiles: pd.DataFrame) -> pd.DataFrame:
     return tiles.assign(label=(ys[roots].astype(np.int64) << _ROW_BITS) + x0s[roots])
 
 
-def _unite_labels(edges: pd.DataFrame) -> pd.DataFrame:
-    """Smallest connected label of every label, for the edges of whole images."""
-    images = [edges[c].to_numpy() for c in ("image_id", "class")]
-    starts = _group_starts(*images)
-    out = []
-    for lo, hi in zip(starts, np.append(starts[1:], len(edges))):
-        a, b = edges["a"].to_numpy()[lo:hi], edges["b"].to_numpy()[lo:hi]
-        nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-        parent = list(range(len(nodes)))
-        for i, j in zip(place[: hi - lo].tolist(), place[hi - lo :].tolist()):
-            i, j = _find(parent, i), _find(parent, j)
-            parent[max(i, j)] = min(i, j)
-        root = nodes[[_find(parent, i) for i in range(len(nodes))]]
-        out.append(
-            pd.DataFrame(
-                {"image_id": images[0][lo], "class": images[1][lo], "node": nodes, "root": root}
-            )
-        )
-    return pd.concat(out, ignore_index=True)
-
-
 def _border_edges(labelled: DataFrame, tile: int) -> DataFrame:
     """Label pairs touching across a tile border.
 
@@ -508,10 +460,13 @@ def predicted_instances(scored_pixels: DataFrame, tile: int = TILE):
         "image_id", "y", "x", scoring.argmax("probs").alias("class"),
         scoring.confidence("probs").alias("p"),
     ).filter(F.col("class") > 0)
-    runs = classed.withColumnRenamed("x", "x0").withColumn("x1", F.col("x0") + 1)
-    found = components(runs, tile, carry=["p"])  # unit runs stay unit runs
+    # A tile border would cut a run and its sum, so runs end at borders from the start.
+    classed = classed.withColumn("_tx", F.floor(F.col("x") / tile))
+    runs = pixels_to_runs(classed, ["image_id", "class", "_tx"], "p").drop("_tx")
+    found = components(runs, tile, carry=["p"])
     placed = found.withColumn("instance_id", F.format_string("%019d", F.col("component")))
+    n_pixels = F.sum(F.col("x1") - F.col("x0"))
     scores = placed.groupBy("image_id", "class", "instance_id").agg(
-        F.avg("p").alias("score"), F.count(F.lit(1)).alias("n_pixels")
+        (F.sum("p") / n_pixels).alias("score"), n_pixels.alias("n_pixels")
     )
     return scores, placed.select("image_id", "class", "instance_id", "y", "x0", "x1")

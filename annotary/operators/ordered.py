@@ -10,7 +10,7 @@ seen by an unpartitioned window.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annotary.session import broadcast_if_small, pinned
+from annotary.session import pinned, sized
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in the low bits
 _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
@@ -62,7 +62,7 @@ def running_totals(df: DataFrame, order_by, sums=None, partition_by=(), position
         ],
     )
     # One row per range partition, plus one per key that starts inside one.
-    offsets = broadcast_if_small(offsets)
+    offsets = sized(offsets)
 
     local = laid
     for name, value in sums.items():

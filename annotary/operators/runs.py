@@ -120,12 +120,17 @@ def last_finished(runs: DataFrame, n=5) -> DataFrame:
 
 
 def last_events(events: DataFrame, run_keys=("run",)) -> DataFrame:
-    """Newest event per run and kind; ``max_by`` merges map-side."""
+    """Newest event per run and kind; the maximum merges map-side.
+
+    If a restarted run logged an iteration twice, the later line counts where
+    events have a ``line``; else the largest of the other fields, in order.
+    """
     keys = [*run_keys, "type"]
     fields = [c for c in events.columns if c not in keys]
+    first = [c for c in ("iteration", "line") if c in fields]
     return (
         events.groupBy(*keys)
-        .agg(F.max_by(F.struct(*fields), "iteration").alias("_last"))
+        .agg(F.max(F.struct(*first, *[c for c in fields if c not in first])).alias("_last"))
         .select(*keys, *[F.col("_last")[c].alias(c) for c in fields])
     )
 

@@ -9,43 +9,38 @@ from pyspark.sql import functions as F
 
 from annotary.functions.naming import seeded_hash
 from annotary.operators.split import hex_digits
+from annotary.session import sized
 
-TOP_K_ROWS = 10_000  # up to here one task may hold the whole sample
+BUCKET_ROWS = 10_000  # rows of the one bucket that is ranked
 
 
 def seeded_subset(df: DataFrame, n_keep: int, seed: int, key="image_id") -> DataFrame:
     """Exactly ``min(n_keep, rows)`` rows; 0 is a valid request.
 
-    Small samples are a distributed top-k. Large ones would pass through one
-    task that way, so they are cut by hash bucket instead: whole buckets below
-    the cut, and a rank inside the single bucket that straddles it.
+    The sample is cut by hash bucket, so it never passes through one task:
+    whole buckets below the cut, and a rank inside the single bucket that
+    straddles it.
     """
     if n_keep < 0:
         raise ValueError("n_keep must not be negative")
     hashed = df.withColumn("_hash", seeded_hash(seed, key))
     order = [F.col("_hash"), F.col(key)]
-    if n_keep <= TOP_K_ROWS:
-        return hashed.orderBy(*order).limit(n_keep).drop("_hash")
-    return _bucketed_top(hashed, n_keep, order).drop("_hash")
-
-
-def _bucketed_top(hashed: DataFrame, n_keep: int, order) -> DataFrame:
-    digits = hex_digits(hashed.count(), TOP_K_ROWS)
+    digits = hex_digits(hashed.count(), BUCKET_ROWS)
     bucketed = hashed.withColumn("_bucket", F.substring("_hash", 1, digits))
     upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = (  # at most 16^4 rows
+    cuts = (  # one row a bucket
         bucketed.groupBy("_bucket")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select("_bucket", "_n", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
         .filter(F.col("_before") < n_keep)
     )
-    chosen = bucketed.join(F.broadcast(cuts), "_bucket")
+    chosen = bucketed.join(sized(cuts), "_bucket")
     whole = chosen.filter(F.col("_before") + F.col("_n") <= n_keep)
     partial = chosen.filter(F.col("_before") + F.col("_n") > n_keep)
     ranked = partial.withColumn(
         "_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
     ).filter(F.col("_rank") <= F.lit(n_keep) - F.col("_before"))
-    columns = hashed.columns
+    columns = df.columns
     return whole.select(*columns).unionByName(ranked.select(*columns))
 
 

@@ -97,9 +97,15 @@ def mean_iou(scores: DataFrame) -> DataFrame:
 
 
 def score_cube(scored: DataFrame, n_classes: int, n_bins: int = N_BINS) -> DataFrame:
-    """Counts and sums per (target, pred, bin): all the metrics' raw material."""
+    """Counts and sums per (target, pred, bin): all the metrics' raw material.
+
+    The loss of a row comes from its ``logits`` if there are any, else from
+    ``probs``, bounded as ``scoring.cross_entropy`` says.
+    """
     if n_bins < 1:
         raise ValueError("n_bins must be at least 1")
+    exact = "logits" in scored.columns
+    loss = scoring.logit_cross_entropy("logits", "target", n_classes) if exact else scoring.cross_entropy("probs", "target")
     rows = (
         with_prediction(scored)
         .select(
@@ -107,6 +113,7 @@ def score_cube(scored: DataFrame, n_classes: int, n_bins: int = N_BINS) -> DataF
             "pred",
             "probs",
             scoring.confidence("probs").alias("conf"),
+            loss.alias("ce"),
         )
         .withColumn("bin", scoring.confidence_bin("conf", n_bins))
     )
@@ -114,7 +121,7 @@ def score_cube(scored: DataFrame, n_classes: int, n_bins: int = N_BINS) -> DataF
         F.count(F.lit(1)).alias("n"),
         F.sum("conf").alias("conf_sum"),
         F.sum(scoring.squared_error("probs", "target", n_classes)).alias("brier_sum"),
-        F.sum(scoring.cross_entropy("probs", "target")).alias("ce_sum"),
+        F.sum("ce").alias("ce_sum"),
         *[F.sum(F.get("probs", c)).alias(f"p{c}") for c in range(n_classes)],
     )
     return cube.withColumn("target", _checked("target", n_classes))

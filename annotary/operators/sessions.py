@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annotary.functions.naming import THUMBNAIL_PREFIX, basename, group_micros
-from annotary.session import evaluate_once, pinned
+from annotary.session import evaluate_once, join_null_safe, pinned
 
 # Fixed value: time stamps at most this far apart belong to one session.
 SESSION_GAP_SECONDS = 60
@@ -49,7 +49,7 @@ def session_heads(stamped: DataFrame, keys=(), gap_seconds=SESSION_GAP_SECONDS)
         (F.col("bucket") + 1).alias("bucket"),
         F.col("last_us").alias("previous_us"),
     )
-    flagged = buckets.join(previous, [*keys, "bucket"], "left").select(
+    flagged = join_null_safe(buckets, previous, [*keys, "bucket"], "left").select(
         *keys,
         "bucket",
         _div(F.col("bucket"), era_width).alias("era"),
@@ -68,9 +68,9 @@ def session_heads(stamped: DataFrame, keys=(), gap_seconds=SESSION_GAP_SECONDS)
             *keys, "era", F.last("era_head", ignorenulls=True).over(by_era).alias("carry")
         )
     )
+    own = flagged.withColumn("own", F.last("head", ignorenulls=True).over(in_era))
     return (
-        flagged.withColumn("own", F.last("head", ignorenulls=True).over(in_era))
-        .join(carried, [*keys, "era"])
+        join_null_safe(own, carried, [*keys, "era"])
         .select(*keys, "bucket", F.coalesce("own", "carry")["id"].alias("session_id"))
     )
 
@@ -78,6 +78,8 @@ def session_heads(stamped: DataFrame, keys=(), gap_seconds=SESSION_GAP_SECONDS)
 def merge_sessions(df: DataFrame, id_col, ts_col, keys=(), gap_seconds=SESSION_GAP_SECONDS):
     """Add ``session_id`` to every row; a null time stamp keeps its own id.
 
+    Rows with a null key share one timeline, as a group of a grouping would.
+
     Only distinct ids matter to the outcome, and repeated ones change no
     bucket aggregate, so no prior de-duplication is shuffled.
     """
@@ -89,11 +91,8 @@ def merge_sessions(df: DataFrame, id_col, ts_col, keys=(), gap_seconds=SESSION_G
         keys,
         gap_seconds,
     )
-    merged = (
-        timed.withColumn("bucket", _div(_clock(df, ts_col), width))
-        .join(heads, [*keys, "bucket"])
-        .select(*df.columns, "session_id")
-    )
+    placed = timed.withColumn("bucket", _div(_clock(df, ts_col), width))
+    merged = join_null_safe(placed, heads, [*keys, "bucket"]).select(*df.columns, "session_id")
     untimed = df.filter(F.col(ts_col).isNull()).withColumn("session_id", F.col(id_col))
     return merged.unionByName(untimed)
 
@@ -113,7 +112,7 @@ def link_thumbnails(records: DataFrame, load_order="image_id") -> DataFrame:
     other rows neither shuffle nor pile up on a null key.
     """
     named = records.withColumn("_name", basename("file_path"))
-    is_thumb = F.col("_name").startswith(THUMBNAIL_PREFIX)
+    is_thumb = F.coalesce(F.col("_name").startswith(THUMBNAIL_PREFIX), F.lit(False))
     thumbs = named.filter(is_thumb).withColumn(
         "_twin", F.substring("_name", len(THUMBNAIL_PREFIX) + 1, 1 << 30)
     )

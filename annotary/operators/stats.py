@@ -5,10 +5,11 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annotary.session import broadcast_if_small
+from annotary.session import join_null_safe
 
 CLASS_SEPARATOR = "|"
 SPLITS = ["train", "val", "test"]
+# The columns of the statistics table, in order.
 STATS_COLUMNS = [
     "image_id",
     "source",
@@ -59,17 +60,17 @@ def image_stats_flat(images: DataFrame, instances: DataFrame) -> DataFrame:
 def source_stats(stats: DataFrame) -> DataFrame:
     """Per source: images, instances, density, mean size, distinct classes.
 
-    One aggregate for everything: the class sets merge map-side and hold at
-    most the class vocabulary.
+    Classes are counted as distinct (source, class) pairs; no set is collected.
     """
-    names = F.filter(F.split("classes", r"\|"), lambda c: c != "")
-    return stats.groupBy("source").agg(
+    totals = stats.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_images"),
         F.sum("n_instances").alias("n_instances"),
         F.avg("n_instances").alias("density"),
         F.avg("megapixels").alias("mean_megapixels"),
-        F.size(F.array_distinct(F.flatten(F.collect_set(names)))).cast("long").alias("n_classes"),
     )
+    names = stats.select("source", F.explode(F.split("classes", r"\|")).alias("_class"))
+    counts = names.filter(F.col("_class") != "").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("n_classes"))
+    return join_null_safe(totals, counts, ["source"], "left").withColumn("n_classes", F.coalesce("n_classes", F.lit(0)))
 
 
 def class_source_pivot(instances: DataFrame, sources, class_col="canonical") -> DataFrame:
@@ -155,7 +156,7 @@ def strata_sizes(images: DataFrame, buckets: DataFrame, by=("source",)) -> DataF
         F.col("hi").isNull() | (F.col("n_instances") <= F.col("hi"))
     )
     return (
-        per_count.join(broadcast_if_small(buckets), inside)
+        per_count.join(buckets, inside)
         .groupBy(*by, "label")
         .agg(F.sum("n").alias("n_images"))
     )

@@ -10,7 +10,6 @@ from annotary.checks import (
     UnknownSourceError,
     require_empty,
 )
-from annotary.session import broadcast_if_small
 
 # Rule vocabularies and the coarse class order of the masks.
 DECISIONS = ["map", "keep_specific", "exclude"]
@@ -115,12 +114,12 @@ def observed_classes(instances: DataFrame) -> DataFrame:
 def unmapped_classes(instances: DataFrame, mappings: DataFrame) -> DataFrame:
     """Observed classes without an entry; ``kind`` tells source from class."""
     missing = observed_classes(instances).join(
-        broadcast_if_small(mappings.select("source", "source_class").distinct()),
+        mappings.select("source", "source_class").distinct(),
         ["source", "source_class"],
         "left_anti",
     )
     known = mappings.select("source").distinct().withColumn("_known", F.lit(True))
-    return missing.join(broadcast_if_small(known), "source", "left").select(
+    return missing.join(known, "source", "left").select(
         "source",
         "source_class",
         F.when(F.col("_known"), "unknown class").otherwise("unknown source").alias("kind"),
@@ -130,24 +129,25 @@ def unmapped_classes(instances: DataFrame, mappings: DataFrame) -> DataFrame:
 def require_coverage(instances: DataFrame, mappings: DataFrame) -> None:
     """Two different errors: a source nobody knows, a class nobody arbitrated."""
     missing = unmapped_classes(instances, mappings).orderBy("source", "source_class")
+    known = [row[0] for row in mappings.select("source").distinct().orderBy("source").collect()]
     require_empty(
-        missing.filter(F.col("kind") == "unknown source"), "taxonomy coverage", UnknownSourceError
+        missing.filter(F.col("kind") == "unknown source"),
+        f"taxonomy coverage (known sources: {known})",
+        UnknownSourceError,
     )
     require_empty(missing, "taxonomy coverage", UnknownClassError)
 
 
-def harmonise(instances: DataFrame, mappings: DataFrame, check=True) -> DataFrame:
+def harmonise(instances: DataFrame, mappings: DataFrame) -> DataFrame:
     """Add ``canonical``; excluded classes drop the instance, never the image.
 
-    With ``check`` an unmapped class stops the job. Without, unmapped rows
-    vanish like excluded ones; run ``require_coverage`` beforehand then.
+    An unmapped class stops the job.
     """
-    if check:
-        require_coverage(instances, mappings)
+    require_coverage(instances, mappings)
     table = mappings.filter(F.col("decision") != "exclude").select(
         "source", "source_class", "canonical"
     )
-    return instances.join(broadcast_if_small(table), ["source", "source_class"])
+    return instances.join(table, ["source", "source_class"])
 
 
 def map_with(instances: DataFrame, mapping_fn) -> DataFrame:
@@ -159,7 +159,7 @@ def map_with(instances: DataFrame, mapping_fn) -> DataFrame:
     table = (
         instances.select("source_class").distinct().withColumn("canonical", as_udf("source_class"))
     ).filter(F.col("canonical").isNotNull())
-    return instances.join(broadcast_if_small(table), "source_class")
+    return instances.join(table, "source_class")
 
 
 def with_coarse_class(instances: DataFrame, canonical: DataFrame, check=True) -> DataFrame:
@@ -169,10 +169,10 @@ def with_coarse_class(instances: DataFrame, canonical: DataFrame, check=True) ->
     ids local to a file. A class without size is an error here.
     """
     table = canonical.select(F.col("name").alias("canonical"), "group", "size")
-    joined = instances.join(broadcast_if_small(table), "canonical", "left")
+    joined = instances.join(table, "canonical", "left")
     if check:
         names = instances.select("canonical").distinct().join(
-            broadcast_if_small(table), "canonical", "left"
+            table, "canonical", "left"
         )
         require_empty(
             names.filter(F.col("group").isNull()), "unknown canonical class", UnknownClassError

@@ -116,8 +116,8 @@ def _predictions(spark, sf_dir):
     )
 
 
-def _matched(spark, sf_dir, **options):
-    return inst.greedy_matches(_predictions(spark, sf_dir), _pairs(spark, sf_dir), **options)
+def _matched(spark, sf_dir):
+    return inst.greedy_matches(_predictions(spark, sf_dir), _pairs(spark, sf_dir))
 
 
 def _ap(spark, sf_dir):
@@ -141,8 +141,8 @@ def greedy_match(spark, sf_dir):
 @query(f"""WITH RECURSIVE {_MATCHES}
 SELECT image_id, class, pred_id, score, threshold, is_tp FROM matches""")
 def greedy_match_rounds(spark, sf_dir):
-    """The same through the path for groups too large for one task."""
-    return inst.match_table(_matched(spark, sf_dir, max_group_edges=0))
+    """The same by rounds over the whole cluster."""
+    return inst.match_table(inst.greedy_matches_in_rounds(_predictions(spark, sf_dir), _pairs(spark, sf_dir)))
 
 
 @query(f"""WITH RECURSIVE {_AP}

@@ -146,6 +146,7 @@ def merged_confusion(spark, sf_dir):
         return m.confusion(m.with_prediction(_scored_of(lines)), K)
 
     recent = F.col("l_shipdate") >= F.lit("1999-01-01").cast("timestamp_ntz")
+    recent = F.coalesce(recent, F.lit(False))  # lines without a date belong to the first part
     return m.merge_confusions(part(recent), part(~recent))
 
 

@@ -190,11 +190,9 @@ ranked AS (SELECT image_id, row_number() OVER (
     ORDER BY substr(sha256('42:' || image_id), 1, 16), image_id) AS r FROM images)
 SELECT image_id FROM ranked, half WHERE r <= k""")
 def seeded_half(spark, sf_dir):
-    """Half of all images: cut by hash bucket, not by a top-k in one task."""
+    """Half of all images."""
     images = standin.images(spark, sf_dir).select("image_id")
-    hashed = images.withColumn("_hash", naming.seeded_hash(42, "image_id"))
-    half = images.count() // 2
-    return sampling._bucketed_top(hashed, half, [F.col("_hash"), F.col("image_id")]).drop("_hash")
+    return sampling.seeded_subset(images, images.count() // 2, 42)
 
 
 @query(f"""WITH {sql.COUNTED}

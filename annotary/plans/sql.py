@@ -31,7 +31,7 @@ boxes AS (
 MAPPING = """
 mapping(source_class, canonical, decision) AS (VALUES
   ('AF', 'scratch', 'map'), ('AO', 'dent', 'map'), ('NF', 'crack', 'keep_specific'),
-  ('NO', 'lamp_broken', 'map'), ('RF', CAST(NULL AS VARCHAR), 'exclude'))"""
+  ('NO', 'lamp_broken', 'map'), ('RF', CAST(NULL AS VARCHAR), 'exclude'), ('RO', CAST(NULL AS VARCHAR), 'exclude'))"""
 
 
 def split(corpus="''", official="FALSE", seed=42, source="counted"):

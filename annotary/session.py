@@ -1,4 +1,4 @@
-"""Session helpers: settings, shared scratch folder, size-checked broadcast."""
+"""Session helpers: settings, shared scratch folder, null-safe joins, sized frames."""
 
 import tempfile
 import uuid
@@ -6,8 +6,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 50_000
-
 
 def build_session(app_name="annotary", master=None, conf=None):
     """A session with the settings the library is written for.
@@ -77,14 +75,21 @@ def evaluate_once(df: DataFrame, **columns) -> DataFrame:
     return df.select("*", F.inline(F.array(row)))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast copy of ``df`` if it proves to have few rows.
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` computed once, as a table whose size in bytes the planner knows.
 
-    One bounded job fetches at most ``max_rows + 1`` rows. Within the bound
-    they become a local table, so the frame is computed once and joined by
-    broadcast; beyond it the frame itself is returned and the join shuffles.
+    So Spark itself chooses between a broadcast and a shuffle, by its
+    threshold in bytes, and nothing passes through the driver unasked.
     """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
+    path = scratch_path(df.sparkSession, "sized")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys, how="inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null meets null; the left keys are kept."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = F.lit(True)
+    for key in keys:
+        on = on & F.col(key).eqNullSafe(F.col(f"_r_{key}"))
+    return left.join(named, on, how).drop(*[f"_r_{key}" for key in keys])

@@ -7,7 +7,6 @@ from annotary import schemas
 from annotary.checks import CorpusError, require_empty
 from annotary.functions.naming import image_key
 from annotary.operators.records import clean_instances, nest_records
-from annotary.session import broadcast_if_small
 from annotary.sources.images import list_files, require_files
 
 # Corpus name and official splits.
@@ -30,7 +29,7 @@ def coco_tables(documents: DataFrame):
     raw = documents.select(F.explode("annotations").alias("a")).select("a.*")
     categories = documents.select(F.explode("categories").alias("c")).select("c.*").distinct()
     names = categories.select(F.col("id").alias("category_id"), F.col("name").alias("source_class"))
-    named = raw.join(broadcast_if_small(names), "category_id", "left")
+    named = raw.join(names, "category_id", "left")
     odd = (
         (F.coalesce("iscrowd", F.lit(0)) != 0)
         | ~F.coalesce(F.ltrim("segmentation").startswith("["), F.lit(False))
@@ -111,7 +110,7 @@ def class_counts(annotations: DataFrame, categories: DataFrame, images: DataFram
     return (
         annotations.select("image_id", "category_id")
         .join(images.select(F.col("id").alias("image_id"), "source"), "image_id")
-        .join(broadcast_if_small(names), "category_id")
+        .join(names, "category_id")
         .groupBy("class", "source")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-INFO = "car damage segmentation (unified records)"
+INFO = "images of damaged cars with polygon annotations from several sources"
 
 
 def write_triple(images: DataFrame, annotations: DataFrame, categories: DataFrame, path) -> None:
@@ -68,14 +68,19 @@ def markdown_lines(df: DataFrame, columns=None) -> DataFrame:
     )
 
 
-def markdown_table(df: DataFrame, columns=None, max_rows=1000) -> str:
-    """Markdown text of a report table (one row per source, class or split).
+def markdown_head(columns) -> list[str]:
+    return ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
 
-    Refuses a table larger than a report can be, instead of cutting it.
-    """
+
+def write_markdown(df: DataFrame, path, order_by=()) -> None:
+    """A table of any size as Markdown part files; in name order they are one table."""
+    body = markdown_lines(df.orderBy(*order_by) if order_by else df).withColumn("_section", F.lit(1))
+    head = df.sparkSession.createDataFrame([("\n".join(markdown_head(df.columns)), 0)], "value string, _section int")
+    head.unionByName(body).select("value").write.mode("overwrite").text(path)
+
+
+def markdown_table(df: DataFrame, columns=None) -> str:
+    """Markdown text of a report table (one row per source, class or split)."""
     columns = columns or df.columns
-    rows = markdown_lines(df, columns).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} rows: not a report table")
-    head = "| " + " | ".join(columns) + " |"
-    return "\n".join([head, "|" + "---|" * len(columns), *[r["value"] for r in rows]])
+    rows = markdown_lines(df, columns).collect()
+    return "\n".join([*markdown_head(columns), *[r["value"] for r in rows]])
