@@ -15,7 +15,7 @@ from annotary.llm import text as tx
 from annotary.llm.shared import free_name
 
 SLOTS = 1 << 18
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 EPOCHS = 3
 
 
@@ -38,7 +38,7 @@ def sampled(labelled: DataFrame, rows: int) -> DataFrame:
     return labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0))
 
 
-def packed(labelled: DataFrame, most: int = 1 << 25):
+def packed(labelled: DataFrame):
     """Sampled rows (text, label) as (label, slots, values), in a fixed order, for training on the driver."""
 
     def pack(batches):
@@ -57,7 +57,7 @@ def packed(labelled: DataFrame, most: int = 1 << 25):
 
     rows = labelled.select("text", F.col("label").cast("int")).mapInArrow(pack, "label int, slots binary, values binary").toArrow()
     found = [
-        (y, np.frombuffer(s, np.int32), np.frombuffer(v, np.float32).astype(float))
+        (y, np.frombuffer(s, np.int32), np.frombuffer(v, np.float32))
         for y, s, v in zip(*(rows[c].to_pylist() for c in ("label", "slots", "values")))
     ]
     found.sort(key=lambda r: (int(r[1].astype(np.int64).sum() * 2654435761 % 1000003), len(r[1]), r[0]))

@@ -71,12 +71,14 @@ class CrossParser:
         for k, c in enumerate(alphabet):
             self.codes[ord(c)] = k + 1
         n = len(alphabet) + 1
-        # A missing way leads back over the start: the phrase ends and the next begins with this character.
+        # A negative entry begins a phrase with this character: at the start, and where there is no way on.
         self.tables = []
         for name in self.languages:
             table = suffix_automaton(self.encode(samples[name]).tolist(), n)
             start = np.maximum(table[0], 0)
-            self.tables.append((np.where(table < 0, ~start, table).astype(np.int32).ravel(), n))
+            begins = table < 0
+            begins[0] = True
+            self.tables.append((np.where(begins, ~start, table).astype(np.int32).ravel(), n))
 
     def encode(self, text: str) -> np.ndarray:
         return self.codes[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
@@ -97,13 +99,13 @@ class CrossParser:
         alive = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
         for k, (table, n) in enumerate(self.tables):
             state = np.zeros(len(strips), np.int32)
-            broken = np.ones(len(strips), np.int64)
+            count = np.zeros(len(strips), np.int64)
             for row, live in zip(grid, alive):
                 to = table[state[:live] * n + row[:live]]
                 ends = to < 0
-                broken[:live] += ends
+                count[:live] += ends
                 state[:live] = np.where(ends, ~to, to)
-            out[:, k] = np.bincount(owner, broken, len(texts))
+            out[:, k] = np.bincount(owner, count, len(texts))
         return out
 
     def predict(self, texts):

@@ -19,7 +19,7 @@ from annotary.llm.shared import free_name, written
 #: Domains of the labels table, in the order 2 * toxic + quality, and the shares of tokens wanted.
 DOMAINS = ("poor", "good", "toxic_poor", "toxic_good")
 TARGETS = {"poor": 0.06, "good": 0.88, "toxic_poor": 0.01, "toxic_good": 0.05}
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 STEPS = 60
 TOLERANCE = 1e-6
 
@@ -97,10 +97,12 @@ def fit_rates(narrow: DataFrame, targets, steps: int = STEPS):
     wanted = np.asarray(targets, float) / sum(targets) * total
     inverse = np.linalg.pinv(gram, rcond=1e-12, hermitian=True)
     pulls: list[np.ndarray] = []
+    before = np.full(n, np.inf)
     for _ in range(steps if total else 0):
         got = summed(lambda t, p: (rates(t, p, pulls) * t) @ p, n)
-        if np.abs(got - wanted).max() <= TOLERANCE * total:
-            break
+        if min(np.abs(got - wanted).max(), np.abs(got - before).max()) <= TOLERANCE * total:
+            break  # met, or as near as it gets
+        before = got
         pulls.append(inverse @ (got - wanted))
     return pulls
 
