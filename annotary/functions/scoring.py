@@ -10,6 +10,8 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from annotary.functions.geometry import let
+
 
 def _col(value):
     return F.col(value) if isinstance(value, str) else value
@@ -31,11 +33,19 @@ def softmax(logits, n_classes=None) -> Column:
         exps = [F.exp(v - top) for v in items]
         total = reduce(add, exps)
         return F.array(*[e / total for e in exps])
-    logits = F.transform(_col(logits), lambda v: v.cast("double"))
-    top = F.array_max(logits)
-    exps = F.transform(logits, lambda v: F.exp(v - top))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(exps, lambda v: v / total)
+    # Inside an array function an expression is evaluated for every element, so
+    # what all elements need is computed first.
+    def scaled(s):
+        return F.transform(s["values"], lambda v: F.exp(v - s["top"]))
+
+    def shares(exps):
+        total = F.aggregate(exps, F.lit(0.0), lambda acc, v: acc + v)
+        both = F.struct(exps.alias("exps"), total.alias("total"))
+        return let(both, lambda b: F.transform(b["exps"], lambda v: v / b["total"]))
+
+    values = F.transform(_col(logits), lambda v: v.cast("double"))
+    both = let(values, lambda v: F.struct(v.alias("values"), F.array_max(v).alias("top")))
+    return let(let(both, scaled), shares)
 
 
 def argmax(scores) -> Column:

@@ -28,8 +28,7 @@ def polygon_runs(instances: DataFrame) -> DataFrame:
     and nothing is shuffled. Spans of several rings, which may overlap, are
     united in place.
     """
-    rings = F.filter("polygon", lambda r: F.size(r) >= 6)
-    spans = F.flatten(F.transform(rings, lambda r: _ring_spans(r, F.col("width"), F.col("height"))))
+    spans = F.flatten(F.transform(g.readable_rings("polygon"), lambda r: _ring_spans(r, F.col("width"), F.col("height"))))
     united = F.when(F.size("polygon") > 1, g.let(spans, _united)).otherwise(spans)
     return instances.select("image_id", "class", "instance_id", F.inline(united)).filter("x0 < x1")
 

@@ -32,6 +32,7 @@ def load() -> dict[str, Query]:
     from annotary.plans import (  # noqa: F401
         catalog_corpus,
         catalog_masks,
+        catalog_rules,
         catalog_runs,
         catalog_scored,
         catalog_split,

@@ -126,25 +126,27 @@ areas AS (SELECT vec_id,
   abs((a[1]*a[4]-a[3]*a[2]) + (a[3]*a[6]-a[5]*a[4]) + (a[5]*a[8]-a[7]*a[6]) + (a[7]*a[2]-a[1]*a[8])) / 2 AS quad,
   CASE WHEN label < 3 THEN 0.0::DOUBLE ELSE
     abs((a[9]*a[12]-a[11]*a[10]) + (a[11]*a[14]-a[13]*a[12]) + (a[13]*a[10]-a[9]*a[14])) / 2 END AS tri
-  FROM v)
-SELECT vec_id, CAST(1 + (quad = 0)::INT + (tri = 0)::INT AS BIGINT) AS n_degenerate,
-  quad = 0 AND tri = 0 AS dropped, round(quad + tri, 6) AS area FROM areas""")
+  FROM v),
+sides AS (SELECT vec_id, a, unnest(range(25)) AS i FROM v),
+rest AS (SELECT vec_id, abs(sum(a[15 + 2 * i] * a[16 + 2 * ((i + 1) % 25)] - a[15 + 2 * ((i + 1) % 25)] * a[16 + 2 * i])) / 2 AS big FROM sides GROUP BY 1)
+SELECT vec_id, CAST(1 + (quad = 0)::INT + (tri = 0)::INT + (big = 0)::INT AS BIGINT) AS n_degenerate,
+  quad = 0 AND tri = 0 AND big = 0 AS dropped, round(quad + tri + big, 5) AS area FROM areas JOIN rest USING (vec_id)""")
 def clean_rings(spark, sf_dir):
-    """Three rings per vector: a quadrangle, a two-point ring, and a triangle
-    that collapses to one point for small labels."""
+    """Four rings per vector: a quadrangle, a two-point ring, a triangle that
+    collapses to one point for small labels, and all the rest."""
     e = F.transform("embedding", lambda v: v.cast("double"))
     point = F.slice("e", 9, 2)
     third = F.when(F.col("label") < 3, F.concat(point, point, point)).otherwise(F.slice("e", 9, 6))
     inst = (
         standin.table(spark, sf_dir, "embeddings")
         .withColumn("e", e)
-        .select("vec_id", F.array(F.slice("e", 1, 8), F.slice("e", 1, 4), third).alias("polygon"))
+        .select("vec_id", F.array(F.slice("e", 1, 8), F.slice("e", 1, 4), third, F.slice("e", 15, 50)).alias("polygon"))
     )
     return records.clean_instances(inst).select(
         "vec_id",
         F.col("n_degenerate").cast("long").alias("n_degenerate"),
         "dropped",
-        F.round("area", 6).alias("area"),
+        F.round("area", 5).alias("area"),
     )
 
 
@@ -428,11 +430,11 @@ def coco_categories(spark, sf_dir):
     return coco.category_table(_harmonised(spark, sf_dir))
 
 
-@query("""SELECT split_part(url, '?', 1) AS image_id, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1""")
+@query("""SELECT split_part(url, '/', 3) AS image_id, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1""")
 def duplicate_ids(spark, sf_dir):
-    """Pages whose address without its query is not unique."""
+    """Hosts as keys: those of more than one page repeat."""
     pages = standin.table(spark, sf_dir, "pages").select(
-        F.substring_index("url", "?", 1).alias("image_id")
+        F.split_part("url", F.lit("/"), F.lit(3)).alias("image_id")
     )
     return coco.duplicate_ids(pages)
 

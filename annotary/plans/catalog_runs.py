@@ -1,5 +1,6 @@
 """Experiment run and progress queries; also the streaming ones."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from annotary.operators import runs as r
@@ -10,7 +11,7 @@ from annotary.sources import sinks
 from annotary.sources.run_files import run_events
 from annotary.streaming import progress as live_progress
 from annotary.streaming import sessions as live_sessions
-from annotary.streaming.sinks import drain_append, drain_complete
+from annotary.streaming.sinks import drain_append, drain_update
 
 _RUNS = """runs AS (
   SELECT c_mktsegment AS campaign, 'run-' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS run,
@@ -317,25 +318,30 @@ def stream_progress(spark, sf_dir):
         ]
     )
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).json(path)
-    return drain_complete(live_progress.live_last_events(stream), "progress")
+    return drain_update(live_progress.live_last_events(stream), "progress", ["run", "type"])
 
 
 @query("""WITH flagged AS (
   SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 3600 SECOND THEN 1 ELSE 0 END AS fresh
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM flagged),
-grouped AS (SELECT user_id, k, arg_min(event_id, ts) AS session_id, count(*) AS n_events, max(ts) AS last_ts
-            FROM numbered GROUP BY 1, 2)
-SELECT user_id, session_id, n_events FROM grouped
-WHERE last_ts + INTERVAL 3600 SECOND <= (SELECT max(ts) FROM events) - INTERVAL 600 SECOND""")
+grouped AS (SELECT user_id, k, arg_min(event_id, (ts, event_id)) AS session_id, count(*) AS n_events FROM numbered GROUP BY 1, 2)
+SELECT user_id, session_id, n_events FROM grouped""")
 def stream_sessions(spark, sf_dir):
-    """Sessions per user on a live stream: those the watermark has closed."""
-    stored = standin.table(spark, sf_dir, "events")
-    stream = (
-        spark.readStream.schema(stored.schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
-        .withColumn("ts", F.col("ts").cast("timestamp"))
-    )
+    """Sessions per user on a live stream of several files, each in no order.
+
+    A last row far ahead in time ends the stream, so that the watermark closes
+    the sessions still open; it is no event itself.
+    """
+    stored = standin.table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    path = scratch_path(spark, "landed")
+    parts = F.ntile(3).over(Window.orderBy("day"))  # one row a day
+    days = stored.select(F.to_date("ts").alias("day")).distinct().withColumn("part", parts)
+    placed = stored.withColumn("day", F.to_date("ts")).join(days, "day").drop("day")
+    for part in (1, 2, 3):
+        placed.filter(F.col("part") == part).drop("part").repartition(2, "event_id").write.mode("append").parquet(path)
+    end = stored.agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
+    end.select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), "ts").write.mode("append").parquet(path)
+    stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 2).parquet(path)
     closed = live_sessions.live_sessions(stream, ["user_id"], "event_id", "ts", "10 minutes", 3600)
-    return drain_append(closed, "sessions").select("user_id", "session_id", "n_events")
+    return drain_append(closed, "sessions").filter("user_id >= 0").select("user_id", "session_id", "n_events")

@@ -6,6 +6,7 @@ from annotary.functions import scoring
 from annotary.operators import scored as m
 from annotary.plans import standin
 from annotary.plans.catalog import query
+from annotary.session import evaluate_once
 from annotary.streaming import scored as live
 from annotary.streaming.sinks import drain_complete
 
@@ -58,19 +59,16 @@ def scored_lines(spark, sf_dir):
     return _scored_of(standin.table(spark, sf_dir, "lineitem"))
 
 
-@query("""WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings),
-x AS (SELECT vec_id, exp(a - greatest(a, b, c)) AS a, exp(b - greatest(a, b, c)) AS b, exp(c - greatest(a, b, c)) AS c FROM e)
-SELECT vec_id, round(a / (a + b + c), 6) AS p0, round(b / (a + b + c), 6) AS p1, round(c / (a + b + c), 6) AS p2,
-  CASE greatest(a, b, c) WHEN a THEN 0 WHEN b THEN 1 ELSE 2 END AS pred FROM x""")
+@query("""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS class FROM embeddings),
+x AS (SELECT *, max(v) OVER (PARTITION BY vec_id) AS top FROM e),
+p AS (SELECT *, exp(v - top) / sum(exp(v - top)) OVER (PARTITION BY vec_id) AS p FROM x)
+SELECT vec_id, CAST(class AS INTEGER) AS class, round(p, 6) AS p,
+  CAST(min(class) FILTER (v = top) OVER (PARTITION BY vec_id) AS INTEGER) AS pred FROM p""")
 def softmax_scores(spark, sf_dir):
-    probs = standin.table(spark, sf_dir, "embeddings").select(
-        "vec_id", scoring.softmax("embedding", K).alias("p")
-    )
-    return probs.select(
-        "vec_id",
-        *[F.round(F.get("p", k), 6).alias(f"p{k}") for k in range(K)],
-        scoring.argmax("p").alias("pred"),
-    )
+    """Whole vectors as logits."""
+    vectors = evaluate_once(standin.table(spark, sf_dir, "embeddings"), probs=scoring.softmax("embedding"))
+    rows = vectors.select("vec_id", scoring.argmax("probs").alias("pred"), F.posexplode("probs").alias("class", "p"))
+    return rows.select("vec_id", "class", F.round("p", 6).alias("p"), "pred")
 
 
 @query(f"WITH {_SCORED} SELECT target, pred, n FROM confusion")
@@ -153,12 +151,7 @@ def merged_confusion(spark, sf_dir):
 @query(f"WITH {_SCORED} SELECT target, pred, n FROM confusion")
 def stream_confusion(spark, sf_dir):
     """The running confusion table of a stream that has caught up."""
-    stored = standin.table(spark, sf_dir, "lineitem")
-    stream = (
-        spark.readStream.schema(stored.schema)
-        .option("pathGlobFilter", "lineitem.parquet")
-        .parquet(sf_dir)
-    )
+    stream = standin.landed(spark, sf_dir, "lineitem")
     counts = drain_complete(live.running_confusion(_scored_of(stream), K), "confusion")
     return m.complete_grid(counts, K)
 
@@ -167,12 +160,7 @@ def stream_confusion(spark, sf_dir):
 SELECT bin, n, round(mean_confidence, 6) AS mean_confidence, round(accuracy, 6) AS accuracy FROM bins""")
 def stream_reliability(spark, sf_dir):
     """Reliability bins from the streamed score cube."""
-    stored = standin.table(spark, sf_dir, "lineitem")
-    stream = (
-        spark.readStream.schema(stored.schema)
-        .option("pathGlobFilter", "lineitem.parquet")
-        .parquet(sf_dir)
-    )
+    stream = standin.landed(spark, sf_dir, "lineitem")
     bins = m.reliability_bins(drain_complete(live.running_cube(_scored_of(stream), K), "cube"))
     return bins.withColumn("mean_confidence", F.round("mean_confidence", 6)).withColumn(
         "accuracy", F.round("accuracy", 6)

@@ -9,6 +9,8 @@ its whole table.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annotary.session import scratch_path
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -63,3 +65,10 @@ def counted_images(spark, sf_dir) -> DataFrame:
         F.concat(F.lit("img/"), F.col("l_orderkey").cast("string")).alias("image_id")
     )
     return with_instance_counts(images(spark, sf_dir), lines)
+
+
+def landed(spark, sf_dir, name, files=4) -> DataFrame:
+    """A table as a stream of ``files`` files, two to a micro-batch, so that state is merged."""
+    stored, path = table(spark, sf_dir, name), scratch_path(spark, "landed")
+    stored.repartition(files).write.parquet(path)
+    return spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 2).parquet(path)

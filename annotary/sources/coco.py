@@ -19,24 +19,34 @@ def coco_documents(spark: SparkSession, path, lines=False) -> DataFrame:
     return spark.read.schema(schemas.COCO_DOCUMENT).json(path, multiLine=not lines)
 
 
-def coco_tables(documents: DataFrame):
-    """``(images, annotations, categories)`` with polygons parsed.
-
-    Run-length or crowd annotations, and categories nobody declared, stop the
-    job: they mean a corpus of another kind.
-    """
-    images = documents.select(F.explode("images").alias("i")).select("i.*")
+def named_annotations(documents: DataFrame):
+    """``(annotations, categories)`` as they are, each annotation with its class name, if it has one."""
     raw = documents.select(F.explode("annotations").alias("a")).select("a.*")
     categories = documents.select(F.explode("categories").alias("c")).select("c.*").distinct()
     names = categories.select(F.col("id").alias("category_id"), F.col("name").alias("source_class"))
-    named = raw.join(names, "category_id", "left")
+    return raw.join(names, "category_id", "left"), categories
+
+
+def rejected(named: DataFrame) -> DataFrame:
+    """Run-length and crowd annotations, and those of a category nobody declared."""
     odd = (
         (F.coalesce("iscrowd", F.lit(0)) != 0)
         | ~F.coalesce(F.ltrim("segmentation").startswith("["), F.lit(False))
         | F.col("source_class").isNull()
     )
+    return named.filter(odd).select("id", "image_id", "category_id", "iscrowd")
+
+
+def coco_tables(documents: DataFrame):
+    """``(images, annotations, categories)`` with polygons parsed.
+
+    Run-length or crowd annotations, and categories nobody declared, stop the
+    job: they mean a corpus of another kind.
+    """
+    images = documents.select(F.explode("images").alias("i")).select("i.*")
+    named, categories = named_annotations(documents)
     require_empty(
-        named.filter(odd).select("id", "image_id", "category_id", "iscrowd"),
+        rejected(named),
         "run-length, crowd or uncategorised annotation",
         CorpusError,
     )

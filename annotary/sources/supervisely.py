@@ -26,9 +26,9 @@ CLASSES = [
 ]
 
 
-def class_set_difference(spark: SparkSession, meta_path, expected=CLASSES) -> DataFrame:
+def class_set_difference(spark: SparkSession, meta_path, expected=CLASSES, lines=False) -> DataFrame:
     """Titles declared but not expected, or the reverse; empty when equal."""
-    meta = spark.read.schema(schemas.SUPERVISELY_META).json(meta_path, multiLine=True)
+    meta = spark.read.schema(schemas.SUPERVISELY_META).json(meta_path, multiLine=not lines)
     declared = meta.select(F.explode("classes.title").alias("title")).distinct()
     wanted = spark.createDataFrame([(c,) for c in expected], "title string")
     return declared.subtract(wanted).unionByName(wanted.subtract(declared))

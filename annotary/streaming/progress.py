@@ -16,5 +16,5 @@ def event_stream(spark: SparkSession, path) -> DataFrame:
 
 
 def live_last_events(events: DataFrame, run_keys=("run",)) -> DataFrame:
-    """Newest event per (run, kind); state is one row each. Mode ``complete``."""
+    """Newest event per (run, kind); state is one row each. Mode ``update``."""
     return last_events(events, run_keys)

@@ -1,6 +1,8 @@
 """Running a stream over what has landed, into tables in the shared folder."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from annotary.session import scratch_path
 
@@ -46,3 +48,31 @@ def drain_complete(stream: DataFrame, name: str) -> DataFrame:
     if not done:
         return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{out}/batch={max(done)}")
+
+
+def drain_update(stream: DataFrame, name: str, keys) -> DataFrame:
+    """Process everything available in update mode; the newest row of every key.
+
+    A micro-batch writes only the rows that changed, into its own folder;
+    the batch number decides between rows of a key.
+    """
+    spark = stream.sparkSession
+    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+
+    def write(batch: DataFrame, batch_id: int):
+        batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/part={batch_id}")
+
+    query = (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", state)
+        .outputMode("update")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    if query.lastProgress is None:
+        return spark.createDataFrame([], stream.schema)
+    values = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(T.StructType([*stream.schema, T.StructField("_batch", T.LongType())])).parquet(f"{out}/part=*")
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_row"))
+    return newest.select(*keys, "_row.*").select(*stream.columns)
