@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from annotary.functions.naming import (
     bucket_array_label,
@@ -123,14 +124,16 @@ def last_events(events: DataFrame, run_keys=("run",)) -> DataFrame:
     """Newest event per run and kind; the maximum merges map-side.
 
     If a restarted run logged an iteration twice, the later line counts where
-    events have a ``line``; else the largest of the other fields, in order.
+    events have a ``line``; else the largest of the other fields, in order (maps as text).
     """
     keys = [*run_keys, "type"]
     fields = [c for c in events.columns if c not in keys]
     first = [c for c in ("iteration", "line") if c in fields]
+    rest = [c for c in fields if c not in first]
+    order = [F.to_json(c) if isinstance(events.schema[c].dataType, T.MapType) else F.col(c) for c in rest]
     return (
         events.groupBy(*keys)
-        .agg(F.max(F.struct(*first, *[c for c in fields if c not in first])).alias("_last"))
+        .agg(F.max_by(F.struct(*fields), F.struct(*first, *order)).alias("_last"))
         .select(*keys, *[F.col("_last")[c].alias(c) for c in fields])
     )
 

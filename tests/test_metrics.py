@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -116,8 +118,8 @@ def greedy(preds, ious, t):
     return hits
 
 
-@pytest.mark.parametrize("max_edges", [0, 2000])
-def test_greedy_matching_equals_walk(spark, max_edges):
+@pytest.mark.parametrize("match", [inst.greedy_matches, inst.greedy_matches_in_rounds])
+def test_greedy_matching_equals_walk(spark, match):
     rng = np.random.default_rng(0)
     preds, pairs, expected = [], [], {}
     for image in ("a", "b", "c"):
@@ -129,7 +131,7 @@ def test_greedy_matching_equals_walk(spark, max_edges):
             expected[image, t] = greedy(mine, ious, t)
     p = spark.createDataFrame(preds, "image_id string, class int, pred_id string, score double")
     e = spark.createDataFrame(pairs, "image_id string, class int, pred_id string, true_id string, iou double")
-    table = inst.match_table(inst.greedy_matches(p, e, max_group_edges=max_edges)).collect()
+    table = inst.match_table(match(p, e)).collect()
     assert len(table) == len(preds) * 10
     got = {}
     for r in table:
@@ -173,8 +175,8 @@ def flood(grid):
     return {k: (int(v[0]) << 31) + int(v[1]) for k, v in label.items()}
 
 
-@pytest.mark.parametrize("tile, max_edges", [(512, 100_000), (7, 100_000), (7, 0)])
-def test_components_equal_flood_fill(spark, tile, max_edges):
+@pytest.mark.parametrize("tile", [512, 7])
+def test_components_equal_flood_fill(spark, tile):
     rng = np.random.default_rng(1)
     rows, expected = [], {}
     for image, density in (("sparse", 0.2), ("dense", 0.45)):
@@ -183,7 +185,7 @@ def test_components_equal_flood_fill(spark, tile, max_edges):
         expected |= {(image, int(y), int(x)): c for (y, x), c in flood(grid).items()}
     runs = spark.createDataFrame(rows, "image_id string, class int, y int, x0 int, x1 int")
     got = {}
-    for r in masks.components(runs, tile, max_edges).collect():
+    for r in masks.components(runs, tile).collect():
         got |= {(r["image_id"], r["y"], x): r["component"] for x in range(r["x0"], r["x1"])}
     assert got == expected
 
@@ -267,3 +269,28 @@ def test_instance_evaluation_end_to_end(spark):
     assert tuple(total.first()) == (0.5, 0.5)
     boxed = evaluation.truth_runs(images, annotated, size=24).collect()
     assert sum(r["x1"] - r["x0"] for r in boxed if r["image_id"] == "a") == 8 * 6
+
+
+def test_losses_of_hopeless_rows(spark):
+    rows = spark.createDataFrame([(0, [0.0, 1.0], [0.0, 900.0]), (0, [0.5, 0.5], [1.0, 1.0])], "target int, probs array<double>, logits array<double>")
+    exact = entropy(rows)
+    assert math.isclose(exact, (900 + math.log(2)) / 2)
+    assert math.isclose(entropy(rows.drop("logits")), (708.3964185322641 + math.log(2)) / 2)
+
+
+def entropy(rows):
+    return m.losses(m.score_cube(rows, 2), 2).first()["cross_entropy"]
+
+
+def test_far_vertices_and_overlapping_rings(spark):
+    box = [2.0, 2.0, 6.0, 2.0, 6.0, 5.0, 2.0, 5.0]
+    far = [-3e9, 1.0, 1e300, 1.0, 1e300, 3.0, -3e9, 3.0]
+    df = spark.createDataFrame(
+        [("a", 1, "0", [box, [v + 1 for v in box]], 20, 10), ("b", 1, "0", [far], 20, 10)],
+        "image_id string, class int, instance_id string, polygon array<array<double>>, width int, height int",
+    )
+    runs = masks.polygon_runs(df).collect()
+    pixels = {i: {(r["y"], x) for r in runs if r["image_id"] == i for x in range(r["x0"], r["x1"])} for i in "ab"}
+    area = {i: sum(r["x1"] - r["x0"] for r in runs if r["image_id"] == i) for i in "ab"}
+    assert pixels["a"] == {(y, x) for y in range(2, 5) for x in range(2, 6)} | {(y, x) for y in range(3, 6) for x in range(3, 7)}
+    assert pixels["b"] == {(y, x) for y in (1, 2) for x in range(20)} and area == {i: len(pixels[i]) for i in "ab"}

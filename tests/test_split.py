@@ -150,7 +150,7 @@ def test_thumbnails(spark):
     assert got == {"/a/18.jpg": "g18", "/a/Thumbnail18.jpg": "last", "/a/ThumbnailX.jpg": "x", "/b/18.jpg": "last"}
 
 
-def test_samples(spark):
+def test_samples(spark, monkeypatch):
     df = spark.range(100).select(F.col("id").cast("string").alias("image_id"), (F.col("id") % 6).alias("n_instances"))
 
     def ids(frame):
@@ -159,9 +159,27 @@ def test_samples(spark):
     small, large = ids(sampling.seeded_subset(df, 10, 1)), ids(sampling.seeded_subset(df, 30, 1))
     assert len(small) == 10 and small < large and small != ids(sampling.seeded_subset(df, 10, 2))
     assert ids(sampling.seeded_subset(df, 0, 1)) == set() and len(ids(sampling.seeded_subset(df, 999, 1))) == 100
-    hashed = df.withColumn("_hash", sampling.seeded_hash(1, "image_id"))
-    assert ids(sampling._bucketed_top(hashed, 30, [F.col("_hash"), F.col("image_id")])) == large
+    first = df.withColumn("_hash", sampling.seeded_hash(1, "image_id")).orderBy("_hash", "image_id").limit(30)
+    assert ids(first) == large
+    monkeypatch.setattr(sampling, "BUCKET_ROWS", 2)
+    assert ids(sampling.seeded_subset(df, 30, 1)) == large
     assert all(r["n_instances"] >= 4 for r in sampling.density_sample(df, 5, 0, 4).collect())
     with pytest.raises(ValueError, match="has only|has"):
         sampling.density_sample(df, 90, 0, 2, 2)
     assert math.isclose(len(ids(sampling.density_sample(df, 5, 0, 2, 2))), 5)
+
+
+def test_rows_with_null_keys_stay(spark):
+    events = spark.createDataFrame([(1, None, 0), (2, None, 10**6), (3, "u", 5 * 10**6), (4, None, 200 * 10**6)], "id long, user string, us long")
+    got = {r["id"]: r["session_id"] for r in sessions.merge_sessions(events, "id", "us", ["user"]).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+    images = corpus(spark, ROWS).withColumn("group_id", F.when(F.col("group_id") != ROWS[0][1], F.col("group_id")))
+    done = split.group_split(images, seed=42)
+    assert done.count() == len(ROWS) and done.filter("group_id is null and split is not null").count() > 0
+    files = spark.createDataFrame([(None, "g", 0), ("/a/Thumbnail1.jpg", "t", 1)], "file_path string, group_id string, n int")
+    assert sorted(r["group_id"] for r in sessions.link_thumbnails(files, "n").collect()) == ["g", "t"]
+
+
+def test_every_fault_of_the_shares_is_named():
+    with pytest.raises(ValueError, match="val is below zero.*add up to 1.3"):
+        split.check_fractions({"train": 1.5, "val": -0.2})
