@@ -49,9 +49,19 @@ def shared_dir(spark):
     return (configured or current).rstrip("/")
 
 
+def _scratch_root(spark):
+    return f"{shared_dir(spark)}/scratch/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark, name):
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the shared folder."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark):
+    """Delete this application's scratch tables, once nothing reads them any more."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def pinned(df: DataFrame) -> DataFrame:

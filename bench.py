@@ -15,7 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from annotary.plans import catalog  # noqa: E402
-from annotary.session import build_session  # noqa: E402
+from annotary.session import build_session, clear_scratch  # noqa: E402
 
 HEADLINE = [
     "group_split",
@@ -76,6 +76,7 @@ def main():
             start = time.perf_counter()
             queries[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
             samples.append(time.perf_counter() - start)
+            clear_scratch(spark)
         samples = samples[1:]  # the first run warms up
         times[name] = round(statistics.median(samples), 3)
         print(f"{name:28s} {times[name]:7.2f}s", file=sys.stderr, flush=True)

@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from annotary.session import build_session
+from annotary.session import build_session, clear_scratch
 
 SF_DIR = os.environ.get("ANNOTARY_SF_DIR", "/root/testdata/sf0.001")
 
@@ -21,4 +21,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("OFF")
     yield session
+    clear_scratch(session)
     session.stop()
