@@ -15,10 +15,10 @@ from pyspark.sql import types as T
 
 from annotary.llm.shared import free_name
 
-TRAIN_CHARS = 40_000
+TRAIN_CHARS = 24_000
 TRAIN_ROWS = 60
 STRIP = 2048  # characters parsed in step; each strip starts a new phrase
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 19
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _MARKS = re.compile(r"[\W\d_]+")
@@ -192,12 +192,12 @@ def known_language(docs: DataFrame, parser: CrossParser) -> DataFrame:
     """The rows of ``docs``, all columns, whose language can be told; all rows if nothing was learned.
 
     Rejected are null and letterless texts, and texts that fit no language
-    better than any other (ten per cent above an equal share).
+    better than the others (one per cent above an equal share).
     """
     if not parser.languages:
         return docs
     name, score = (free_name(docs, n) for n in ("lang_pred", "score"))
     told = identify(docs, parser, keep_text=True)
-    least = 1.1 / len(parser.languages) if len(parser.languages) > 1 else 0.0
+    least = 1.01 / len(parser.languages) if len(parser.languages) > 1 else 0.0
     kept = told.filter((F.col(f"`{name}`") != UNKNOWN) & (F.col(f"`{score}`") >= least))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

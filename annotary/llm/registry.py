@@ -1,5 +1,6 @@
 """Names of the text queries; the same form as the library's own catalog."""
 
+from annotary.llm.shared import small_batches
 from annotary.plans.catalog import Query
 
 CATALOG: dict[str, Query] = {}
@@ -14,4 +15,5 @@ def query(sql=None):
 
 
 def table(spark, sf_dir, name):
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -16,6 +16,14 @@ def with_columns_absent(df: DataFrame, *names) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") if n in have else F.lit(None).cast("string").alias(n) for n in names])
 
 
+def small_batches(spark) -> None:
+    """Let Arrow batches hold at most 500 rows, so that a worker holds a few megabytes of text at a time.
+
+    A setting of the session; the queries and the pipeline make it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -9,23 +9,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annotary.llm import decontamination, language, mixing, near_dedup, secrets
-from annotary.llm.shared import written
+from annotary.llm.shared import small_batches, written
 
 ORACLE_SQL = None  # trained stages cannot be written in SQL; tests/llm compare each with a brute-force version
 
 
 def known_languages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language cannot be told."""
+    small_batches(spark)
     return language.known_language(docs, language.learn(docs))
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates."""
+    small_batches(spark)
     return near_dedup.keep_one(docs)
 
 
 def benchmark_free(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
+    small_batches(spark)
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -36,6 +39,7 @@ def secrets_masked(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the mix, with the rate at which each is to be drawn; those with rate 0 go."""
+    small_batches(spark)
     rated = mixing.soft_mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return rated.filter(F.col(rated.columns[-1]) > 0)
 
