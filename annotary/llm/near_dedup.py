@@ -176,8 +176,8 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
     return rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("total", "bands", "samples")])
 
 
-def _agreeing(pairs: DataFrame) -> DataFrame:
-    """Pairs whose weights and samples do not rule out the threshold."""
+def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Different pairs (a, b) of content keys whose weights and samples do not rule out the threshold."""
 
     def test(batches):
         for batch in batches:
@@ -185,8 +185,37 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(n, SAMPLES) for c in (2, 3))
             yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
 
+    for end in ("a", "b"):
+        own = nodes.select(F.col("key").alias(end), F.col("total").alias(f"total_{end}"), F.col("samples").alias(f"samples_{end}"))
+        pairs = (pairs.distinct() if end == "a" else pairs).join(own, end)
     near = F.least("total_a", "total_b") >= THRESHOLD * F.greatest("total_a", "total_b")
-    return pairs.filter(near).select("a", "b", "samples_a", "samples_b").mapInArrow(test, "a string, b string").distinct()
+    return pairs.filter(near).select("a", "b", "samples_a", "samples_b").mapInArrow(test, "a string, b string")
+
+
+def private_weights(docs: DataFrame, keys: DataFrame, idf) -> DataFrame:
+    """(key, private): the weight of a text's shingles that no other text of ``keys`` has."""
+
+    def owners(batches):
+        for batch in batches:
+            keys, raw = np.array(batch.column(0).to_pylist(), object), tx.values(batch.column(1))
+            for start, stop in tx.pieces(raw):
+                doc, ids, weight = weighted(raw[start:stop], idf.value)
+                names = np.sort(keys[start:stop])
+                rank = np.searchsorted(names, keys[start:stop])[doc]
+                order = np.argsort(ids, kind="stable")
+                first = np.flatnonzero(np.diff(ids[order], prepend=ids[order[:1]] ^ np.uint64(1)) != 0)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "id": ids[order][first].astype(np.int64),
+                        "low": pa.array(names[np.minimum.reduceat(rank[order], first)] if len(first) else [], pa.string()),
+                        "high": pa.array(names[np.maximum.reduceat(rank[order], first)] if len(first) else [], pa.string()),
+                        "weight": weight[order][first],
+                    }
+                )
+
+    rows = texts_of(docs, keys).mapInArrow(owners, "id long, low string, high string, weight double")
+    rows = rows.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("weight").alias("weight"))
+    return rows.filter("low = high").groupBy(F.col("low").alias("key")).agg(F.sum("weight").alias("private"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, idf) -> DataFrame:
@@ -218,42 +247,45 @@ def verified(docs: DataFrame, pairs: DataFrame, idf) -> DataFrame:
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Components of near-duplicate texts: (key, root) of the linked ones, and the verified links.
 
-    In each bucket every member is first compared with the smallest one. Members
-    that end up in another component than that one are then compared with all
-    members of other components in their bucket, so no candidate pair between
-    different components is left out, and a bucket of true copies costs no more
-    than its size.
+    In each bucket every member is first compared with the one that has most
+    company in all its buckets. Members that end up in another component than
+    that one are strays; they are compared with all members of other components
+    in their bucket, so no candidate pair between different components is left
+    out. What two texts share is at most what each of them shares with any text
+    at hand, so most strays, and most of their pairs, are ruled out by the
+    weight of their private shingles before any pair is made.
     """
     idf = docs.sparkSession.sparkContext.broadcast(document_frequencies(docs))
     nodes = written(signatures(docs, idf), "signatures")
-    member = nodes.select("key", "total", "samples", F.explode("bands").alias("bucket"))
-    lead = member.groupBy("bucket").agg(F.min(F.struct("key", "total", "samples")).alias("lead"), F.count("*").alias("n"))
-    lead = lead.filter("n > 1").drop("n")
-    crowd = member.join(lead, "bucket")
-    first = crowd.filter(F.col("key") != F.col("lead.key")).select(
-        F.col("key").alias("a"), F.col("lead.key").alias("b"), F.col("total").alias("total_a"),
-        F.col("lead.total").alias("total_b"), F.col("samples").alias("samples_a"), F.col("lead.samples").alias("samples_b"),
-    )
-    star = verified(docs, _agreeing(first), idf)
+    member = nodes.select("key", F.explode("bands").alias("bucket"))
+    size = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    crowd = written(member.join(size, "bucket"), "crowd")
+    mass = crowd.groupBy("key").agg(F.sum("n").alias("mass"))
+    lead = crowd.join(mass, "key").groupBy("bucket").agg(F.max(F.struct("mass", "key"))["key"].alias("lead"))
+    led = written(crowd.drop("n").join(lead, "bucket"), "led")
+    first = led.filter("key <> lead").select(F.col("key").alias("a"), F.col("lead").alias("b"))
+    star = verified(docs, _agreeing(first, nodes), idf)
     root = written(components(star.select("a", "b")), "roots")
 
-    placed = crowd.join(root.select(F.col("node").alias("key"), "root"), "key", "left")
-    placed = placed.join(root.select(F.col("node").alias("_lead"), F.col("root").alias("lead_root")), F.col("lead.key") == F.col("_lead"), "left")
-    placed = placed.select(
-        "bucket", "key", "total", "samples", F.coalesce("root", "key").alias("root"), F.coalesce("lead_root", "lead.key").alias("lead_root"), F.col("lead.key").alias("lead"),
-    )
-    placed = written(placed, "placed")
-    stray = placed.filter(F.col("root") != F.col("lead_root"))
-    other = placed.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("key", "total", "samples", "root", "lead_root")])
-    late = stray.join(other, "bucket").filter(
+    placed = led.join(root.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    leads = root.select(F.col("node").alias("lead"), F.col("root").alias("lead_root"))
+    placed = written(placed.join(leads, "lead", "left").withColumn("lead_root", F.coalesce("lead_root", "lead")), "placed")
+    open_ = placed.join(placed.filter("root <> lead_root").select("bucket").distinct(), "bucket", "left_semi")
+    open_ = written(open_, "open")
+    private = private_weights(docs, open_, idf)
+    known = open_.join(nodes.select("key", "total"), "key").join(private, "key", "left")
+    known = written(known.withColumn("shared", F.col("total") - F.coalesce("private", F.lit(0.0))).drop("private"), "known")
+    other = known.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("key", "total", "shared", "root", "lead_root")])
+    least = THRESHOLD / (1 + THRESHOLD) * (F.col("total") + F.col("total_b")) - 1e-6
+    late = known.filter("root <> lead_root").join(other, "bucket").filter(
         (F.col("root") != F.col("root_b"))
         & (F.col("key_b") != F.col("lead"))
         & ((F.col("root_b") == F.col("lead_root_b")) | (F.col("key") > F.col("key_b")))
+        & (F.col("shared") >= least)
+        & (F.col("shared_b") >= least)
     )
-    late = late.select(
-        F.col("key").alias("a"), F.col("key_b").alias("b"), F.col("total").alias("total_a"), "total_b", F.col("samples").alias("samples_a"), "samples_b"
-    )
-    found = star.unionByName(verified(docs, _agreeing(late), idf))
+    late = late.select(F.col("key").alias("a"), F.col("key_b").alias("b"))
+    found = star.unionByName(verified(docs, _agreeing(late, nodes), idf))
     return written(components(found.select("a", "b")), "roots"), found
 
 
