@@ -46,3 +46,16 @@ def test_finds_what_a_search_for_whole_items_finds(spark):
     brute = {(d.doc_id, i) for d in docs.collect() for i, t in items if t in " ".join(d.text.split())}
     got = {(r.doc_id, r.item_id) for r in dc.contaminated(docs, bench).collect()}
     assert brute and brute <= got and len(got) <= 1.2 * len(brute) + 2
+
+
+def test_names_count_wherever_they_stand_and_in_any_case(spark):
+    sheep = "Alice has 12 sheep. Bob buys 7 more sheep. How many sheep do they own?"
+    clips = "Natalia sold 48 clips in April. Natalia sold half as many clips in May. How many clips did Natalia sell in all?"
+    other = sheep.replace("Alice", "Carol").replace("12", "30").replace("Bob", "Dan").replace("7", "9")
+    texts = [
+        other, "Intro words here. " + other.lower(), clips.replace("Natalia", "Weng").replace("48", "60"), ITEM.lower(), ITEM.upper(),
+        ITEM.replace("Alice", "Mary Ann"), ITEM.replace("Alice", "robert").lower(), sheep.replace("Alice", "Mary Ann"),
+        "A farmer named Tom sells eggs. Tom has no sheep, and how many they own is not known.", ITEM.replace("counts 12", "counts 55").lower(),
+    ]
+    assert found(spark, texts, [sheep, clips, ITEM]).keys() == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 2), (5, 2), (6, 2), (7, 0)}
+    assert found(spark, [ITEM, ITEM.replace("Alice", "Mary Ann")], [ITEM.lower()]).keys() == {(0, 0), (1, 0)}
