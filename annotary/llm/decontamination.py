@@ -9,7 +9,7 @@ other numbers or names are found as well.
 Wherever it stands, a capitalised word of an item is read both as a literal and
 as a name, for which any word of a text may stand; runs of capitalised words
 also count as one name. Items without case tell no names: there the text's
-capitals do.
+capitals do. An item with too few literals is one window of all its tokens.
 """
 
 from functools import cache
@@ -199,6 +199,11 @@ def _item_windows(texts):
             weak = 2 * n[1] < np.maximum(n[0], 1)
         for here, hashes, named in view.windows(~told | view.capital, at):
             yield view.doc[here], number, here - view.first[view.doc[here]], None, hashes, view.slots(here, SIZE, named), mark[here]
+    for view in views:
+        for doc in np.flatnonzero(weak & (np.diff(view.first) > 0)):
+            size = int(view.first[doc + 1] - view.first[doc])
+            for here, hashes, slots in view.whole(size, view.first[doc : doc + 1]):
+                yield np.repeat(doc, len(here)), WHOLE, np.zeros(len(here), np.int64), None, hashes, slots, np.full(len(here), 15, np.int32)
 
 
 def _text_windows(texts, bitmap, sizes):
@@ -304,7 +309,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, windows, matched, exact.
 
     Null and empty texts and items hold nothing. Items without any window of
-    five tokens, three of them literal, cannot be found. Equal items and
+    five tokens, three of them literal, are found whole; with other slot values
+    only if at least three of all their tokens are literal. Equal items and
     repeated rows give the same pairs once for each (doc_id, item_id) pair.
     """
     found = written(found_items(docs, benchmark), "found")

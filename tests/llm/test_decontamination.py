@@ -59,3 +59,9 @@ def test_names_count_wherever_they_stand_and_in_any_case(spark):
     ]
     assert found(spark, texts, [sheep, clips, ITEM]).keys() == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 2), (5, 2), (6, 2), (7, 0)}
     assert found(spark, [ITEM, ITEM.replace("Alice", "Mary Ann")], [ITEM.lower()]).keys() == {(0, 0), (1, 0)}
+
+
+def test_short_items_are_found_whole(spark):
+    items = ["Compute 3 + 4 = 7.", "12 x 7 + 5 - 3 = ?", "Mary Ann", "Solve x plus 12", "?!"]
+    texts = ["So compute 3 + 4 = 7. Good", "what is 12 X 7 + 5 - 3 = ?", "by mary ann again", "Now solve x plus 31", "Compute 3 + 4 = 8", "12 x 7 + 5 - 4", "Mary, 12"]
+    assert found(spark, texts, items).keys() == {(0, 0), (1, 1), (2, 2), (3, 3)}
