@@ -50,3 +50,27 @@ def test_edge_rows(spark):
         assert {r._rate for r in got if r.tokens == 0} == {1.0}
         assert [r.tokens for r in got if r.doc_id == 4] == [200_000]
     assert mx.soft_mix(docs.limit(0), labels).count() == 0
+
+
+def test_sharp_shares_meet_reachable_targets(spark):
+    rng = np.random.default_rng(2)
+    tokens = rng.lognormal(5, 1.2, 3000).astype(int)
+    logits = rng.normal(0, 3, (3000, 4))
+    logits[np.arange(3000), rng.choice(4, 3000, p=[0.2, 0.65, 0.05, 0.1])] += 9
+    shares = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+    narrow = spark.createDataFrame([(int(t), p.tolist()) for t, p in zip(tokens, shares)], "tokens long, shares array<double>")
+    for floor in (0.0, 0.01):
+        pulls, expected, wanted = mx.fitted(narrow.repartition(3), [mx.TARGETS[d] for d in mx.DOMAINS], floor)
+        rate = mx.rates(tokens, shares, pulls, floor)
+        assert (rate == floor).any() and rate.min() == floor and len(pulls) < 40
+        assert np.abs((rate * tokens) @ shares - wanted).max() <= 2e-6 * tokens.sum()
+        assert np.allclose((rate * tokens) @ shares, expected)
+
+
+def test_soft_mix_meets_the_targets(spark):
+    docs = spark.read.parquet(f"{SF_DIR.replace('0.001', '0.01')}/documents.parquet")
+    rows = mx.soft_mix(docs, spark.read.parquet(f"{SF_DIR.replace('0.001', '0.01')}/labels.parquet")).collect()
+    total = sum(r.tokens for r in rows)
+    met = {d: sum(r.rate * r.tokens * r[f"p_{d}"] for r in rows) / total for d in mx.DOMAINS}
+    print("met", met, "rate 0:", sum(r.rate == 0 for r in rows), "of", len(rows))
+    assert all(abs(met[d] - mx.TARGETS[d]) < 1e-4 for d in mx.DOMAINS)
