@@ -6,11 +6,11 @@ but the last return the columns of documents.
 """
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from annotary.llm import decontamination, language, mixing, near_dedup, secrets
 from annotary.llm.shared import small_batches, written
 
+LEAST_RATE = 0.01
 ORACLE_SQL = None  # trained stages cannot be written in SQL; tests/llm compare each with a brute-force version
 
 
@@ -38,10 +38,9 @@ def secrets_masked(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the mix, with the rate at which each is to be drawn; those with rate 0 go."""
+    """Every document with the rate, never below LEAST_RATE, at which it is to be drawn; drawing is left to the reader."""
     small_batches(spark)
-    rated = mixing.soft_mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rated.filter(F.col(rated.columns[-1]) > 0)
+    return mixing.soft_mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), floor=LEAST_RATE)
 
 
 STAGES = [

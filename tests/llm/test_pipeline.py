@@ -44,3 +44,10 @@ def test_stages_take_odd_rows(spark):
     assert near_dedup.keep_one(docs).count() == 4
     assert decontamination.decontaminate(docs, docs.selectExpr("doc_id AS item_id", "text").limit(0)).count() == 5
     assert secrets.redact(docs).count() == 5
+
+
+def test_mixing_keeps_every_document(spark):
+    sf_dir = SF_DIR.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = cp.mixed(spark, docs, sf_dir).collect()
+    assert len(rows) == docs.count() and min(r.rate for r in rows) == cp.LEAST_RATE
