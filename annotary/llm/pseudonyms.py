@@ -16,8 +16,14 @@ ROUNDS = 8
 CYCLE_START, CYCLE = "1800-01-01", (189, 773)
 
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
-PHONE = r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .\-]?\([0-9]{2,4}\)|[ .\-][0-9]{2,4})(?:[ .\-][0-9]{2,4}){1,3}(?![0-9])"
-CARD = r"(?<![\p{L}\p{N}])(?:[0-9]{13,19}|(?<![0-9][ \-])[0-9]{4}(?<c>[ \-])[0-9]{4}\k<c>[0-9]{4}\k<c>[0-9]{1,7})(?![\p{L}\p{N}])"
+#: International, in groups or unseparated; with 00; North American; national with a leading 0.
+PHONE = (
+    r"(?:(?<![\p{L}\p{N}+])\+(?:[1-9][0-9]{7,14}|[0-9]{1,3}(?:[ .\-]?\([0-9]{1,5}\)|[ .\-][0-9]{1,5})(?:[ .\-]?[0-9]{2,8}){1,5})(?![0-9])"
+    r"|(?<![\p{L}\p{N}+.\-/])00[1-9](?:[0-9]{7,14}|[0-9]{0,2}(?:[ .\-]?\([0-9]{1,5}\)|[ .\-][0-9]{1,5})(?:[ .\-][0-9]{2,8}){1,5})(?![\p{L}\p{N}])"
+    r"|(?<![\p{L}\p{N}+.\-/])(?<!(?:\+|00)[0-9]{1,3}[ .\-]?)(?:(?:1[ .\-])?(?:\([2-9][0-9]{2}\)[ .\-]?[2-9][0-9]{2}[ .\-]|[2-9][0-9]{2}(?<p>[ .\-])[2-9][0-9]{2}\k<p>)[0-9]{4}"
+    r"|\(0[0-9]{1,4}\)(?:[ .\-/]?[0-9]{2,8}){1,3}|0[1-9][0-9]{1,4}(?:[ /\-][0-9]{3,8}){1,3})(?![\p{L}\p{N}]|[.\-/][0-9]))"
+)
+CARD = r"(?<![\p{L}\p{N}])(?:[0-9]{13,19}|(?<![0-9][ \-])[0-9]{4}(?<c>[ \-])[0-9]{4}\k<c>[0-9]{4}\k<c>[0-9]{1,7}|(?<![0-9][ \-])[0-9]{4}(?<e>[ \-])[0-9]{6}\k<e>[0-9]{4,5})(?![\p{L}\p{N}])"
 SSN = r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])"
 ADDRESS = r"(?<![\p{L}\p{N}.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\p{L}\p{N}]|\.[0-9])"
 DATE = r"(?<![\p{L}\p{N}/.\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}(?<d>[./])[0-9]{2}\k<d>[0-9]{4})(?![\p{L}\p{N}/\-]|\.[0-9])"
@@ -114,9 +120,9 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    country = F.regexp_extract(m, r"^\+[0-9]{1,3}", 0)
+    country = F.regexp_extract(m, r"^(?:(?:\+|00)(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}|[0-9]{1,2}(?![0-9]))|1(?=[ .\-]))", 0)
     rest = F.substring(m, F.length(country) + 1, F.length(m))
-    fits = F.length(_digits(m)).between(8, 15) & (F.length(_digits(rest)) >= 2)
+    fits = F.length(_digits(F.regexp_replace(m, "^00", ""))).between(8, 15) & (F.length(_digits(rest)) >= 2)
     return F.when(fits, _let(rest, lambda r: F.concat(country, refilled(r, permuted_digits(_digits(r), key, "phone")))))
 
 

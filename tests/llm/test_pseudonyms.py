@@ -78,3 +78,15 @@ def test_edge_rows(spark):
     assert [r.text for r in got[:3]] == [None, "", ""] and all(r.n_dates == 5 for r in got)
     assert got[3].n_addresses == 1 and got[3].text.startswith(long) and got[4].n_addresses == 0
     assert ps.pseudonymise(docs.limit(0), KEY).count() == 0
+
+
+def test_other_forms_of_phones_and_cards(spark):
+    phones = ["+14155550123", "+49 30 1234567", "(415) 555-0123", "415-555-0123", "0044 20 7946 0958", "415.555.0123", "1-415-555-0123", "020 7946 0958", "(030) 1234567", "+1 (415) 555-0123"]
+    cards = ["3782 822463 10005", "3782-822463-10005"]
+    rows = run(spark, *[f"call {v}, now" for v in phones + cards], "3782 822463 10006, 2024-02-29 x, 12-34")
+    for v, r in zip(phones + cards, rows):
+        assert v not in r.text and re.sub("[0-9]", "0", r.text) == re.sub("[0-9]", "0", f"call {v}, now")
+        assert (r.n_phones, r.n_cards) == ((1, 0) if v in phones else (0, 1))
+    digits = [re.sub("[^0-9]", "", r.text) for r in rows]
+    assert digits[0] == digits[9] and digits[0][1:] == digits[2] == digits[3] == digits[5]
+    assert rows[4].text.startswith("call 0044 ") and rows[-1].text.startswith("3782 822463 10006") and rows[-1].n_phones == 0
