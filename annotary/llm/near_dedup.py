@@ -294,33 +294,34 @@ def _spoken():
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` without its text, with class_id, class_key, class_docs and n_links.
+    """Every row of ``docs`` without its text, with class_id, class_key, class_docs and n_build_links.
 
     Texts are equal or chained by similarity of at least 0.8 inside a class;
     class_id is its smallest doc_id (null if none has one), class_docs its
-    number of rows, n_links the verified links of the row's text to different
+    number of rows, n_build_links those verified links that were used to build the
+    class (links inside one component are not listed) of the row's text to different
     texts. Rows without a word (null, empty, blank) are classes of their own,
     with a null class_key. Result columns whose names ``docs`` already has get
     underscores in front.
     """
     roots, found = links(docs)
-    degree = found.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
+    degree = found.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_build_links"))
     rest = docs.drop("text")
-    names = {n: free_name(rest, n) for n in ("class_id", "class_key", "class_docs", "n_links")}
+    names = {n: free_name(rest, n) for n in ("class_id", "class_key", "class_docs", "n_build_links")}
     keep = [F.col(f"r.`{c}`") for c in rest.columns]
     row = F.struct(*[F.col(f"`{c}`") for c in rest.columns]).alias("r")
     rows = docs.select(row, F.when(_spoken(), text_key()).alias("key"))
     sizes = rows.filter("key is not null").groupBy("key").agg(F.min("r.doc_id").alias("low"), F.count("*").alias("n"))
     sizes = sizes.join(roots.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left")
-    sizes = sizes.select("key", F.coalesce("root", "key").alias("root"), "low", "n", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    sizes = sizes.select("key", F.coalesce("root", "key").alias("root"), "low", "n", F.coalesce("n_build_links", F.lit(0)).alias("n_build_links"))
     total = sizes.groupBy("root").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_docs"))
-    classes = sizes.select("key", "root", "n_links").join(total, "root")
+    classes = sizes.select("key", "root", "n_build_links").join(total, "root")
     return rows.join(classes, "key", "left").select(
         *keep,
         F.when(F.col("key").isNull(), F.col("r.doc_id")).otherwise(F.col("class_id")).alias(names["class_id"]),
         F.col("root").alias(names["class_key"]),
         F.coalesce("class_docs", F.lit(1)).alias(names["class_docs"]),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias(names["n_links"]),
+        F.coalesce("n_build_links", F.lit(0)).cast("long").alias(names["n_build_links"]),
     )
 
 

@@ -91,3 +91,9 @@ def test_components_of_chains_and_stars(spark):
     edges = [(f"a{k:02d}", f"a{k + 1:02d}") for k in range(12)] + [("c", f"d{k}") for k in range(5)] + [("x", "x")]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert {got[f"a{k:02d}"] for k in range(13)} == {"a00"} and {got[f"d{k}"] for k in range(5)} == {"c"} and "x" not in got
+
+
+def test_links_are_named_for_what_they_are(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")
+    got = nd.near_duplicates(docs)
+    assert "n_build_links" in got.columns and "n_links" not in got.columns and [r.n_build_links for r in got.collect()] == [0]
