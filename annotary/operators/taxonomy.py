@@ -8,8 +8,11 @@ from annotary.checks import (
     TaxonomyConfigError,
     UnknownClassError,
     UnknownSourceError,
+    Watch,
     require_empty,
+    stop_if,
 )
+from annotary.session import join_null_safe, sized
 
 # Rule vocabularies and the coarse class order of the masks.
 DECISIONS = ["map", "keep_specific", "exclude"]
@@ -127,8 +130,13 @@ def unmapped_classes(instances: DataFrame, mappings: DataFrame) -> DataFrame:
 
 
 def require_coverage(instances: DataFrame, mappings: DataFrame) -> None:
-    """Two different errors: a source nobody knows, a class nobody arbitrated."""
-    missing = unmapped_classes(instances, mappings).orderBy("source", "source_class")
+    """Two different errors: a source nobody knows, a class nobody arbitrated.
+
+    One narrow pass over the instances; what is missing is kept, and asked for both.
+    """
+    missing = sized(unmapped_classes(instances, mappings)).orderBy("source", "source_class")
+    if missing.isEmpty():
+        return
     known = [row[0] for row in mappings.select("source").distinct().orderBy("source").collect()]
     require_empty(
         missing.filter(F.col("kind") == "unknown source"),
@@ -138,50 +146,83 @@ def require_coverage(instances: DataFrame, mappings: DataFrame) -> None:
     require_empty(missing, "taxonomy coverage", UnknownClassError)
 
 
-def harmonise(instances: DataFrame, mappings: DataFrame) -> DataFrame:
+def _arbitrated(instances: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Instances with ``canonical``, ``_decision`` and ``_known`` (source); all null where nothing is known."""
+    entries = sized(mappings.select("source", "source_class", "canonical", F.col("decision").alias("_decision")))
+    known = sized(mappings.select("source").distinct().withColumn("_known", F.lit(True)))
+    return instances.join(entries, ["source", "source_class"], "left").join(known, "source", "left")
+
+
+_NAMED = F.concat_ws("/", F.coalesce("source", F.lit("null")), F.coalesce("source_class", F.lit("null")))
+
+
+def harmonise(instances: DataFrame, mappings: DataFrame, within=False) -> DataFrame:
     """Add ``canonical``; excluded classes drop the instance, never the image.
 
-    An unmapped class stops the job.
+    An unmapped class stops the job. The check is a pass of its own, before
+    anything else; ``within`` leaves it to the job that uses the result, which
+    reads the instances once and stops at the first unmapped one.
+    """
+    if not within:
+        require_coverage(instances, mappings)
+        table = sized(mappings.filter(F.col("decision") != "exclude").select("source", "source_class", "canonical"))
+        return instances.join(table, ["source", "source_class"])
+    missing = F.col("_decision").isNull()
+    kind = F.when(F.col("_known"), "unknown class").otherwise("unknown source")
+    decision = stop_if(missing, F.concat(F.lit("taxonomy coverage: "), kind, F.lit(" "), _NAMED), F.col("_decision"))
+    return _arbitrated(instances, mappings).filter(decision != "exclude").drop("_decision", "_known")
+
+
+def harmonise_watched(instances: DataFrame, mappings: DataFrame):
+    """``(harmonised, watch)``: as ``harmonise``, but unmapped instances are left out and counted on the way.
+
+    After the first action on the result, ``watch.require()`` raises the same
+    errors as ``harmonise``; nothing is read twice.
     """
-    require_coverage(instances, mappings)
-    table = mappings.filter(F.col("decision") != "exclude").select(
-        "source", "source_class", "canonical"
+    missing = F.col("_decision").isNull()
+    watch = Watch(
+        ("taxonomy coverage, unknown source", missing & F.col("_known").isNull(), _NAMED, UnknownSourceError),
+        ("taxonomy coverage, unknown class", missing, _NAMED, UnknownClassError),
     )
-    return instances.join(table, ["source", "source_class"])
+    read = watch.on(_arbitrated(instances, mappings))
+    return read.filter(F.col("_decision") != "exclude").drop("_decision", "_known"), watch
 
 
 def map_with(instances: DataFrame, mapping_fn) -> DataFrame:
     """Harmonise through a Python callable ``class -> name or None``.
 
-    The callable sees each distinct class once; the result is joined back.
+    The callable sees each distinct class once, a null one included; the
+    result is joined back null-safe, so a null class it maps keeps its rows.
     """
     as_udf = F.udf(mapping_fn, "string")
-    table = (
+    table = sized(
         instances.select("source_class").distinct().withColumn("canonical", as_udf("source_class"))
     ).filter(F.col("canonical").isNotNull())
-    return instances.join(table, "source_class")
+    return join_null_safe(instances, table, ["source_class"])
 
 
-def with_coarse_class(instances: DataFrame, canonical: DataFrame, check=True) -> DataFrame:
+def with_coarse_class(instances: DataFrame, canonical: DataFrame, check=True, within=False) -> DataFrame:
     """Add ``group``, ``size`` and ``class_index`` from the canonical name.
 
     The index comes from the fixed order background, large, fine: never from
-    ids local to a file. A class without size is an error here.
+    ids local to a file. A class without size is an error here: found by one
+    pass over the names before anything else, or, with ``within``, by the job
+    that uses the result.
     """
-    table = canonical.select(F.col("name").alias("canonical"), "group", "size")
+    table = sized(canonical.select(F.col("name").alias("canonical"), "group", "size"))
     joined = instances.join(table, "canonical", "left")
-    if check:
-        names = instances.select("canonical").distinct().join(
-            table, "canonical", "left"
-        )
-        require_empty(
-            names.filter(F.col("group").isNull()), "unknown canonical class", UnknownClassError
-        )
-        require_empty(
-            names.filter(F.col("size").isNull()), "canonical class without size", TaxonomyConfigError
-        )
     order = F.array(*[F.lit(name) for name in COARSE_CLASSES])
-    return joined.withColumn("class_index", (F.array_position(order, F.col("size")) - 1).cast("int"))
+    index = (F.array_position(order, F.col("size")) - 1).cast("int")
+    unknown, sizeless = F.col("group").isNull(), F.col("size").isNull()
+    if check and within:
+        name = F.coalesce("canonical", F.lit("null"))
+        index = stop_if(unknown, F.concat(F.lit("unknown canonical class: "), name), index)
+        index = stop_if(sizeless & ~unknown, F.concat(F.lit("canonical class without size: "), name), index)
+    elif check:
+        names = sized(instances.select("canonical").distinct().join(table, "canonical", "left").filter(unknown | sizeless))
+        require_empty(names.filter(unknown), "unknown canonical class", UnknownClassError)
+        require_empty(names, "canonical class without size", TaxonomyConfigError)
+    return joined.withColumn("class_index", index)
 
 
 def shared_classes(mappings: DataFrame) -> DataFrame:

@@ -36,6 +36,7 @@ def load() -> dict[str, Query]:
         catalog_runs,
         catalog_scored,
         catalog_split,
+        catalog_streams,
     )
 
     return CATALOG

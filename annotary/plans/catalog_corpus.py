@@ -180,7 +180,7 @@ def _sourced(spark, sf_dir):
 
 
 def _harmonised(spark, sf_dir):
-    return taxonomy.harmonise(_sourced(spark, sf_dir), _mapping(spark, SOURCES))
+    return taxonomy.harmonise(_sourced(spark, sf_dir), _mapping(spark, SOURCES), within=True)
 
 
 @query(f"""WITH {sql.IMAGES}, {sql.BOXES}, {sql.MAPPING}
@@ -214,7 +214,7 @@ SELECT "group", size, class_index, count(*) AS n FROM boxes JOIN mapping USING (
 JOIN canon USING (canonical) GROUP BY ALL""")
 def coarse_classes(spark, sf_dir):
     canonical, _ = taxonomy.damage_taxonomy(spark)
-    coarse = taxonomy.with_coarse_class(_harmonised(spark, sf_dir).select("canonical"), canonical)
+    coarse = taxonomy.with_coarse_class(_harmonised(spark, sf_dir).select("canonical"), canonical, within=True)
     return coarse.groupBy("group", "size", "class_index").agg(F.count(F.lit(1)).alias("n"))
 
 

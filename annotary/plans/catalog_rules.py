@@ -7,9 +7,9 @@ from annotary.functions import scoring
 from annotary.operators import masks, sessions, split, taxonomy
 from annotary.operators import records as rec
 from annotary.operators import scored as m
-from annotary.plans import sql, standin
+from annotary.plans import catalog_corpus, sql, standin
 from annotary.plans.catalog import query
-from annotary.session import scratch_path
+from annotary.session import scratch_path, sized
 from annotary.sources import coco as coco_source
 from annotary.sources import sinks, supervisely
 
@@ -244,3 +244,27 @@ def mapped_by_function(spark, sf_dir):
     lines = standin.instances(spark, sf_dir).select("source_class")
     mapped = taxonomy.map_with(lines, lambda c: names.get(c, "other"))
     return mapped.groupBy("canonical").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {sql.BOXES}
+SELECT CASE coalesce(nullif(source_class, 'NO'), 'none') WHEN 'AF' THEN 'damage_af' WHEN 'none' THEN 'unlabelled' ELSE 'other' END AS canonical,
+  count(*) AS n
+FROM boxes WHERE source_class <> 'RF' GROUP BY 1""")
+def mapped_null_class(spark, sf_dir):
+    """As ``mapped_by_function``, with rows of no class, which the callable maps as well."""
+    names = {"AF": "damage_af", None: "unlabelled", "RF": None}
+    lines = standin.instances(spark, sf_dir).select(F.nullif("source_class", F.lit("NO")).alias("source_class"))
+    mapped = taxonomy.map_with(lines, lambda c: names.get(c, "other"))
+    return mapped.groupBy("canonical").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {sql.IMAGES}, {sql.BOXES},
+judged AS (SELECT source = '5-LOW' AS no_source, source_class = 'RO' AS no_class FROM boxes JOIN images USING (image_id))
+SELECT 'taxonomy coverage, unknown source' AS rule, count(*) FILTER (no_source) AS n FROM judged
+UNION ALL SELECT 'taxonomy coverage, unknown class', count(*) FILTER (no_source OR no_class) FROM judged""")
+def coverage_in_flight(spark, sf_dir):
+    """Rows of unmapped classes, counted by the job that harmonises the others."""
+    entries = catalog_corpus._mapping(spark, catalog_corpus.SOURCES[:-1]).filter(F.col("source_class") != "RO")
+    harmonised, watch = taxonomy.harmonise_watched(catalog_corpus._sourced(spark, sf_dir), entries)
+    sized(harmonised.groupBy("canonical").count())
+    return spark.createDataFrame(list(watch.counts().items()), "rule string, n long")

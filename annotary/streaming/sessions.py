@@ -1,7 +1,11 @@
 """Sessions on live time stamps, one timeline per key."""
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from annotary.operators.sessions import SESSION_GAP_SECONDS
 
@@ -27,3 +31,96 @@ def live_sessions(
         )
         .drop("window")
     )
+
+
+class _Sessions(StatefulProcessor):
+    """The open sessions of one key; rows may arrive in any order."""
+
+    def __init__(self, fields, gap):
+        self.fields, self.gap = fields, gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "first_us long", "last_us long, opener long, n long")
+
+    def _row(self, key, first, session, state):
+        last, opener, n = session
+        return Row(**dict(zip(self.fields, key)), session_id=opener, first_us=first, last_us=last, n_events=n, state=state)
+
+    def _end(self, last):
+        return (last + self.gap) // 1000 + 1
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        old = {k[0]: tuple(v) for k, v in self.open.iterator()}
+        spans = [(first, *session, False) for first, session in old.items()]
+        spans += [(row.us, row.us, row.id, 1, True) for row in rows]
+        spans.sort(key=lambda s: (s[0], s[2]))
+        merged = []  # first, last, opener, n, changed
+        for first, last, opener, n, fresh in spans:
+            if merged and first - merged[-1][1] <= self.gap:
+                m = merged[-1]
+                merged[-1] = (m[0], max(m[1], last), m[2], m[3] + n, True)
+            else:
+                merged.append((first, last, opener, n, fresh))
+        known = {m[2] for m in merged}
+        for first, session in old.items():
+            if all(first != m[0] for m in merged):
+                self.open.removeKey((first,))
+            if session[1] not in known:
+                yield self._row(key, first, (*session[:2], 0), "merged")
+        for first, last, opener, n, changed in merged:
+            if changed:
+                self.open.updateValue((first,), (last, opener, n))
+                self.handle.registerTimer(self._end(last))
+                yield self._row(key, first, (last, opener, n), "open")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for k, v in list(self.open.iterator()):
+            if self._end(v[0]) <= now:
+                yield self._row(key, k[0], tuple(v), "closed")
+                self.open.removeKey((k[0],))
+
+    def close(self) -> None:
+        pass
+
+
+def corrected_sessions(
+    stream: DataFrame, keys, id_col, ts_col, delay="10 minutes", gap_seconds=SESSION_GAP_SECONDS
+) -> DataFrame:
+    """Sessions as they grow, in update mode: keys, session_id, first_ts, last_ts, n_events, state.
+
+    A session is given out as soon as it has an event (``open``), again
+    whenever a row changes it, and once more when the watermark has passed its
+    end (``closed``); then it leaves the state. A late row within ``delay`` may
+    open an earlier session, extend one or join two: the id that no longer
+    exists is given out with no events (``merged``). The newest row of each
+    (keys, session_id) is the truth; ``current_sessions`` keeps those with
+    events. Ids are longs. Needs the RocksDB state store (``sinks.rocksdb_state``).
+    """
+    keys = list(keys)
+    fields = [stream.schema[k] for k in keys]
+    names = ["session_id", "first_us", "last_us", "n_events"]
+    schema = T.StructType(
+        fields + [T.StructField(n, T.LongType()) for n in names] + [T.StructField("state", T.StringType())]
+    )
+    # the watermark already lags by ``delay``; a session may still grow until it has passed its end by the gap
+    timed = stream.filter(F.col(ts_col).isNotNull()).withWatermark(ts_col, delay)
+    found = (
+        timed.select(*keys, F.col(id_col).cast("long").alias("id"), F.unix_micros(ts_col).alias("us"), ts_col)
+        .groupBy(*keys)
+        .transformWithState(_Sessions(keys, gap_seconds * 1_000_000), schema, "Update", "EventTime")
+    )
+    return found.select(
+        *keys,
+        "session_id",
+        F.timestamp_micros("first_us").alias("first_ts"),
+        F.timestamp_micros("last_us").alias("last_ts"),
+        "n_events",
+        "state",
+    )
+
+
+def current_sessions(newest: DataFrame) -> DataFrame:
+    """The sessions that exist, from the newest row of each (keys, session_id)."""
+    return newest.filter(F.col("state") != "merged")

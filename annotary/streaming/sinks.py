@@ -1,5 +1,7 @@
 """Running a stream over what has landed, into tables in the shared folder."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -7,10 +9,35 @@ from pyspark.sql import types as T
 from annotary.session import scratch_path
 
 
-def drain_append(stream: DataFrame, name: str) -> DataFrame:
-    """Process everything available in append mode; the written table."""
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocksdb_state(spark):
+    """Streams started inside keep their state in RocksDB, which ``transformWithState`` asks for."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
+
+
+def new_place(spark, name):
+    """Fresh folders for a stream's table and its checkpoint."""
+    return scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+
+
+def drain_append(stream: DataFrame, name: str, place=None) -> DataFrame:
+    """Process everything available in append mode; the written table.
+
+    ``place`` (from ``new_place``) goes on where an earlier call with it ended.
+    """
     spark = stream.sparkSession
-    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    out, state = place or new_place(spark, name)
     query = (
         stream.writeStream.format("parquet")
         .option("checkpointLocation", state)
