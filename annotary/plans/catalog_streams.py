@@ -123,7 +123,7 @@ def stream_sessions_all(spark, sf_dir):
 @query(f"WITH {_SCORED} SELECT target, pred, n FROM confusion")
 def stream_confusion_replayed(spark, sf_dir):
     """Every file is delivered twice, the second time behind the next one; no row counts twice."""
-    stored = standin.table(spark, sf_dir, "lineitem").withColumn("seen_at", F.timestamp_seconds("l_orderkey"))
+    stored = standin.table(spark, sf_dir, "lineitem").withColumn("seen_at", F.timestamp_seconds(F.col("l_orderkey") + 1_500_000_000))
     low, high = stored.agg(F.min("l_orderkey"), F.max("l_orderkey")).first()
     width = max(1, ((high or 0) - (low or 0)) // 4 + 1)
     path = scratch_path(spark, "landed")

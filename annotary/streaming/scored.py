@@ -11,7 +11,7 @@ def once(stream: DataFrame, keys, ts_col, delay) -> DataFrame:
     ``keys`` (image and row, say) name a row. They stay in the state until the
     watermark, ``delay`` behind the newest ``ts_col``, has passed them: a row
     delivered again within ``delay`` is dropped, one that is later than that is
-    dropped as late.
+    dropped as late. So is one of 1970 or before, where watermarks begin.
     """
     return stream.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(list(keys))
 
