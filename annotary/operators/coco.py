@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from annotary.checks import CorpusError, require_empty
 from annotary.functions.naming import basename
 from annotary.operators.ordered import running_totals
+from annotary.session import sized
 
 SUPERCATEGORY = "damage"
 
@@ -50,28 +51,30 @@ def annotation_table(
 ) -> DataFrame:
     """COCO annotations numbered in image order, then instance order.
 
-    ``pos`` orders the instances of an image. Only the two key columns are put
-    in global order and meet the image ids; polygons move once, to join their
-    numbers. An image with most of the annotations spreads over many tasks.
+    ``pos`` orders the instances of an image, ``ids`` is from ``image_ids``.
+    Image keys and instances are laid out together, once, in one global order:
+    there the images before an instance give its image's number and the
+    instances before it its own, so polygons move once and meet no join. An image with most of the
+    annotations spreads over many tasks. Instances of unknown images are left out.
     """
-    numbers = running_totals(
-        instances.select("image_id", "pos"),
-        [F.col("image_id"), F.col("pos")],
-        position="_number",
-    ).join(ids.select("image_id", F.col("id").alias("_image")), "image_id")
-    cats = categories.select(F.col("id").alias("category_id"), F.col("name").alias(name))
-    return (
-        instances.join(numbers, ["image_id", "pos"])
-        .join(cats, name)
-        .select(
-            F.col("_number").alias("id"),
-            F.col("_image").alias("image_id"),
-            "category_id",
-            F.col("polygon").alias("segmentation"),
-            "bbox",
-            "area",
-            F.lit(0).alias("iscrowd"),
-        )
+    cats = sized(categories.select(F.col("id").alias("category_id"), F.col("name").alias(name)))
+    unknown = sized(instances.select("image_id").distinct().join(ids.select("image_id"), "image_id", "left_anti"))
+    known = instances.filter(F.col("image_id").isNotNull()).join(unknown, "image_id", "left_anti")
+    rows = known.join(cats, name).select("image_id", "pos", "category_id", "polygon", "bbox", "area", F.lit(1).alias("_kind"))
+    heads = ids.select("image_id", F.lit(0).alias("_kind"))
+    laid = running_totals(
+        heads.unionByName(rows, allowMissingColumns=True),
+        [F.col("image_id"), F.col("_kind"), F.col("pos")],
+        sums={"_image": 1 - F.col("_kind"), "_before": F.col("_kind")},
+    )
+    return laid.filter("_kind = 1").select(
+        (F.col("_before") + 1).alias("id"),
+        F.col("_image").alias("image_id"),
+        "category_id",
+        F.col("polygon").alias("segmentation"),
+        "bbox",
+        "area",
+        F.lit(0).alias("iscrowd"),
     )
 
 

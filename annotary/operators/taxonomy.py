@@ -153,7 +153,8 @@ def _arbitrated(instances: DataFrame, mappings: DataFrame) -> DataFrame:
     return instances.join(entries, ["source", "source_class"], "left").join(known, "source", "left")
 
 
-_NAMED = F.concat_ws("/", F.coalesce("source", F.lit("null")), F.coalesce("source_class", F.lit("null")))
+def _named():
+    return F.concat_ws("/", F.coalesce("source", F.lit("null")), F.coalesce("source_class", F.lit("null")))
 
 
 def harmonise(instances: DataFrame, mappings: DataFrame, within=False) -> DataFrame:
@@ -169,7 +170,7 @@ def harmonise(instances: DataFrame, mappings: DataFrame, within=False) -> DataFr
         return instances.join(table, ["source", "source_class"])
     missing = F.col("_decision").isNull()
     kind = F.when(F.col("_known"), "unknown class").otherwise("unknown source")
-    decision = stop_if(missing, F.concat(F.lit("taxonomy coverage: "), kind, F.lit(" "), _NAMED), F.col("_decision"))
+    decision = stop_if(missing, F.concat(F.lit("taxonomy coverage: "), kind, F.lit(" "), _named()), F.col("_decision"))
     return _arbitrated(instances, mappings).filter(decision != "exclude").drop("_decision", "_known")
 
 
@@ -181,8 +182,8 @@ def harmonise_watched(instances: DataFrame, mappings: DataFrame):
     """
     missing = F.col("_decision").isNull()
     watch = Watch(
-        ("taxonomy coverage, unknown source", missing & F.col("_known").isNull(), _NAMED, UnknownSourceError),
-        ("taxonomy coverage, unknown class", missing, _NAMED, UnknownClassError),
+        ("taxonomy coverage, unknown source", missing & F.col("_known").isNull(), _named(), UnknownSourceError),
+        ("taxonomy coverage, unknown class", missing, _named(), UnknownClassError),
     )
     read = watch.on(_arbitrated(instances, mappings))
     return read.filter(F.col("_decision") != "exclude").drop("_decision", "_known"), watch

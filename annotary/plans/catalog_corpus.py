@@ -7,11 +7,11 @@ from annotary.functions import geometry as g
 from annotary.functions import naming
 from annotary.operators import coco, records, stats, taxonomy
 from annotary.plans import sql, standin
-from annotary.plans.catalog import query
-from annotary.session import pinned, scratch_path
+from annotary.plans.catalog import CATALOG, query
+from annotary.session import pinned, scratch_path, sized
 from annotary.sources import coco as coco_source
 from annotary.sources import images as image_source
-from annotary.sources import sinks, supervisely, via
+from annotary.sources import document, sinks, supervisely, via
 
 # -- geometry ------------------------------------------------------------------
 
@@ -401,27 +401,77 @@ ids AS (SELECT *, row_number() OVER (ORDER BY image_id) AS id FROM images)"""
 
 
 @query(_COCO + """
-SELECT id, o.file_name, width, height, source, ids.image_id AS origin_image_id, group_id
+SELECT id, o.file_name, width, height, source, ids.image_id AS origin_image_id, group_id, ids.file_path AS origin_file_path
 FROM ids, LATERAL (SELECT split_part(file_path, '/', -1) AS file_name) o""")
 def coco_images(spark, sf_dir):
     images = standin.images(spark, sf_dir)
-    return coco.image_table(images, coco.image_ids(images)).drop("origin_file_path")
+    return coco.image_table(images, coco.image_ids(images))
 
 
 def _mapped_boxes(spark, sf_dir):
     cleaned = records.clean_instances(standin.instances(spark, sf_dir))
     mapping = _mapping(spark, ["any"])
-    return taxonomy.harmonise(cleaned.withColumn("source", F.lit("any")), mapping)
+    return taxonomy.harmonise(cleaned.withColumn("source", F.lit("any")), mapping, within=True)
 
 
 @query(_COCO + """
 SELECT row_number() OVER (ORDER BY ids.image_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id,
-  ids.id AS image_id, CAST(cats.id AS INTEGER) AS category_id, w * h AS area, 0 AS iscrowd
+  ids.id AS image_id, CAST(cats.id AS INTEGER) AS category_id, w * h AS area, 0 AS iscrowd,
+  CASE WHEN w * h > 0 THEN x END AS x, CASE WHEN w * h > 0 THEN y END AS y, CASE WHEN w * h > 0 THEN w END AS w,
+  CASE WHEN w * h > 0 THEN h END AS h,
+  CASE WHEN w * h > 0 THEN concat_ws(' ', x::INT, y::INT, (x + w)::INT, y::INT, (x + w)::INT, (y + h)::INT, x::INT, (y + h)::INT)
+    ELSE '' END AS segmentation
 FROM kept JOIN ids USING (image_id) JOIN cats USING (canonical)""")
 def coco_annotations(spark, sf_dir):
-    images, inst = standin.images(spark, sf_dir), pinned(_mapped_boxes(spark, sf_dir))
+    """Every column of the annotations; polygons as the text of their coordinates."""
+    images, inst = standin.images(spark, sf_dir), sized(_mapped_boxes(spark, sf_dir))
     table = coco.annotation_table(inst, coco.image_ids(images), coco.category_table(inst))
-    return table.select("id", "image_id", "category_id", F.coalesce("area", F.lit(0.0)).alias("area"), "iscrowd")
+    return table.select(
+        "id",
+        "image_id",
+        "category_id",
+        F.coalesce("area", F.lit(0.0)).alias("area"),
+        "iscrowd",
+        *[F.get("bbox", k).alias(n) for k, n in enumerate(["x", "y", "w", "h"])],
+        F.array_join(F.transform(F.flatten("segmentation"), lambda v: v.cast("bigint").cast("string")), " ").alias("segmentation"),
+    )
+
+
+@query(_COCO + """
+SELECT row_number() OVER (ORDER BY ids.image_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id,
+  ids.image_id AS origin_image_id, ids.file_path AS origin_file_path, split_part(ids.file_path, '/', -1) AS file_name,
+  ids.width, ids.height, ids.source, ids.group_id, ids.split_hint AS split, canonical, w * h AS area,
+  CASE WHEN w * h > 0 THEN concat_ws(' ', x::INT, y::INT, w::INT, h::INT) ELSE '' END AS bbox,
+  CASE WHEN w * h > 0 THEN concat_ws(' ', x::INT, y::INT, (x + w)::INT, y::INT, (x + w)::INT, (y + h)::INT, x::INT, (y + h)::INT)
+    ELSE '' END AS segmentation
+FROM kept JOIN ids USING (image_id)""")
+def coco_document_roundtrip(spark, sf_dir):
+    """The whole corpus exported as one COCO document and read again, every member compared."""
+    images, inst = standin.images(spark, sf_dir), sized(_mapped_boxes(spark, sf_dir))
+    triple = coco.coco_triple(images.withColumnRenamed("split_hint", "split"), inst)
+    path = scratch_path(spark, "document")
+    sinks.write_coco_document(*triple, path)
+    images, annotations, categories = document.read_coco_document(spark, path)
+    text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("bigint").cast("string")), " ")
+    return (
+        annotations.join(categories.select(F.col("id").alias("category_id"), F.col("name").alias("canonical")), "category_id")
+        .join(images.withColumnRenamed("id", "image_id"), "image_id")
+        .select(
+            "id",
+            "origin_image_id",
+            "origin_file_path",
+            "file_name",
+            "width",
+            "height",
+            "source",
+            "group_id",
+            "split",
+            "canonical",
+            F.coalesce("area", F.lit(0.0)).alias("area"),
+            F.coalesce(text("bbox"), F.lit("")).alias("bbox"),
+            text(F.flatten("segmentation")).alias("segmentation"),
+        )
+    )
 
 
 @query(_COCO + """
@@ -548,18 +598,34 @@ SELECT replace(image_id, 'img/', '') || '.jpg' AS file_name,
   round(coalesce(sum(w * h) FILTER (w > 0 AND x < width AND y < height), 0), 4) AS area {_KEPT}""")
 def via_scan(spark, sf_dir):
     """VIA maps, one image per line, written and scanned back."""
+    return _via(spark, sf_dir)
+
+
+@query(CATALOG["via_scan"].sql)
+def via_document_split(spark, sf_dir):
+    """One VIA document of all images, read by many tasks."""
+    return _via(spark, sf_dir, split=True)
+
+
+def _via(spark, sf_dir, split=False):
     region = F.struct(_corner("x").alias("all_x"), _corner("y").alias("all_y"), F.col("cls").alias("class"))
     orders = _lines_by_order(spark, sf_dir, region)
     path = scratch_path(spark, "via")
-    orders.select(
-        F.to_json(
-            F.create_map("name", F.struct("name", F.col("items").alias("regions")))
-        ).alias("value")
-    ).write.text(path)
+    maps = orders.select(
+        "name", F.to_json(F.create_map("name", F.struct("name", F.col("items").alias("regions")))).alias("value")
+    )
+    if split:  # the maps as members of one, in lines that make one document
+        last = maps.agg(F.max("name")).first()[0]
+        member = F.expr("substring(value, 2, length(value) - 2)")
+        body = maps.select(F.lit(1).alias("k"), "name", F.concat(member, F.when(F.col("name") < last, ",").otherwise("")).alias("value"))
+        ends = spark.createDataFrame([(0, "", "{"), (2, "", "}")], body.schema)
+        body.union(ends).repartitionByRange("k", "name").sortWithinPartitions("k", "name").select("value").write.text(path)
+    else:
+        maps.select("value").write.text(path)
     sizes = standin.images(spark, sf_dir).select(
         naming.basename("file_path").alias("file_name"), "width", "height"
     )
-    return _summary(via.via_instances(via.via_entries(spark, path, lines=True).join(sizes, "file_name")))
+    return _summary(via.via_instances(via.via_entries(spark, path, lines=not split, split=split).join(sizes, "file_name")))
 
 
 @query(f"""WITH {sql.IMAGES}, {sql.BOXES}
@@ -568,6 +634,16 @@ SELECT replace(image_id, 'img/', '') || '.jpg' AS file_name,
   round(coalesce(sum(w * h) FILTER (w > 0), 0), 4) AS area {_KEPT}""")
 def coco_scan(spark, sf_dir):
     """Partial COCO documents, one per line, written and scanned back."""
+    return _coco_lines(spark, sf_dir)
+
+
+@query(CATALOG["coco_scan"].sql)
+def coco_document_split(spark, sf_dir):
+    """The same corpus as one COCO document, read by many tasks."""
+    return _coco_lines(spark, sf_dir, split=True)
+
+
+def _coco_lines(spark, sf_dir, split=False):
     ring = F.flatten(F.transform(F.arrays_zip(_corner("x").alias("a"), _corner("y").alias("b")), lambda p: F.array(p["a"], p["b"])))
     categories = ["AF", "AO", "NF", "NO", "RF", "RO"]
     number = F.array_position(F.array(*[F.lit(c) for c in categories]), F.col("cls")).cast("int")
@@ -586,9 +662,13 @@ def coco_scan(spark, sf_dir):
         ).alias("categories"),
     )
     path = scratch_path(spark, "coco")
-    docs.write.json(path)
+    if split:
+        members = [docs.select(F.explode(c).alias("m")).select("m.*") for c in docs.columns]
+        sinks.write_coco_document(*members[:2], members[2].distinct(), path)
+    else:
+        docs.write.json(path)
     images, inst = coco_source.coco_flat(
-        coco_source.coco_documents(spark, path, lines=True), "train", "/corpus/train"
+        coco_source.coco_documents(spark, path, lines=not split, split=split), "train", "/corpus/train"
     )
     counted = images.join(
         inst.groupBy("image_id").agg(

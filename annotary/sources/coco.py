@@ -7,6 +7,7 @@ from annotary import schemas
 from annotary.checks import CorpusError, require_empty
 from annotary.functions.naming import image_key
 from annotary.operators.records import clean_instances, nest_records
+from annotary.sources.document import document_sections
 from annotary.sources.images import list_files, require_files
 
 # Corpus name and official splits.
@@ -14,8 +15,19 @@ SOURCE = "cardd"
 SPLITS = ["train", "val", "test"]
 
 
-def coco_documents(spark: SparkSession, path, lines=False) -> DataFrame:
-    """One row per document; ``lines`` reads one (partial) document per line."""
+def coco_documents(spark: SparkSession, path, lines=False, split=False) -> DataFrame:
+    """One row per document; ``lines`` reads one (partial) document per line.
+
+    ``split`` reads one large document by many tasks and gives a partial
+    document for each of its elements.
+    """
+    if split:
+        elements = document_sections(spark, path)
+        parts = []
+        for field in schemas.COCO_DOCUMENT:
+            one = F.from_json("element", field.dataType.elementType)
+            parts.append(F.when(F.col("section") == field.name, F.array(one)).alias(field.name))
+        return elements.select(*parts)
     return spark.read.schema(schemas.COCO_DOCUMENT).json(path, multiLine=not lines)
 
 

@@ -9,6 +9,7 @@ from annotary.functions import geometry as g
 from annotary.functions.naming import image_key, timestamp_group
 from annotary.operators.sessions import link_thumbnails, merge_session_groups
 from annotary.session import evaluate_once
+from annotary.sources.document import document_entries
 from annotary.sources.images import scan_images
 
 # Where the corpus keeps its two official splits.
@@ -19,12 +20,16 @@ LAYOUT = [
 ]
 
 
-def via_entries(spark: SparkSession, path, lines=False) -> DataFrame:
+def via_entries(spark: SparkSession, path, lines=False, split=False) -> DataFrame:
     """``(place, file_name, regions)``: map keys become rows.
 
-    One document per file, or with ``lines`` one map per line, the layout for
-    corpora too large for a single JSON document.
+    One document per file, or with ``lines`` one map per line. ``split`` reads
+    one large document by many tasks.
     """
+    if split:
+        return document_entries(spark, path).select(
+            "place", F.explode(F.from_json("entry", schemas.VIA_FILE)).alias("file_name", "entry")
+        ).select("place", "file_name", F.col("entry.regions").alias("regions"))
     text = spark.read.text(path, wholetext=not lines)
     return text.select(
         F.posexplode(F.from_json("value", schemas.VIA_FILE)).alias("place", "file_name", "entry")

@@ -12,7 +12,7 @@ from annotary.plans import corpus as corpus_plan
 from annotary.plans import results
 from annotary.sources import coco as coco_source
 from annotary.sources import images as image_source
-from annotary.sources import run_files, sinks, supervisely, taxonomy_file, via
+from annotary.sources import document, run_files, sinks, supervisely, taxonomy_file, via
 
 
 def png(width, height):
@@ -371,3 +371,64 @@ def test_document_parts_concatenate(spark, tmp_path):
     assert [im["id"] for im in doc["images"]] == list(range(1, 21))
     assert len(doc["annotations"]) == sum(k % 3 for k in range(20)) and doc["annotations"][0]["iscrowd"] == 0
     assert sinks.markdown_table(triple[2]).splitlines()[0] == "| id | name | supercategory |"
+
+
+# -- one document, many tasks ------------------------------------------------------------
+
+TRICKY = {
+    "info": {"a": {"deep": "} \" ] {"}, "b": [1, {"c": 2}]},
+    "version": 1.5,
+    "empty": [],
+    "images": [{"id": 1, "file_name": "a}b{\".jpg", "o": {"x": [1, [2]]}}, {"id": 2, "file_name": "\\"}, {"id": 3, "file_name": "é},{"}],
+    "licenses": ["none", "{"],
+    "annotations": [{"id": k, "text": '", "images": [{' * (k % 3), "segmentation": [[k, 1.5]]} for k in range(40)],
+}
+
+
+@pytest.mark.parametrize("indent, block", [(None, 1 << 20), (None, 37), (2, 64), (2, 1 << 20)])
+def test_document_in_blocks(spark, tmp_path, indent, block):
+    text = json.dumps(TRICKY, indent=indent, ensure_ascii=False)
+    (tmp_path / "doc.json").write_text(text, encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        rows = document.document_sections(spark, str(tmp_path / "doc.json")).orderBy("place").collect()
+        (tmp_path / "map.json").write_text(json.dumps(dict(enumerate(TRICKY["annotations"])), indent=indent) + "\n")
+        entries = document.document_entries(spark, str(tmp_path / "map.json")).orderBy("place").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {}
+    for r in rows:
+        got.setdefault(r["section"], []).append(json.loads(r["element"]))
+    assert got == {k: TRICKY[k] for k in ("images", "annotations")}
+    assert [json.loads(r["entry"]) for r in entries] == [{str(k): v} for k, v in enumerate(TRICKY["annotations"])]
+
+
+def test_document_in_parts(spark, tmp_path):
+    text = json.dumps(TRICKY, ensure_ascii=False)
+    cuts = [0, 5, 60, 61, 200, 201, 333, len(text)]
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        (tmp_path / f"part-{k:03d}.json").write_text(text[a:b], encoding="utf-8")
+    rows = document.document_sections(spark, str(tmp_path)).orderBy("place").collect()
+    assert [json.loads(r["element"]) for r in rows if r["section"] == "annotations"] == TRICKY["annotations"]
+    assert [json.loads(r["element"]) for r in rows if r["section"] == "images"] == TRICKY["images"]
+
+
+def test_watch_counts_in_the_job_itself(spark):
+    _, mappings = taxonomy.damage_taxonomy(spark)
+    seen = spark.createDataFrame(
+        [("hitl", "Dent"), ("hitl", "Hood"), ("hitl", None), ("nobody", "Dent")], "source string, source_class string"
+    )
+    good, watch = taxonomy.harmonise_watched(seen, mappings)
+    assert [r["canonical"] for r in good.collect()] == ["dent"]
+    assert list(watch.counts().values()) == [1, 3]
+    with pytest.raises(UnknownSourceError, match="nobody/Dent"):
+        watch.require()
+    good, watch = taxonomy.harmonise_watched(seen.filter("source = 'hitl'"), mappings)
+    good.collect()
+    with pytest.raises(UnknownClassError, match="2 rows"):
+        watch.require()
+    with pytest.raises(Exception, match="taxonomy coverage: unknown class hitl/Hood"):
+        taxonomy.harmonise(seen.filter("source_class = 'Hood'"), mappings, within=True).collect()
+    assert taxonomy.harmonise(seen.limit(1), mappings, within=True).count() == 1
+    nulls = taxonomy.map_with(seen, lambda c: "none" if c is None else "some").groupBy("canonical").count().collect()
+    assert {r["canonical"]: r["count"] for r in nulls} == {"none": 1, "some": 3}
