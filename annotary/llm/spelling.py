@@ -160,6 +160,10 @@ class Vocabulary:
                 other = (a < b) & (code != wanted)
                 q, a, b, at_end = q[other], a[other], b[other], (done >= length[q])[other]
                 drop = now[done < length[query[now]]]
+                here = origin[query[drop]] + done
+                follows = self.codes[np.minimum(here + 1, len(self.codes) - 1)]
+                # of equal code points in a row the last is deleted; the others would give the same word
+                drop = drop[(done + 1 == length[query[drop]]) | (self.codes[here] != follows)]
                 hits.append(
                     self._finish(
                         word,
