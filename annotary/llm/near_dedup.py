@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annotary.llm import text as tx
-from annotary.llm.shared import components, free_name, text_key, texts_of, written
+from annotary.llm.shared import bit_filter, components, free_name, passes, text_key, texts_of, written
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -27,6 +27,8 @@ BUCKET_BITS = 18
 #: Rare shingles weigh at most this much more than ones found in every text. With more, a
 #: large group of near copies would make its own shared shingles light and fall apart.
 IDF_GAIN = 0.2
+#: Members of a bucket's leading component that each stray meets before all others.
+PROBES = 4
 
 
 @dataclass(frozen=True)
@@ -244,6 +246,15 @@ def verified(docs: DataFrame, pairs: DataFrame, idf) -> DataFrame:
     return written(both.select("a", "b", "p", "q").mapInArrow(check, "a string, b string, similarity double"), "links")
 
 
+def _open(led: DataFrame, root: DataFrame, name: str) -> DataFrame:
+    """Members (bucket, key, lead, root, lead_root) of the buckets in which some member is in another component than the lead."""
+    placed = led.join(root.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    leads = root.select(F.col("node").alias("lead"), F.col("root").alias("lead_root"))
+    placed = written(placed.join(leads, "lead", "left").withColumn("lead_root", F.coalesce("lead_root", "lead")), "placed")
+    open_ = placed.join(placed.filter("root <> lead_root").select("bucket").distinct(), "bucket", "left_semi")
+    return written(open_, name)
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Components of near-duplicate texts: (key, root) of the linked ones, and the verified links.
 
@@ -267,11 +278,16 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     star = verified(docs, _agreeing(first, nodes), idf)
     root = written(components(star.select("a", "b")), "roots")
 
-    placed = led.join(root.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    leads = root.select(F.col("node").alias("lead"), F.col("root").alias("lead_root"))
-    placed = written(placed.join(leads, "lead", "left").withColumn("lead_root", F.coalesce("lead_root", "lead")), "placed")
-    open_ = placed.join(placed.filter("root <> lead_root").select("bucket").distinct(), "bucket", "left_semi")
-    open_ = written(open_, "open")
+    open_ = _open(led, root, "open")
+    probes = open_.filter("root = lead_root and key <> lead").groupBy("bucket")
+    probes = probes.agg(
+        F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("key", F.lit(k)), "key"))["key"] for k in range(PROBES)])).alias("some")
+    )
+    tried = open_.filter("root <> lead_root").join(probes, "bucket").select(F.col("key").alias("a"), F.explode("some").alias("b"))
+    star = star.unionByName(verified(docs, _agreeing(tried, nodes), idf))
+    root = written(components(star.select("a", "b")), "roots")
+
+    open_ = _open(led, root, "strays")
     private = private_weights(docs, open_, idf)
     known = open_.join(nodes.select("key", "total"), "key").join(private, "key", "left")
     known = written(known.withColumn("shared", F.col("total") - F.coalesce("private", F.lit(0.0))).drop("private"), "known")
@@ -337,12 +353,27 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")).alias("best"))
     first = (F.col("key") == F.col("best.key")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
-    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name")
-    marked = written(rows.join(best, "root").filter(~first | (F.col("n") > 1)).select("key", named, first.alias("first")), "marked")
-
-    key, name = free_name(docs, "key"), free_name(docs, "name")
-    wide = docs.withColumn(key, F.when(_spoken(), text_key())).withColumn(name, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    same = (wide[key] == marked["key"]) & (wide[name] == marked["name"])
-    single = wide.join(marked, same, "left_anti")
-    again = wide.join(marked.filter("first"), same, "left_semi").dropDuplicates([key, name])
-    return single.unionByName(again).drop(key, name)
+    gone = written(rows.join(best, "root").filter(~first | (F.col("n") > 1)).select("key", _name().alias("name"), first.alias("first")), "gone")
+
+    key, name, hit = (free_name(docs, n) for n in ("key", "name", "hit"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(bit_filter(gone.select(F.xxhash64("key").alias("h")), "h"))
+    hashed = docs.withColumn(hit, F.when(_spoken(), F.xxhash64(text_key())))
+
+    def route(wanted):
+        def pick(batches):
+            for batch in batches:
+                keys = batch.column(batch.num_columns - 1)
+                may = passes(bitmap.value, keys.fill_null(0).to_numpy(zero_copy_only=False)) & keys.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(may == wanted))
+
+        return hashed.mapInArrow(pick, docs.schema)
+
+    # texts of no group pass untouched; of the others, rows equal in text and id are one before they are judged
+    judged = route(True).withColumn(key, text_key()).withColumn(name, _name()).dropDuplicates([key, name])
+    lost = gone.filter(~F.col("first")).select(F.col("key").alias(key), F.col("name").alias(name)).distinct()
+    return route(False).unionByName(judged.join(lost, [key, name], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
+def _name():
+    """The id as text; a null one differs from every other."""
+    return F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
