@@ -5,6 +5,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from annotary.operators.intervals import interval_lookup
 from annotary.session import join_null_safe
 
 CLASS_SEPARATOR = "|"
@@ -148,15 +149,13 @@ DENSITY_STRATA = [("1", 1, 1), ("2", 2, 2), ("3", 3, 3), ("4+", 4, None)]
 def strata_sizes(images: DataFrame, buckets: DataFrame, by=("source",)) -> DataFrame:
     """Images per density stratum; ``buckets`` is ``(label, lo, hi)``.
 
-    Counts are aggregated per exact instance count first, so the range lookup
-    runs on the few distinct counts and not on images.
+    The strata must not overlap; there may be any number of them. Counts are
+    aggregated per exact instance count first, so the lookup runs on the few
+    distinct counts and not on images.
     """
     per_count = images.groupBy(*by, "n_instances").agg(F.count(F.lit(1)).alias("n"))
-    inside = (F.col("n_instances") >= F.col("lo")) & (
-        F.col("hi").isNull() | (F.col("n_instances") <= F.col("hi"))
-    )
     return (
-        per_count.join(buckets, inside)
+        interval_lookup(per_count, "n_instances", buckets)
         .groupBy(*by, "label")
         .agg(F.sum("n").alias("n_images"))
     )

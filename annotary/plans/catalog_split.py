@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from annotary.functions import naming
-from annotary.operators import sampling, sessions, split, stats
+from annotary.operators import intervals, sampling, sessions, split, stats
 from annotary.plans import sql, standin
 from annotary.plans.catalog import query
 
@@ -222,3 +222,16 @@ SELECT source, label, count(*) AS n_images FROM counted JOIN buckets
 def strata_sizes(spark, sf_dir):
     buckets = spark.createDataFrame(stats.DENSITY_STRATA, "label string, lo int, hi int")
     return stats.strata_sizes(standin.counted_images(spark, sf_dir), buckets)
+
+
+@query("""SELECT 'part ' || p_partkey AS label, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS total
+FROM lineitem JOIN part ON l_orderkey BETWEEN p_partkey * 10 AND p_partkey * 10 + 6 GROUP BY 1""")
+def interval_strata(spark, sf_dir):
+    """Line items by the part in whose key range their order key lies: as many intervals as parts."""
+    key = F.col("p_partkey") * 10
+    parts = standin.table(spark, sf_dir, "part").select(
+        key.alias("lo"), (key + 6).alias("hi"), F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("label")
+    )
+    lines = standin.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    found = intervals.interval_lookup(lines, "l_orderkey", parts)
+    return found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("total"))

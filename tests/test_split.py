@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annotary.checks import CorpusError, LeakError
-from annotary.operators import ordered, sampling, sessions, split
+from annotary.operators import intervals, ordered, sampling, sessions, split
 
 SCHEMA = "image_id string, group_id string, split_hint string, n_instances long"
 
@@ -183,3 +183,30 @@ def test_rows_with_null_keys_stay(spark):
 def test_every_fault_of_the_shares_is_named():
     with pytest.raises(ValueError, match="val is below zero.*add up to 1.3"):
         split.check_fractions({"train": 1.5, "val": -0.2})
+
+
+def test_interval_lookup(spark):
+    bounds = [(None, 0, "low"), (3, 5, "a"), (6, 6, "b"), (10, None, "high")]
+    table = spark.createDataFrame(bounds, "lo int, hi int, label string")
+    values = [-7, 0, 1, 3, 5, 5, 5, 6, 7, 10, 99, None]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "id int, x int").repartition(3)
+
+    def label(v):
+        return next((n for lo, hi, n in bounds if v is not None and (lo is None or v >= lo) and (hi is None or v <= hi)), None)
+
+    got = {r["id"]: r["label"] for r in intervals.interval_lookup(rows, "x", table, how="left").collect()}
+    assert got == {k: label(v) for k, v in enumerate(values)}
+    got = {r["id"]: r["label"] for r in intervals.interval_lookup(rows, "x", table).collect()}
+    assert got == {k: label(v) for k, v in enumerate(values) if label(v)}
+    assert intervals.interval_lookup(rows, "x", table.limit(0)).count() == 0
+    assert intervals.interval_lookup(rows.limit(0), "x", table).count() == 0
+    twice = table.union(spark.createDataFrame([(5, 8, "c")], table.schema))
+    with pytest.raises(Exception, match="intervals overlap at 5"):
+        intervals.interval_lookup(rows, "x", twice).collect()
+
+
+def test_interval_lookup_carries_over_partitions(spark):
+    rows = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") % 7 + 100).alias("x"))  # few, hot values
+    table = spark.createDataFrame([(0, 102, "a"), (103, 200, "b")], "lo long, hi long, label string")
+    got = {r["label"]: r["count"] for r in intervals.interval_lookup(rows, "x", table).groupBy("label").count().collect()}
+    assert got == {"a": sum(k % 7 <= 2 for k in range(5000)), "b": sum(k % 7 > 2 for k in range(5000))}
