@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annotary.llm import text as tx
-from annotary.llm.shared import free_name
+from annotary.llm.shared import free_name, text_key, written
 
 SLOTS = 1 << 18
 TRAIN_ROWS = 4000
@@ -33,7 +33,12 @@ def features(texts):
 
 
 def sampled(labelled: DataFrame, rows: int) -> DataFrame:
-    """About ``rows`` rows chosen by the hash of their text; all of them if there are no more."""
+    """About ``rows`` different texts (text, label) chosen by their hash; all of them if there are no more.
+
+    A text counts once, with its largest label, however often it is repeated.
+    """
+    labelled = labelled.groupBy(text_key().alias("key")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
+    labelled = written(labelled.drop("key"), "labelled")
     share = min(1.0, rows / max(1, labelled.count()))
     return labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0))
 

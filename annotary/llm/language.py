@@ -13,14 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annotary.llm.shared import free_name
+from annotary.llm.shared import free_name, text_key
 
 TRAIN_CHARS = 24_000
 TRAIN_ROWS = 60
 STRIP = 2048  # characters parsed in step; each strip starts a new phrase
 PIECE_CHARS = 1 << 19
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _MARKS = re.compile(r"[\W\d_]+")
 
 
@@ -115,7 +114,7 @@ class CrossParser:
         characters per phrase squared. Equal languages go by name.
         """
         names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-        real = [k for k, t in enumerate(texts) if t is not None and _LETTER.search(t)]
+        real = [k for k, t in enumerate(texts) if t is not None and any(map(str.isalpha, t))]
         if not real or not self.languages:
             return names, scores
         parts, size, start = [], 0, 0
@@ -137,23 +136,16 @@ def learn(docs: DataFrame, fold=4, held=2, rows: int = TRAIN_ROWS, chars: int =
     """Automata from at most ``rows`` labelled texts and ``chars`` characters a language.
 
     Texts of the held-out fold of crc32(doc_id) and rows without language, id
-    or text are not learned from. Texts are taken in the order of a hash.
+    or text are not learned from. Different texts are taken in the order of a
+    hash, each once, however often it is repeated.
     """
     crc = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold))
-    known = (
-        docs.select("doc_id", "lang", F.xxhash64("text").alias("h"))
-        .filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc != held))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
-        .filter(F.col("rank") <= rows)
-        .select("doc_id", "h", "rank")
-    )
-    pick = F.broadcast(known.withColumnRenamed("doc_id", "_id").withColumnRenamed("h", "_h"))
-    texts = (
-        docs.select("doc_id", "lang", F.substring("text", 1, chars).alias("text"), F.xxhash64("text").alias("h"))
-        .join(pick, (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h")))
-        .select("lang", "rank", "text")
-        .collect()
-    )
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc != held))
+    labelled = labelled.select("lang", text_key().alias("key"), F.substring("text", 1, chars).alias("text"))
+    first = Window.partitionBy("lang").orderBy("key")
+    known = labelled.select("lang", "key").distinct().withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= rows)
+    # copies of a text fold before anything is collected
+    texts = labelled.join(F.broadcast(known), ["lang", "key"]).groupBy("lang", "rank").agg(F.first("text").alias("text")).collect()
     samples: dict[str, str] = {}
     for row in sorted(texts, key=lambda r: (r.lang, r.rank)):
         have = samples.get(row.lang, "")
@@ -165,7 +157,7 @@ def learn(docs: DataFrame, fold=4, held=2, rows: int = TRAIN_ROWS, chars: int =
 def identify(docs: DataFrame, parser: CrossParser, fold=4, held=2, keep_text: bool = False) -> DataFrame:
     """Every row of ``docs``, without its text unless ``keep_text``, with held_out, lang_pred and score.
 
-    Null texts and texts without a letter are UNKNOWN with score 0, as is every
+    Null texts and texts without a letter (Unicode category L) are UNKNOWN with score 0, as is every
     text if nothing was learned. A row without an id is not held out. Repeated
     rows get equal answers. Result columns whose names ``docs`` already has get
     underscores in front.

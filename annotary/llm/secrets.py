@@ -16,6 +16,8 @@ from annotary.llm.shared import free_name, text_key, written
 
 TREES, DEPTH, SEED = 30, 7, 11
 TRAIN_IDS = 400  # documents whose ids and words fill the templates of the labelled findings
+FILLER_CHARS = 400  # of a text, from which template words are taken
+OWN_SEEDS = 40
 CUT = 0.5
 NEAR = 48  # characters of context on each side
 MASK = "[SECRET]"
@@ -115,14 +117,22 @@ def with_features(found: DataFrame) -> DataFrame:
 
 
 def labelled_findings(docs: DataFrame, ids: int = TRAIN_IDS) -> DataFrame:
-    """Labelled findings (text, label): templates filled with digests of, and words from, about ``ids`` documents.
+    """Labelled findings (text, label): templates filled with digests of, and words from, about ``ids`` different texts.
+
+    The words come from the first FILLER_CHARS characters. OWN_SEEDS more sets
+    need no text, so that there are always findings to learn from.
 
     Secrets are random strings in assignments and headers; the others are
     checksums, identifiers, file names, mail hosts and placeholders.
     """
-    step = F.lit(max(1, docs.count() // ids))
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), step) == 0).select("doc_id", F.substring("text", 1, 400).alias("text"))
-    seed = F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    some = docs.select(key.alias("key"), F.substring("text", 1, FILLER_CHARS).alias("text"))
+    # about ``ids`` of all rows, copies folded; ids play no part, so null ones change nothing
+    some = some.filter(F.pmod(F.xxhash64("key"), F.lit(max(1, docs.count() // ids))) == 0)
+    some = some.groupBy("key").agg(F.first("text").alias("text"))
+    own = docs.sparkSession.range(OWN_SEEDS).select(F.concat(F.lit("seed "), "id").alias("key"), F.lit("").alias("text"))
+    some = some.unionByName(own)
+    seed = F.col("key")
     sha = lambda salt: F.sha2(F.concat(seed, F.lit(salt)).cast("binary"), 256)
     b64 = lambda salt: F.regexp_replace(F.base64(F.unhex(sha(salt))), "[+=/]", "")
     mixed = lambda salt: F.translate(F.substring(b64(salt), 1, 14), "aeiou", "!4_7-")
@@ -173,9 +183,9 @@ def train(findings: DataFrame):
 
 
 def scored(found: DataFrame, model) -> DataFrame:
-    """Candidates with the forest's probability; without a model every candidate counts as a secret."""
+    """Candidates with the forest's probability; without a model none counts as a secret."""
     if model is None:
-        return found.withColumn("score", F.lit(1.0))
+        return found.withColumn("score", F.lit(0.0))
     table = with_features(found)
     table = VectorAssembler(inputCols=[f"f_{f}" for f in FEATURES], outputCol="features").transform(table)
     score = F.round(vector_to_array("probability")[1], 6).alias("score")

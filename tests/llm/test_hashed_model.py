@@ -39,3 +39,8 @@ def test_edge_rows(spark):
     none = hm.score_quality(docs, labels.limit(0)).collect()
     assert {r.score for r in none} == {0.5}
     assert hm.score_quality(docs.limit(0), labels).count() == 0
+
+
+def test_copies_reach_the_driver_once(spark):
+    docs = spark.range(20_000).selectExpr("1L AS doc_id", "'one and the same text' AS text", "1 AS label")
+    assert len(hm.packed(hm.sampled(docs, 4000))) == 1

@@ -66,3 +66,12 @@ def test_automaton_knows_exactly_the_substrings():
 
     inside = {(1, 2, 1, 1, 2)[a:b] for a in range(5) for b in range(a + 1, 6)}
     assert all(known(w) == (w in inside) for n in (1, 2, 3) for w in np.ndindex(*[4] * n))
+
+
+def test_copies_are_learned_from_once_and_only_letters_count(spark):
+    rows = [(k, "en", "the cat sat on the mat") for k in range(3000)] + [(k, "de", "der hund und die katze") for k in range(5000, 5020)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    parser = lang.learn(docs)
+    assert sorted(parser.languages) == ["de", "en"]
+    names, _ = parser.predict(["½ ² ①", "the mat", "٣ 42", "ª", None])
+    assert list(names) == ["und", "en", "und", names[3], "und"] and names[3] != "und"

@@ -41,3 +41,13 @@ def test_context_ends_at_the_next_candidate(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert sc.scan_secrets(empty).count() == 0 and sc.redact(empty).count() == 0
+
+
+def test_null_ids_change_nothing_and_without_a_model_nothing_is_masked(spark):
+    texts = [f"see commit {TOKEN[k:] + TOKEN[:k]} in images/holiday-{2000 + k}-beach.png" for k in range(40)]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    assert {r.text for r in sc.redact(docs).collect()} == set(texts)
+    one_label = spark.createDataFrame([(f'token = "{TOKEN}"', 1)], "text string, label int")
+    assert {r.text for r in sc.redact(docs, one_label).collect()} == set(texts)
+    many = docs.union(docs).union(docs)
+    assert sc.labelled_findings(many, ids=10_000).count() == sc.labelled_findings(docs, ids=10_000).count()
