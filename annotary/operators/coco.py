@@ -47,21 +47,22 @@ def image_table(images: DataFrame, ids: DataFrame, origin_prefix="origin_") -> D
 
 
 def annotation_table(
-    instances: DataFrame, ids: DataFrame, categories: DataFrame, name="canonical"
+    instances: DataFrame, images: DataFrame, categories: DataFrame, name="canonical"
 ) -> DataFrame:
     """COCO annotations numbered in image order, then instance order.
 
-    ``pos`` orders the instances of an image, ``ids`` is from ``image_ids``.
-    Image keys and instances are laid out together, once, in one global order:
-    there the images before an instance give its image's number and the
-    instances before it its own, so polygons move once and meet no join. An image with most of the
-    annotations spreads over many tasks. Instances of unknown images are left out.
+    ``pos`` orders the instances of an image; of ``images`` only the key is
+    read. Image keys and instances are laid out together, once, in one global
+    order: there the images before an instance give its image's number and the
+    instances before it its own, so polygons move once and meet no wide join.
+    An image with most of the annotations spreads over many tasks. Instances
+    of unknown images are left out.
     """
     cats = sized(categories.select(F.col("id").alias("category_id"), F.col("name").alias(name)))
-    unknown = sized(instances.select("image_id").distinct().join(ids.select("image_id"), "image_id", "left_anti"))
+    unknown = sized(instances.select("image_id").distinct().join(images.select("image_id"), "image_id", "left_anti"))
     known = instances.filter(F.col("image_id").isNotNull()).join(unknown, "image_id", "left_anti")
     rows = known.join(cats, name).select("image_id", "pos", "category_id", "polygon", "bbox", "area", F.lit(1).alias("_kind"))
-    heads = ids.select("image_id", F.lit(0).alias("_kind"))
+    heads = images.select("image_id", F.lit(0).alias("_kind"))
     laid = running_totals(
         heads.unionByName(rows, allowMissingColumns=True),
         [F.col("image_id"), F.col("_kind"), F.col("pos")],
@@ -89,6 +90,6 @@ def coco_triple(images: DataFrame, instances: DataFrame, name="canonical", origi
     categories = category_table(instances, name)
     return (
         image_table(images, ids, origin_prefix),
-        annotation_table(instances, ids, categories, name),
+        annotation_table(instances, images, categories, name),
         categories,
     )

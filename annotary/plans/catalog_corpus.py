@@ -425,7 +425,7 @@ FROM kept JOIN ids USING (image_id) JOIN cats USING (canonical)""")
 def coco_annotations(spark, sf_dir):
     """Every column of the annotations; polygons as the text of their coordinates."""
     images, inst = standin.images(spark, sf_dir), sized(_mapped_boxes(spark, sf_dir))
-    table = coco.annotation_table(inst, coco.image_ids(images), coco.category_table(inst))
+    table = coco.annotation_table(inst, images, coco.category_table(inst))
     return table.select(
         "id",
         "image_id",

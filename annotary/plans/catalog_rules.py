@@ -11,7 +11,8 @@ from annotary.plans import catalog_corpus, sql, standin
 from annotary.plans.catalog import query
 from annotary.session import scratch_path, sized
 from annotary.sources import coco as coco_source
-from annotary.sources import sinks, supervisely
+from annotary.sources import images as image_source
+from annotary.sources import listing, sinks, supervisely
 
 # -- null keys ---------------------------------------------------------------------
 
@@ -268,3 +269,21 @@ def coverage_in_flight(spark, sf_dir):
     harmonised, watch = taxonomy.harmonise_watched(catalog_corpus._sourced(spark, sf_dir), entries)
     sized(harmonised.groupBy("canonical").count())
     return spark.createDataFrame(list(watch.counts().items()), "rule string, n long")
+
+
+@query("""SELECT o_orderstatus AS status, CAST(o_custkey % 40 AS INTEGER) AS part, TRUE AS equal FROM orders
+WHERE o_orderstatus IS NOT NULL AND o_custkey IS NOT NULL GROUP BY ALL""")
+def file_listing(spark, sf_dir):
+    """A tree of files written from the orders, listed in tasks and by Spark's own file source."""
+    path = scratch_path(spark, "tree")
+    orders = standin.table(spark, sf_dir, "orders").filter("o_orderstatus is not null and o_custkey is not null")
+    orders.select("o_orderkey", F.col("o_orderstatus").alias("status"), (F.col("o_custkey") % 40).cast("int").alias("part")).repartition(
+        "status", "part"
+    ).write.partitionBy("status", "part").json(path)
+    mine = listing.list_tree(spark, path).filter(F.col("path").endswith(".json"))
+    theirs = image_source.list_files(spark, path).filter(F.col("path").endswith(".json"))
+    both = mine.select("path", F.lit(1).alias("n")).union(theirs.select("path", F.lit(-1).alias("n")))
+    folders = both.groupBy(
+        F.regexp_extract("path", "/status=([^/]*)/", 1).alias("status"), F.regexp_extract("path", "/part=([^/]*)/", 1).cast("int").alias("part"), "path"
+    ).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    return folders.groupBy("status", "part").agg(F.bool_and((F.col("n") == 0) & (F.col("k") == 2)).alias("equal"))

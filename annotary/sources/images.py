@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from annotary.checks import CorpusError, require_empty
 
+HEADER_BYTES = 1 << 15
 SCAN_SCHEMA = "path string, width int, height int, readable boolean"
 _PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 _PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
@@ -62,6 +63,28 @@ def _jpeg(data):
     return (*size, data.rfind(b"\xff\xd9") > at)
 
 
+def header_size(read):
+    """``(width, height)`` from the beginning of PNG or JPEG bytes, or nulls.
+
+    ``read(n)`` gives the first n bytes, or all there are; more are asked for
+    only while a JPEG's leading segments go on.
+    """
+    n = HEADER_BYTES
+    while True:
+        data = read(n)
+        try:
+            if data[:8] == _PNG_MAGIC and data[12:16] == b"IHDR":
+                return struct.unpack(">II", data[16:24])
+            if data[:2] != b"\xff\xd8":
+                return None, None
+            width, height, _ = _jpeg(data)
+        except (struct.error, IndexError):
+            width = height = None
+        if width is not None or len(data) < n:
+            return width, height
+        n *= 8
+
+
 def inspect_image(data):
     """``(width, height, readable)`` of PNG or JPEG bytes."""
     try:

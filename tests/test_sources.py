@@ -12,7 +12,7 @@ from annotary.plans import corpus as corpus_plan
 from annotary.plans import results
 from annotary.sources import coco as coco_source
 from annotary.sources import images as image_source
-from annotary.sources import document, run_files, sinks, supervisely, taxonomy_file, via
+from annotary.sources import document, listing, run_files, sinks, supervisely, taxonomy_file, via
 
 
 def png(width, height):
@@ -432,3 +432,31 @@ def test_watch_counts_in_the_job_itself(spark):
     assert taxonomy.harmonise(seen.limit(1), mappings, within=True).count() == 1
     nulls = taxonomy.map_with(seen, lambda c: "none" if c is None else "some").groupBy("canonical").count().collect()
     assert {r["canonical"]: r["count"] for r in nulls} == {"none": 1, "some": 3}
+
+
+# -- listing in tasks ---------------------------------------------------------------------
+
+
+def test_list_tree(spark, tmp_path):
+    files = {
+        "top.png": png(7, 5),
+        "a/one.jpg": jpeg(640, 480),
+        "a/b/two.jpg": b"\xff\xd8\xff\xe1" + struct.pack(">H", 60_002) + b"\0" * 60_000 + jpeg(30, 20)[2:],
+        "a/b/c/note.txt": b"not an image",
+        "d/empty.jpg": b"",
+        "d/cut.png": png(9, 9)[:20],
+    }
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    rows = listing.list_tree(spark, [str(tmp_path)], sizes=True).collect()
+    got = {r["path"].removeprefix(f"{tmp_path}/"): (r["length"], r["width"], r["height"]) for r in rows}
+    sizes = {"top.png": (7, 5), "a/one.jpg": (640, 480), "a/b/two.jpg": (30, 20)}
+    assert len(rows) == len(files) and got == {n: (len(d), *sizes.get(n, (None, None))) for n, d in files.items()}
+    plain = listing.list_tree(spark, [f"{tmp_path}/a", f"{tmp_path}/d"])
+    assert plain.columns == ["path", "length"]
+    (tmp_path / "a" / "_hidden").mkdir()
+    (tmp_path / "a" / "_hidden" / "x.jpg").write_bytes(b"x")
+    assert {r["path"] for r in plain.filter("length > 0").collect()} == {
+        r["path"] for r in image_source.list_files(spark, [f"{tmp_path}/a", f"{tmp_path}/d"]).collect()
+    }
