@@ -10,6 +10,7 @@ from annotary.plans import standin
 from annotary.plans.catalog import query
 from annotary.plans.catalog_scored import _SCORED, K, _scored_of
 from annotary.session import scratch_path
+from annotary.sources.run_files import finished_runs
 from annotary.sources.tail import file_system, tail_events
 from annotary.streaming import progress as live_progress
 from annotary.streaming import scored as live
@@ -42,24 +43,57 @@ def stream_progress_eta(spark, sf_dir):
 
 
 def _append_lines(lines, root):
-    """Append (run, value) rows to ``<root>/campaign/<run>/events.jsonl``, in the order of the partition."""
+    """Append (file, value) rows to the files below ``root``, in the order of the partition."""
 
     def append(batches):
         system, base = file_system(root)
         n = 0
         for batch in batches:
             rows = batch.to_pylist()
-            for run in dict.fromkeys(r["run"] for r in rows):
-                folder = f"{base}/campaign/{run}"
-                system.create_dir(folder, recursive=True)
-                path = f"{folder}/events.jsonl"
+            for file in dict.fromkeys(r["file"] for r in rows):
+                path = f"{base}/{file}"
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 there = system.get_file_info(path).type == fs.FileType.File
                 with system.open_append_stream(path) if there else system.open_output_stream(path) as out:
-                    out.write("".join(r["value"] for r in rows if r["run"] == run).encode())
+                    out.write("".join(r["value"] for r in rows if r["file"] == file).encode())
             n += len(rows)
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    lines.select("run", "value").mapInArrow(append, "n long").agg(F.sum("n")).collect()
+    lines.select("file", "value").mapInArrow(append, "n long").agg(F.sum("n")).collect()
+
+
+@query("""WITH runs AS (SELECT c_mktsegment AS campaign, 'nation-' || c_nationkey AS run, c_nationkey AS k,
+    count(*) AS n, max(c_custkey) AS best, sum(c_custkey) AS total FROM customer GROUP BY ALL)
+SELECT campaign, run, CAST(42 + k % 3 AS INTEGER) AS seed, CASE WHEN k % 5 = 0 THEN 'baseline' ELSE 'unet' END AS model,
+  k % 2 = 1 AS copy_paste, CAST(1 + k % 2 AS INTEGER) AS n_corpus, CAST(n AS INTEGER) AS num_train_images,
+  CAST(best AS INTEGER) AS best_iteration, CAST(total AS DOUBLE) AS elapsed_seconds
+FROM runs WHERE k % 4 > 0 AND k <> 7""")
+def run_directory_scan(spark, sf_dir):
+    """A folder a run; some have no summary yet, one has no config, and none of those is a result."""
+    k = F.col("c_nationkey")
+    runs_ = standin.table(spark, sf_dir, "customer").groupBy("c_mktsegment", "c_nationkey").agg(
+        F.count(F.lit(1)).alias("n"), F.max("c_custkey").alias("best"), F.sum("c_custkey").alias("total")
+    )
+    config = F.struct(
+        (42 + k % 3).alias("seed"),
+        F.when(k % 5 == 0, "baseline").otherwise("unet").alias("model"),
+        F.when(k % 2 == 1, True).alias("copy_paste"),
+        F.when(k % 2 == 1, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"))).alias("corpus"),
+    )
+    summary = F.struct(
+        F.lit(0).alias("seed"),
+        F.col("n").alias("num_train_images"),
+        F.col("best").alias("best_iteration"),
+        F.col("total").cast("double").alias("elapsed_seconds"),
+    )
+    folder = F.concat_ws("/", F.col("c_mktsegment"), F.concat(F.lit("nation-"), k.cast("string")))
+    root = scratch_path(spark, "runs")
+    for name, row, test in (("config", config, k != 7), ("summary", summary, k % 4 > 0)):
+        files = runs_.filter(test).select(F.concat(folder, F.lit(f"/{name}.json")).alias("file"), F.to_json(row).alias("value"))
+        _append_lines(files.repartition("file"), root)
+    return finished_runs(spark, root).select(
+        "campaign", "run", "seed", "model", "copy_paste", "n_corpus", "num_train_images", "best_iteration", "elapsed_seconds"
+    )
 
 
 @query("""WITH log AS (SELECT 'run' || user_id % 16 AS run, CASE event_type WHEN 'click' THEN 'train' WHEN 'view' THEN 'val'
@@ -84,7 +118,8 @@ def event_log_tail(spark, sf_dir):
     )
     root, place = scratch_path(spark, "logs"), new_place(spark, "tailed")
     for part in (early, late):
-        _append_lines(part.repartition("run").sortWithinPartitions("run", "iteration"), root)
+        file = F.concat(F.lit("campaign/"), F.col("run"), F.lit("/events.jsonl"))
+        _append_lines(part.withColumn("file", file).repartition("file").sortWithinPartitions("file", "iteration"), root)
         table = drain_append(tail_events(spark, root, rangeBytes=4096), "tailed", place)
     return table.groupBy("run", "type").agg(
         F.count(F.lit(1)).alias("n"), F.max("iteration").alias("iteration"), F.round(F.sum("loss"), 4).alias("loss")
