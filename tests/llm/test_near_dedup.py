@@ -97,3 +97,26 @@ def test_links_are_named_for_what_they_are(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")
     got = nd.near_duplicates(docs)
     assert "n_build_links" in got.columns and "n_links" not in got.columns and [r.n_build_links for r in got.collect()] == [0]
+
+
+def test_a_null_id_is_not_an_empty_one(spark):
+    docs = spark.createDataFrame(
+        [("", "one text here"), (None, "one text here"), (None, "one text here"), (None, "other words"), (None, "other words"), ("b", None)],
+        "doc_id string, text string",
+    )
+    kept = nd.keep_one(docs).collect()
+    assert sorted(r.text or "" for r in kept) == ["", "one text here", "other words"]
+    assert {r.text: r.doc_id for r in kept} == {"one text here": "", "other words": None, None: "b"}
+
+
+def test_linked_groups_are_joined_before_strays_are_compared(spark):
+    """Two groups around texts that differ by a sixth, with texts between them: one class."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(300)]
+    far = words[:280] + [f"x{k}" for k in range(20)]
+    middle = words[:290] + [f"x{k}" for k in range(10, 20)]
+    rows = [(k, edited(rng, words, 2)) for k in range(40)] + [(100 + k, edited(rng, far, 2)) for k in range(40)]
+    rows += [(200 + k, edited(rng, middle, 1)) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in nd.near_duplicates(docs).collect()}
+    assert got == brute_classes(rows)
