@@ -1,68 +1,153 @@
 """Instance-level evaluation: pair IoU, greedy matching, average precision."""
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from annotary.operators.ordered import running_totals
-from annotary.session import pinned, scratch_path
+from annotary.session import evaluate_once, scratch_path, sized
 
 # IoU thresholds and recall levels of the averaged metric.
 IOU_THRESHOLDS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
 RECALL_STEPS = 100
 
 CELL = 64
+_RUNS = 1 << 18
 _KEY = ["image_id", "class"]
 
 
-def _in_cells(runs: DataFrame, cell: int) -> DataFrame:
-    """Runs cut at cell borders, so that joining runs are near each other."""
-    return (
-        runs.withColumn(
-            "cell",
-            F.explode(
-                F.sequence(
-                    F.floor(F.col("x0") / cell).cast("int"),
-                    F.floor((F.col("x1") - 1) / cell).cast("int"),
-                )
-            ),
-        )
-        .withColumn("x0", F.greatest("x0", F.col("cell") * cell))
-        .withColumn("x1", F.least("x1", (F.col("cell") + 1) * cell))
+def mask_rows(runs: DataFrame) -> DataFrame:
+    """One row a mask, its runs as ``spans``."""
+    return runs.groupBy(*_KEY, "instance_id").agg(F.collect_list(F.struct("y", "x0", "x1")).alias("spans"))
+
+
+def _several_cells(cell):
+    """Whether a mask lies in more than one cell."""
+    spread = lambda low, high: F.floor(low / cell) != F.floor(high / cell)
+    side = lambda pick: F.transform("spans", pick)
+    return spread(F.array_min(side(lambda s: s["y"])), F.array_max(side(lambda s: s["y"]))) | spread(
+        F.array_min(side(lambda s: s["x0"])), F.array_max(side(lambda s: s["x1"])) - 1
     )
 
 
+def _cut(batch, cell):
+    """The masks of ``batch`` in cells, as columns of one row a mask and cell."""
+    spans = batch.column("spans")
+    flat = spans.flatten()
+    y, x0, x1 = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("y", "x0", "x1"))
+    owner = np.repeat(np.arange(len(spans)), spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    area = np.zeros(len(spans), np.int64)
+    np.add.at(area, owner, x1 - x0)
+    first, n = x0 // cell, np.where(x1 > x0, (x1 - 1) // cell - x0 // cell + 1, 0)
+    run = np.repeat(np.arange(len(y)), n)
+    column = first[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    order = np.lexsort((y[run], column, y[run] // cell, owner[run]))
+    run, column = run[order], column[order]
+    left, right = np.maximum(x0[run] - column * cell, 0), np.minimum(x1[run] - column * cell, cell)
+    bits = (~np.uint64(0) >> (64 - (right - left)).astype(np.uint64)) << left.astype(np.uint64)
+    y, owner = y[run], owner[run]
+    key = np.stack([owner, y // cell, column])
+    begins = np.flatnonzero(np.any(key[:, 1:] != key[:, :-1], axis=0)) + 1
+    begins = np.concatenate([[0], begins]) if len(run) else begins
+    size = np.diff(np.append(begins, len(run)))
+    top, bottom = y[begins], y[begins + size - 1]
+    offsets = np.concatenate([[0], np.cumsum(bottom - top + 1)])
+    words = np.zeros(offsets[-1], np.uint64)
+    np.bitwise_or.at(words, np.repeat(offsets[:-1] - top, size) + y, bits)
+    masks = owner[begins]
+    return {
+        **{c: batch.column(c).take(pa.array(masks)) for c in batch.schema.names if c != "spans"},
+        "area": pa.array(area[masks]),
+        "row": pa.array((y[begins] // cell).astype(np.int32)),
+        "column": pa.array(column[begins].astype(np.int32)),
+        "several": pa.array(np.bincount(masks, minlength=len(spans))[masks] > 1),
+        "top": pa.array(top.astype(np.int32)),
+        "across": pa.array((np.bitwise_or.reduceat(bits, begins) if len(begins) else bits).view(np.int64)),
+        "words": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(words.view(np.int64))),
+    }
+
+
+def _in_cells(masks: DataFrame, cell: int) -> DataFrame:
+    """Masks cut into cells of ``cell`` x ``cell`` pixels: rows from ``top`` on, a word of bits each, and all rows in one."""
+    kept = masks.select(*_KEY, "instance_id", *[c for c in ("score",) if c in masks.columns], "spans")
+    schema = T.StructType(
+        kept.drop("spans").schema.fields
+        + T._parse_datatype_string(
+            "area long, row int, column int, several boolean, top int, across long, words array<long>"
+        ).fields
+    )
+
+    def cut(batches):
+        for batch in batches:
+            ends = np.cumsum(batch.column("spans").value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < len(ends):  # masks of many runs in smaller parts
+                done = ends[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(ends, done + _RUNS, "right")))
+                yield pa.RecordBatch.from_pydict(_cut(batch.slice(at, end - at), cell))
+                at = end
+
+    return kept.mapInArrow(cut, schema)
+
+
 def mask_areas(runs: DataFrame) -> DataFrame:
     return runs.groupBy(*_KEY, "instance_id").agg(F.sum(F.col("x1") - F.col("x0")).alias("area"))
 
 
 def overlapping_pairs(predicted: DataFrame, truth: DataFrame, cell: int = CELL) -> DataFrame:
+    """IoU of every predicted and true mask that share a pixel, from their runs; see ``overlapping_masks``."""
+    return overlapping_masks(mask_rows(predicted), mask_rows(truth), cell)
+
+
+def overlapping_masks(predicted: DataFrame, truth: DataFrame, cell: int = CELL) -> DataFrame:
     """IoU of every predicted and true mask that share a pixel.
 
-    Runs meet on (image, class, row, cell) and only if they overlap there, so
-    pairs that do not touch are never produced and a crowded image spreads
-    over all its rows and cells. Every run carries the area of its mask, from
-    one window over the runs, so the inputs are read once each.
+    Masks come as rows with ``spans`` (y, x0, x1), so that only masks, not
+    runs, are moved. They meet on (image, class, cell), a cell being at most
+    64 pixels wide and high: a crowded image spreads over its cells, and a
+    pair's shared pixels are counted in words of bits. Only pairs of which
+    both masks lie in several cells are summed over cells. A ``score`` of the
+    predictions stays with the pairs.
     """
-    mask = Window.partitionBy(*_KEY, "instance_id")
-    area = F.sum(F.col("x1") - F.col("x0")).over(mask)
-    p = _in_cells(predicted.withColumn("area", area), cell).select(
-        *_KEY, "y", "cell", F.col("instance_id").alias("pred_id"), F.col("area").alias("pred_area"), "x0", "x1"
-    )
-    t = _in_cells(truth.withColumn("area", area), cell).select(
-        *_KEY, "y", "cell", F.col("instance_id").alias("true_id"), F.col("area").alias("true_area"),
-        F.col("x0").alias("t0"), F.col("x1").alias("t1"),
+    cell = min(cell, CELL)
+    score = [c for c in ("score",) if c in predicted.columns]
+    several = _several_cells(cell)
+    above = F.greatest("p_top", "t_top")
+    shared = F.zip_with(
+        F.slice("p_words", above - F.col("p_top") + 1, F.size("p_words")),
+        F.slice("t_words", above - F.col("t_top") + 1, F.size("t_words")),
+        lambda a, b: F.coalesce(F.bit_count(a.bitwiseAND(b)), F.lit(0)),
     )
-    shared = F.least("x1", "t1") - F.greatest("x0", "t0")
+
+    def met(predicted, truth):
+        sides = []
+        for masks, side, name, more in ((predicted, "p", "pred", score), (truth, "t", "true", [])):
+            sides.append(
+                _in_cells(masks, cell).select(
+                    *_KEY, "row", "column", F.col("instance_id").alias(f"{name}_id"), F.col("area").alias(f"{name}_area"), *more,
+                    *[F.col(c).alias(f"{side}_{c}") for c in ("several", "top", "across", "words")],
+                )
+            )
+        near = (
+            (F.col("p_top") < F.col("t_top") + F.size("t_words"))
+            & (F.col("t_top") < F.col("p_top") + F.size("p_words"))
+            & (F.col("p_across").bitwiseAND(F.col("t_across")) != 0)
+        )
+        counted = F.aggregate(shared, F.lit(0).cast("long"), lambda a, n: a + n)
+        return evaluate_once(sides[0].join(sides[1], [*_KEY, "row", "column"]).filter(near), intersection=counted).filter("intersection > 0")
+
+    names = [*_KEY, "pred_id", "true_id", "pred_area", "true_area", *score]
+    whole = met(predicted, truth).filter("NOT (p_several AND t_several)").select(*names, "intersection")
+    parts = met(predicted.filter(several), truth.filter(several))
+    summed = parts.groupBy(*names).agg(F.sum("intersection").alias("intersection"))
     union = F.col("pred_area") + F.col("true_area") - F.col("intersection")
     return (
-        p.join(t, [*_KEY, "y", "cell"])
-        .withColumn("shared", shared)
-        .filter(F.col("shared") > 0)
-        .groupBy(*_KEY, "pred_id", "true_id")
-        .agg(F.sum("shared").alias("intersection"), F.first("pred_area").alias("pred_area"), F.first("true_area").alias("true_area"))
+        whole.unionByName(summed)
         .withColumn("iou", F.col("intersection") / union)
-        .select(*_KEY, "pred_id", "true_id", "intersection", "pred_area", "true_area", "iou")
+        .select(*_KEY, "pred_id", "true_id", "intersection", "pred_area", "true_area", "iou", *score)
     )
 
 
@@ -80,7 +165,8 @@ def greedy_matches(predictions: DataFrame, pairs: DataFrame, thresholds=IOU_THRE
     Per image, class and threshold, predictions by falling score (then id)
     each take the free truth of highest IoU (then smallest id) if that reaches
     the threshold. A pair below the threshold can never be taken, so only
-    pairs at or above it enter. One walk over the sorted pairs settles all
+    pairs at or above it enter. Pairs that carry their ``score`` are not
+    joined with the predictions for it. One walk over the sorted pairs settles all
     thresholds, see ``_walk``.
     """
     return _with_hits(predictions, _walk(_ranked_edges(predictions, pairs, thresholds), thresholds), thresholds)
@@ -88,14 +174,17 @@ def greedy_matches(predictions: DataFrame, pairs: DataFrame, thresholds=IOU_THRE
 
 def greedy_matches_in_rounds(predictions: DataFrame, pairs: DataFrame, thresholds=IOU_THRESHOLDS) -> DataFrame:
     """The same matches found by rounds over the whole cluster, without any walk."""
-    edges = pinned(_ranked_edges(predictions, pairs, thresholds))
+    edges = sized(_ranked_edges(predictions, pairs, thresholds))
     return _with_hits(predictions, _mutual_best(edges, thresholds), thresholds)
 
 
 def _ranked_edges(predictions, pairs, thresholds):
     if not thresholds:
         raise ValueError("thresholds must not be empty")
-    strong = pairs.filter(F.col("iou") >= min(thresholds)).select(*_KEY, "pred_id", "true_id", "iou")
+    named = [c for c in ("score",) if c in pairs.columns]
+    strong = pairs.filter(F.col("iou") >= min(thresholds)).select(*_KEY, "pred_id", "true_id", "iou", *named)
+    if "score" in pairs.columns:
+        return strong
     return strong.join(predictions.select(*_KEY, "pred_id", "score"), [*_KEY, "pred_id"])
 
 
@@ -151,11 +240,11 @@ def _mutual_best(edges: DataFrame, thresholds) -> DataFrame:
     """
     key = [*_KEY, "level"]
     bits = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(float(t)).alias("threshold")) for k, t in enumerate(thresholds)])
-    pending = pinned(
+    pending = sized(
         edges.select("*", F.inline(bits)).filter(F.col("iou") >= F.col("threshold")).drop("threshold")
     )
     spark, path, rounds = edges.sparkSession, scratch_path(edges.sparkSession, "matches"), 0
-    schema = edges.select(*_KEY, F.lit(0).alias("level"), "pred_id").schema
+    schema = edges.select(*_KEY, F.lit(0).alias("level"), "pred_id", "true_id").schema
     while True:
         by_pred = pending.groupBy(*key, "pred_id").agg(
             F.min(F.struct(-F.col("iou"), F.col("true_id")))["true_id"].alias("true_id")
@@ -163,10 +252,10 @@ def _mutual_best(edges: DataFrame, thresholds) -> DataFrame:
         by_truth = pending.groupBy(*key, "true_id").agg(
             F.min(F.struct(-F.col("score"), F.col("pred_id")))["pred_id"].alias("pred_id")
         )
-        agreed = pinned(by_pred.join(by_truth, [*key, "pred_id", "true_id"]))
-        agreed.select(*key, "pred_id").write.parquet(f"{path}/round={rounds}")
+        by_pred.join(by_truth, [*key, "pred_id", "true_id"]).select(schema.names).write.parquet(f"{path}/round={rounds}")
+        agreed = spark.read.schema(schema).parquet(f"{path}/round={rounds}")
         rounds += 1
-        pending = pinned(
+        pending = sized(
             pending.join(agreed.select(*key, "pred_id"), [*key, "pred_id"], "left_anti").join(
                 agreed.select(*key, "true_id"), [*key, "true_id"], "left_anti"
             )
@@ -198,14 +287,17 @@ def precision_recall(matches: DataFrame, truths: DataFrame, thresholds=IOU_THRES
     thresholds, each as one more running sum; a class with most of the rows
     spans many partitions. Equal scores order by image, then prediction id.
     """
-    flags = {f"tp{k}": F.array_contains("hit_thresholds", F.lit(float(t))).cast("long")
-             for k, t in enumerate(thresholds)}
+    bit = lambda k: F.col("_hits").bitwiseAND(F.lit(1 << k)) != 0
+    hits = F.lit(0).cast("long")
+    for k, t in enumerate(thresholds):
+        hits = hits + F.array_contains("hit_thresholds", F.lit(float(t))).cast("long") * (1 << k)
     ranked = running_totals(
-        matches.select(*_KEY, "pred_id", "score", "hit_thresholds"),
+        matches.select(*_KEY, "pred_id", "score", hits.alias("_hits")),
         [F.col("score").desc(), F.col("image_id"), F.col("pred_id")],
-        sums=flags,
+        sums={f"tp{k}": bit(k).cast("long") for k in range(len(thresholds))},
         partition_by=["class"],
         position="rank",
+        keep=["class", "_hits"],
     )
     points = ranked.select(
         "class",
@@ -215,7 +307,7 @@ def precision_recall(matches: DataFrame, truths: DataFrame, thresholds=IOU_THRES
                 *[
                     F.struct(
                         F.lit(float(t)).alias("threshold"),
-                        F.array_contains("hit_thresholds", F.lit(float(t))).alias("is_tp"),
+                        bit(k).alias("is_tp"),
                         (F.col(f"tp{k}") + 1).alias("tp"),
                     )
                     for k, t in enumerate(thresholds)

@@ -16,12 +16,12 @@ _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in the low b
 _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
 
 
-def lay_out(df: DataFrame, order_by) -> DataFrame:
-    """``df`` in global order with its range partition and index inside it."""
+def lay_out(df: DataFrame, order_by, keep=("*",)) -> DataFrame:
+    """``df``, or its columns ``keep``, in global order with its range partition and index inside it."""
     placed = pinned(
         df.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
-        .withColumn("_row", F.monotonically_increasing_id())
+        .select(*keep, F.monotonically_increasing_id().alias("_row"))
     )
     return (
         placed.withColumn("_part", F.shiftright("_row", _LOCAL_BITS))
@@ -30,7 +30,7 @@ def lay_out(df: DataFrame, order_by) -> DataFrame:
     )
 
 
-def running_totals(df: DataFrame, order_by, sums=None, partition_by=(), position=None) -> DataFrame:
+def running_totals(df: DataFrame, order_by, sums=None, partition_by=(), position=None, keep=("*",)) -> DataFrame:
     """Exclusive running sums and 1-based positions in a global order.
 
     ``order_by`` must identify a row inside each ``partition_by`` key. ``sums``
@@ -40,7 +40,7 @@ def running_totals(df: DataFrame, order_by, sums=None, partition_by=(), position
     """
     sums = dict(sums or {})
     keys = list(partition_by)
-    laid = lay_out(df, [F.col(k) for k in keys] + list(order_by))
+    laid = lay_out(df, [F.col(k) for k in keys] + list(order_by), keep)
 
     inside = Window.partitionBy("_part", *keys).orderBy("_index")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)

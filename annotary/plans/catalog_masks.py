@@ -8,7 +8,7 @@ from annotary.operators import masks
 from annotary.operators import records
 from annotary.plans import sql, standin
 from annotary.plans.catalog import query
-from annotary.session import pinned
+from annotary.session import sized
 
 N_CLASSES = 4
 
@@ -105,9 +105,16 @@ def _both(spark, sf_dir):
     return rects.filter("predicted"), rects.filter("NOT predicted")
 
 
+def _mask_rows(rects):
+    spans = F.transform(
+        F.sequence("y0", F.col("y1") - 1), lambda y: F.struct(y.alias("y"), F.col("x0").alias("x0"), F.col("x1").alias("x1"))
+    )
+    return rects.select("image_id", "class", "instance_id", "score", spans.alias("spans"))
+
+
 def _pairs(spark, sf_dir):
     p, t = _both(spark, sf_dir)
-    return inst.overlapping_pairs(_runs(p), _runs(t))
+    return inst.overlapping_masks(_mask_rows(p), _mask_rows(t))
 
 
 def _predictions(spark, sf_dir):
@@ -122,14 +129,14 @@ def _matched(spark, sf_dir):
 
 def _ap(spark, sf_dir):
     truths = _both(spark, sf_dir)[1]
-    return inst.average_precision(pinned(_matched(spark, sf_dir)), truths, N_CLASSES)
+    return inst.average_precision(sized(_matched(spark, sf_dir)), truths, N_CLASSES)
 
 
 @query(f"""WITH {_PAIRS}
 SELECT image_id, class, pred_id, true_id, CAST(intersection AS BIGINT) AS intersection,
   CAST(pred_area AS BIGINT) AS pred_area, CAST(true_area AS BIGINT) AS true_area, round(iou, 6) AS iou FROM pairs""")
 def pair_iou(spark, sf_dir):
-    return _pairs(spark, sf_dir).withColumn("iou", F.round("iou", 6))
+    return _pairs(spark, sf_dir).drop("score").withColumn("iou", F.round("iou", 6))
 
 
 @query(f"""WITH RECURSIVE {_MATCHES}
@@ -150,7 +157,7 @@ SELECT class, threshold, rank, round(precision, 6) AS precision, round(recall, 6
 FROM curve WHERE is_tp""")
 def precision_recall(spark, sf_dir):
     truths = _both(spark, sf_dir)[1]
-    curve = inst.precision_recall(pinned(_matched(spark, sf_dir)), truths)
+    curve = inst.precision_recall(sized(_matched(spark, sf_dir)), truths)
     return curve.withColumn("precision", F.round("precision", 6)).withColumn(
         "recall", F.round("recall", 6)
     )

@@ -294,3 +294,28 @@ def test_far_vertices_and_overlapping_rings(spark):
     area = {i: sum(r["x1"] - r["x0"] for r in runs if r["image_id"] == i) for i in "ab"}
     assert pixels["a"] == {(y, x) for y in range(2, 5) for x in range(2, 6)} | {(y, x) for y in range(3, 6) for x in range(3, 7)}
     assert pixels["b"] == {(y, x) for y in (1, 2) for x in range(20)} and area == {i: len(pixels[i]) for i in "ab"}
+
+
+def test_pairs_of_crossing_masks_move_masks_not_runs(spark):
+    """Masks over several cells, beside zero and with holes, against counting pixels."""
+    rng = np.random.default_rng(4)
+    runs, pixels = {}, {}
+    for side in ("p", "t"):
+        runs[side], pixels[side] = [], {}
+        for k in range(12):
+            y0, x0 = (int(v) for v in rng.integers(-70, 120, 2))
+            for y in range(y0, y0 + int(rng.integers(1, 90))):
+                for x in (x0, x0 + 60):
+                    x1 = x + int(rng.integers(1, 50))
+                    runs[side].append(("i", 1, f"{side}{k}", y, x, x1))
+                    pixels[side].setdefault(f"{side}{k}", set()).update((y, c) for c in range(x, x1))
+    p, t = (spark.createDataFrame(runs[side], RUNS) for side in ("p", "t"))
+    got = {(r["pred_id"], r["true_id"]): (r["intersection"], r["pred_area"], r["true_area"]) for r in inst.overlapping_pairs(p, t).collect()}
+    wanted = {(a, b): (len(pixels["p"][a] & pixels["t"][b]), len(pixels["p"][a]), len(pixels["t"][b])) for a in pixels["p"] for b in pixels["t"]}
+    assert got == {k: v for k, v in wanted.items() if v[0]}
+    shape = "struct<image_id:string,class:int,instance_id:string,score:double,spans:array<struct<y:int,x0:int,x1:int>>>"
+    rows = spark.createDataFrame([("i", 1, "m", 0.5, [(0, 0, 4)]), ("i", 1, "none", 0.5, [])], shape[7:-1])
+    met = inst.overlapping_masks(rows, rows)
+    assert [(r["pred_id"], r["intersection"], r["score"]) for r in met.collect()] == [("m", 4, 0.5)]
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in plan and "Window" not in plan
