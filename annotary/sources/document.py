@@ -14,19 +14,22 @@ from pyspark.sql import types as T
 
 from annotary import schemas
 from annotary.checks import CorpusError
-from annotary.session import sized
+from annotary.session import evaluate_once, sized
 
 MOST_SECTIONS = 1000
 
-_TEXT = r'"(?:[^"\\]|\\.)*"'
-_HEAD = rf'(?s)^((?:[^{{"]|{_TEXT})*)(\{{.*)$'
+_TEXT = r'"(?:[^"\\]++|\\.)*+"'
+_HEAD = rf'(?s)^(?:[^{{"]++|{_TEXT})*+'
 _SECTION = r'(?s).*"((?:[^"\\]|\\.)*)"\s*:\s*\[\s*$'
 
 
+def _count(text, mark):
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))
+
+
 def _depth(text):
     """Opened minus closed brackets of a text without strings."""
-    opened = F.length(text) - F.length(F.translate(text, "{[", ""))
-    return opened - (F.length(text) - F.length(F.translate(text, "}]", "")))
+    return _count(text, "{") + _count(text, "[") - _count(text, "}") - _count(text, "]")
 
 
 def _pieces(spark: SparkSession, path) -> DataFrame:
@@ -46,7 +49,6 @@ def _pieces(spark: SparkSession, path) -> DataFrame:
     )
     rows = raw.join(sized(files), "file")
     open_end = F.col("open_end") & (F.struct("block", "at") == F.col("last"))
-    bare = F.regexp_replace("value", r"(?s)\\.", "")
     strings = r'"[^"]*("|$)'
     rows = rows.select(
         "file",
@@ -54,15 +56,24 @@ def _pieces(spark: SparkSession, path) -> DataFrame:
         "at",
         F.when(open_end, F.col("value")).otherwise(F.concat("value", F.lit("}"))).alias("value"),
         (~open_end).alias("closes"),
-        F.inline(
-            F.array(
-                F.struct(
-                    (F.length(bare) - F.length(F.translate(bare, '"', ""))).alias("quotes"),
-                    _depth(F.regexp_replace(bare, strings, "")).alias("out"),
-                    _depth(F.regexp_replace(F.regexp_replace(bare, r'^[^"]*("|$)', ""), strings, "")).alias("in"),
-                )
-            )
-        ),
+        F.col("value").alias("_raw"),
+    )
+    # each text is made once; a column of it is used several times
+    rows = evaluate_once(rows, _bare=F.when(F.contains("_raw", F.lit("\\")), F.regexp_replace("_raw", r"(?s)\\.", "")).otherwise(F.col("_raw")))
+    rows = evaluate_once(
+        rows,
+        _out=F.regexp_replace("_bare", strings, ""),
+        _in=F.regexp_replace(F.regexp_replace("_bare", r'^[^"]*("|$)', ""), strings, ""),
+    )
+    rows = rows.select(
+        "file",
+        "block",
+        "at",
+        "value",
+        "closes",
+        _count("_bare", '"').alias("quotes"),
+        _depth("_out").alias("out"),
+        _depth("_in").alias("in"),
     )
     last = F.col("closes").cast("int")
     even = 1 - F.col("quotes") % 2
@@ -92,9 +103,9 @@ def document_elements(spark: SparkSession, path, depth: int) -> DataFrame:
         F.when(F.col("odd") == 0, F.col("in")).otherwise(F.col("out")).alias("d1"),
     )
     blocks = both.groupBy("file", "block").agg(F.sum("quotes").alias("q"), F.sum("d0").alias("s0"), F.sum("d1").alias("s1"))
-    blocks = blocks.withColumn("begun", _before("q") % 2)
+    blocks = blocks.withColumn("number", _before(F.lit(1))).withColumn("begun", _before("q") % 2)
     blocks = blocks.withColumn("deep", _before(F.when(F.col("begun") == 0, F.col("s0")).otherwise(F.col("s1"))))
-    state = both.join(sized(blocks.select("file", "block", "begun", "deep")), ["file", "block"])
+    state = both.join(sized(blocks.select("file", "block", "number", "begun", "deep")), ["file", "block"])
     change = F.when(F.col("begun") == 0, F.col("d0")).otherwise(F.col("d1"))
     state = state.withColumn("change", change).withColumn("after", F.col("deep") + F.sum("change").over(now))
     outside = (F.col("begun") + F.col("odd") + F.col("quotes")) % 2 == 0
@@ -105,11 +116,13 @@ def document_elements(spark: SparkSession, path, depth: int) -> DataFrame:
     numbered = state.join(counts, ["file", "block"]).withColumn(
         "place", F.col("begin") + F.coalesce(F.sum("ends").over(upto), F.lit(0))
     )
-    order = F.struct("file", "block", "at")
-    found = numbered.groupBy("place").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "value"))), lambda p: p["value"]), "").alias("text"),
-        F.min_by(F.col("after") - F.col("change"), order).alias("start"),
-        F.max_by(F.struct("ends", "after"), order).alias("end"),
+    piece = F.struct("number", "at", "value", (F.col("after") - F.col("change")).alias("start"), "ends", "after")
+    found = numbered.groupBy("place").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
+    found = found.select(
+        "place",
+        F.get("pieces", 0)["start"].alias("start"),
+        F.array_join("pieces.value", "").alias("text"),
+        F.element_at("pieces", -1).alias("end"),
     )
     return found.filter((F.col("end.ends") == 1) & (F.col("end.after") == depth)).select("place", "start", "text")
 
@@ -118,11 +131,12 @@ def document_sections(spark: SparkSession, path) -> DataFrame:
     """``(section, place, element)``: the objects in the arrays of a root object, each as JSON text."""
     text = F.when(F.col("start") == 0, F.regexp_replace("text", r"^\s*\{", "")).otherwise(F.col("text"))
     cut = document_elements(spark, path, 2).select("place", F.greatest("start", F.lit(1)).alias("start"), text.alias("text"))
-    parts = cut.select(
-        "place", "start", F.regexp_extract("text", _HEAD, 1).alias("head"), F.regexp_extract("text", _HEAD, 2).alias("element")
-    )
-    depth = F.col("start") + _depth(F.regexp_replace("head", _TEXT, ""))
-    parts = sized(parts.filter((depth == 2) & (F.col("element") != "")).withColumn("named", F.regexp_extract("head", _SECTION, 1)))
+    parts = evaluate_once(cut, head=F.regexp_extract("text", _HEAD, 0))
+    parts = parts.select("place", "start", "head", F.expr("substring(text, length(head) + 1)").alias("element"))
+    parts = evaluate_once(parts, _bare=F.regexp_replace("head", _TEXT, ""))
+    depth = F.col("start") + _depth(F.col("_bare"))
+    named = F.when(F.contains("head", F.lit("[")), F.regexp_extract("head", _SECTION, 1)).otherwise("")
+    parts = sized(parts.filter((depth == 2) & F.startswith("element", F.lit("{"))).select("place", "element", named.alias("named")))
     heads = parts.filter("named <> ''").select("place", "named").orderBy("place").limit(MOST_SECTIONS + 1).collect()
     if len(heads) > MOST_SECTIONS:
         raise CorpusError(f"more than {MOST_SECTIONS} sections in {path}")

@@ -460,3 +460,13 @@ def test_list_tree(spark, tmp_path):
     assert {r["path"] for r in plain.filter("length > 0").collect()} == {
         r["path"] for r in image_source.list_files(spark, [f"{tmp_path}/a", f"{tmp_path}/d"]).collect()
     }
+
+
+def test_document_with_long_members_before_its_sections(spark, tmp_path):
+    """A head of many numbers and escaped strings is matched without recursion."""
+    head = {"info": {"note": 'a "quoted" } brace \\'}, "numbers": list(range(60_000)), "words": ["\\\"{[" * 3] * 5_000}
+    images = [{"id": k, "file_name": f"{k}]}}.jpg", "width": 4, "height": 3} for k in range(50)]
+    path = tmp_path / "long.json"
+    path.write_text(json.dumps({**head, "images": images, "annotations": []}))
+    found = document.document_sections(spark, str(path)).filter("section = 'images'").orderBy("place").collect()
+    assert [json.loads(r["element"]) for r in found] == images
