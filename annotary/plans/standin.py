@@ -67,8 +67,13 @@ def counted_images(spark, sf_dir) -> DataFrame:
     return with_instance_counts(images(spark, sf_dir), lines)
 
 
-def landed(spark, sf_dir, name, files=4) -> DataFrame:
-    """A table as a stream of ``files`` files, two to a micro-batch, so that state is merged."""
+def landed(spark, sf_dir, name, batches=2) -> DataFrame:
+    """A table as a stream of files, in ``batches`` micro-batches, so that state is merged.
+
+    The table lands in at least two files a batch, and in as many as it has
+    partitions to read, so that no task takes more of a larger table.
+    """
     stored, path = table(spark, sf_dir, name), scratch_path(spark, "landed")
-    stored.repartition(files).write.parquet(path)
-    return spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    files = max(2, -(-stored.rdd.getNumPartitions() // batches))
+    stored.repartition(files * batches).write.parquet(path)
+    return spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", files).parquet(path)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annotary.operators import runs, scored
+from annotary.plans import standin
 from annotary.sources import tail
 from annotary.streaming import progress, sessions, sinks
 from annotary.streaming import scored as live
@@ -172,3 +173,21 @@ def test_growing_logs(spark, tmp_path):
     assert read() == [("camp", "r1", 1), ("camp", "r1", 2)]
     log.write_text('{"type": "v"}\n')  # a new, shorter file under the old name
     assert [r[2] for r in read()] == [0, 1, 2]
+
+
+def test_landed_files_follow_the_table(spark, tmp_path):
+    """A table of more partitions lands in more files, still in two micro-batches."""
+    spark.range(0, 1000, 1, 12).write.parquet(str(tmp_path / "t.parquet"))
+    before = spark.conf.get("spark.sql.files.openCostInBytes"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    try:
+        stream = standin.landed(spark, str(tmp_path), "t").withColumn("file", F.input_file_name())
+        seen = {}
+        query = stream.writeStream.foreachBatch(lambda b, k: seen.__setitem__(k, (b.count(), b.select("file").distinct().count()))).trigger(availableNow=True)
+        query.option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before[0])
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[1])
+    assert sum(n for n, _ in seen.values()) == 1000
+    assert len(seen) == 2 and all(files >= 4 for _, files in seen.values())
