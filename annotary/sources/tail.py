@@ -2,7 +2,7 @@
 
 ``line_tail`` is a Python data source. Its offset is one number per file, where
 the last complete line ends; a half-written last line is held back until its
-end has arrived. New bytes are dealt in ranges over tasks, and a line belongs
+end has arrived. New bytes are dealt in ranges over tasks, in wider ones if there are many, and a line belongs
 to the range it begins in, so one long log does not wait for one task.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from annotary import schemas
 
 RANGE_BYTES = 64 << 20
+MOST_RANGES = 256  # wider ranges follow, up to RANGE_BYTES
 _STEP = 1 << 20
 _SCHEMA = "path string, byte_offset long, value string"
 
@@ -95,13 +96,13 @@ class LineTailReader(DataSourceStreamReader):
         return {"files": {path: end for path, (_, end) in self.known.items()}}
 
     def partitions(self, start, end):
-        parts = []
+        fresh = []
         for path, stop in end["files"].items():
             begin = start["files"].get(path, 0)
-            begin = 0 if begin > stop else begin
-            for at in range(begin, stop, self.range_bytes):
-                parts.append(LineRange(path, at, min(stop, at + self.range_bytes), stop))
-        return parts
+            fresh.append((path, 0 if begin > stop else begin, stop))
+        even = -(-sum(stop - begin for _, begin, stop in fresh) // MOST_RANGES)
+        step = max(self.range_bytes, min(RANGE_BYTES, even))
+        return [LineRange(path, at, min(stop, at + step), stop) for path, begin, stop in fresh for at in range(begin, stop, step)]
 
     def read(self, partition):
         rows, size = [], 0

@@ -191,3 +191,14 @@ def test_landed_files_follow_the_table(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before[1])
     assert sum(n for n, _ in seen.values()) == 1000
     assert len(seen) == 2 and all(files >= 4 for _, files in seen.values())
+
+
+def test_tail_ranges_stay_bounded(tmp_path):
+    """Many new bytes are read in wider ranges, which still cover every byte once."""
+    reader = tail.LineTailReader({"path": str(tmp_path), "rangeBytes": "10"})
+    parts = reader.partitions({"files": {"a": 50}}, {"files": {"a": 1_000_050, "b": 7}})
+    assert len(parts) <= tail.MOST_RANGES + 2
+    spans = sorted((p.path, p.begin, p.end) for p in parts)
+    assert spans[0][1] == 50 and spans[-1] == ("b", 0, 7)
+    assert all(x[2] == y[1] for x, y in zip(spans, spans[1:]) if x[0] == y[0])
+    assert len(reader.partitions({"files": {}}, {"files": {"a": 100}})) == 10
