@@ -140,9 +140,10 @@ def stream_sessions_all(spark, sf_dir):
     sessions that were given out before."""
     stored = standin.table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     path = scratch_path(spark, "landed")
+    files = -(-stored.rdd.getNumPartitions() // 3)
     for part in range(3):
-        stored.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        stored.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).repartition(files).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", files).parquet(path)
     with rocksdb_state(spark):
         found = live_sessions.corrected_sessions(stream, ["user_id"], "event_id", "ts", "36500 days", 3600)
         newest = drain_update(found, "sessions", ["user_id", "session_id"])

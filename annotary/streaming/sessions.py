@@ -2,6 +2,7 @@
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,14 +35,18 @@ def live_sessions(
 
 
 class _Sessions(StatefulProcessor):
-    """The open sessions of one key; rows may arrive in any order."""
+    """The open sessions of one key; rows may arrive in any order.
+
+    A key has one value, read and written once a micro-batch, and one timer,
+    at the earliest end of its sessions.
+    """
 
     def __init__(self, fields, gap):
         self.fields, self.gap = fields, gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "first_us long", "last_us long, opener long, n long")
+        self.state = handle.getValueState("open", "sessions binary, timer long")
 
     def _row(self, key, first, session, state):
         last, opener, n = session
@@ -50,8 +55,27 @@ class _Sessions(StatefulProcessor):
     def _end(self, last):
         return (last + self.gap) // 1000 + 1
 
+    def _load(self):
+        """``{first: (last, opener, n)}`` and the time of the timer, if one is set."""
+        found = self.state.get()
+        if found is None:
+            return {}, None
+        table = np.frombuffer(bytes(found[0]), np.int64).reshape(-1, 4).tolist()
+        return {first: (last, opener, n) for first, last, opener, n in table}, found[1]
+
+    def _store(self, sessions, timer):
+        if not sessions:
+            self.state.clear()
+            return
+        earliest = min(self._end(last) for last, _, _ in sessions.values())
+        if timer is None or earliest < timer:
+            self.handle.registerTimer(earliest)
+            timer = earliest
+        table = np.array([(first, *session) for first, session in sessions.items()], np.int64)
+        self.state.update((table.tobytes(), timer))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        old = {k[0]: tuple(v) for k, v in self.open.iterator()}
+        old, timer = self._load()
         spans = [(first, *session, False) for first, session in old.items()]
         spans += [(row.us, row.us, row.id, 1, True) for row in rows]
         spans.sort(key=lambda s: (s[0], s[2]))
@@ -63,23 +87,22 @@ class _Sessions(StatefulProcessor):
             else:
                 merged.append((first, last, opener, n, fresh))
         known = {m[2] for m in merged}
+        self._store({first: (last, opener, n) for first, last, opener, n, _ in merged}, timer)
         for first, session in old.items():
-            if all(first != m[0] for m in merged):
-                self.open.removeKey((first,))
             if session[1] not in known:
                 yield self._row(key, first, (*session[:2], 0), "merged")
         for first, last, opener, n, changed in merged:
             if changed:
-                self.open.updateValue((first,), (last, opener, n))
-                self.handle.registerTimer(self._end(last))
                 yield self._row(key, first, (last, opener, n), "open")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        for k, v in list(self.open.iterator()):
-            if self._end(v[0]) <= now:
-                yield self._row(key, k[0], tuple(v), "closed")
-                self.open.removeKey((k[0],))
+        # a session may have grown since the timer was set, and others may have ended with it
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        sessions, _ = self._load()
+        closed = {first: session for first, session in sessions.items() if self._end(session[0]) <= now}
+        self._store({first: session for first, session in sessions.items() if first not in closed}, None)
+        for first, session in closed.items():
+            yield self._row(key, first, session, "closed")
 
     def close(self) -> None:
         pass

@@ -202,3 +202,42 @@ def test_tail_ranges_stay_bounded(tmp_path):
     assert spans[0][1] == 50 and spans[-1] == ("b", 0, 7)
     assert all(x[2] == y[1] for x, y in zip(spans, spans[1:]) if x[0] == y[0])
     assert len(reader.partitions({"files": {}}, {"files": {"a": 100}})) == 10
+
+
+def test_a_key_of_many_sessions_has_one_value_and_one_timer():
+    """State calls do not grow with the sessions of a key."""
+    calls = []
+
+    class Value:
+        row = None
+
+        def get(self):
+            return self.row
+
+        def update(self, row):
+            calls.append("update")
+            self.row = row
+
+        def clear(self):
+            self.row = None
+
+    class Handle:
+        value = Value()
+        getValueState = lambda self, *_: self.value
+        registerTimer = lambda self, at: calls.append(at)
+
+    class Now:
+        getCurrentWatermarkInMs = getExpiryTimeInMs = lambda self: 10**12
+
+    field = type("Row", (), {})
+    rows = []
+    for k in range(40):
+        row = field()
+        row.us, row.id = k * 10_000_000, k
+        rows.append(row)
+    processor = sessions._Sessions(["user"], 1_000_000)
+    processor.init(Handle())
+    assert len(list(processor.handleInputRows(("u",), iter(rows), None))) == 40
+    assert calls == [1001, "update"]
+    assert [r.state for r in processor.handleExpiredTimer(("u",), Now(), Now())] == ["closed"] * 40
+    assert Handle.value.row is None and len(calls) == 2
