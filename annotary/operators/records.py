@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annotary.functions import geometry as g
+from annotary.functions.measures import polygon_measures
 from annotary.session import evaluate_once
 
 
@@ -70,24 +71,17 @@ def clean_instances(instances: DataFrame) -> DataFrame:
     Nothing is removed here; see ``kept_instances``. Every ring is measured
     once, in place.
     """
-    measured = F.transform(
-        F.coalesce("polygon", F.expr("array()")),
-        lambda r: F.struct(r.alias("ring"), g.ring_area(r).alias("area")),
-    )
-    good = F.filter(measured, lambda m: (F.size(m["ring"]) >= 6) & (m["area"] > 0))
-    read = evaluate_once(
-        instances.withColumn("n_degenerate", F.coalesce(F.size("polygon"), F.lit(0))), _good=good
-    )
-    kept = F.col("_good")["ring"]
+    read = evaluate_once(instances, _m=polygon_measures("polygon"))
+    rings, n_rings = F.coalesce("polygon", F.expr("array()")), F.coalesce(F.size("polygon"), F.lit(0))
+    good = F.filter(rings, lambda _, i: F.get(F.col("_m.good"), i))
     return (
-        evaluate_once(read.drop("polygon"), polygon=kept, extent=g.rings_extent(kept))
-        .withColumn("n_degenerate", F.col("n_degenerate") - F.size("_good"))
-        .withColumn("dropped", F.size("_good") == 0)
-        .withColumn(
-            "area", F.aggregate(F.col("_good")["area"], F.lit(0.0), lambda acc, a: acc + a)
-        )
+        read.withColumn("n_degenerate", n_rings - F.col("_m.n_good"))
+        .withColumn("polygon", F.when(F.col("_m.n_good") == F.size("polygon"), F.col("polygon")).otherwise(good))
+        .withColumn("extent", F.col("_m.extent"))
+        .withColumn("dropped", F.col("_m.n_good") == 0)
+        .withColumn("area", F.col("_m.area"))
         .withColumn("bbox", g.extent_bbox("extent"))
-        .drop("_good")
+        .drop("_m")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from annotary import schemas
 from annotary.checks import CorpusError, require_empty
 from annotary.functions import geometry as g
+from annotary.functions.measures import ring_measures
 from annotary.functions.naming import image_key
 from annotary.session import evaluate_once
 from annotary.sources.images import list_files, require_files
@@ -67,24 +68,29 @@ def supervisely_instances(docs: DataFrame, classes=CLASSES) -> DataFrame:
         "unexpected geometry or class",
         CorpusError,
     )
-    rings = F.transform(
-        "objects",
-        lambda o: F.struct(
-            o["classTitle"].alias("source_class"),
-            g.measured(g.flatten_points(o["points"]["exterior"])).alias("m"),
-            F.coalesce(F.size(F.coalesce(o["points"]["interior"], F.expr("array()"))), F.lit(0)).alias("holes"),
-        ),
+    # flat lists of coordinates, all measured at once
+    exteriors = F.transform(F.col("objects")["points"]["exterior"], lambda points: F.flatten(points))
+    read = evaluate_once(docs, _ring=exteriors)
+    read = evaluate_once(read, _measured=ring_measures("_ring"))
+    holes = F.transform(
+        F.col("objects")["points"]["interior"], lambda i: F.coalesce(F.size(F.coalesce(i, F.expr("array()"))), F.lit(0))
+    )
+    rings = F.arrays_zip(
+        F.col("objects")["classTitle"].alias("source_class"),
+        F.col("_ring").alias("ring"),
+        F.col("_measured").alias("m"),
+        holes.alias("holes"),
     )
-    good = F.filter("_rings", lambda r: (F.size(r["m"]["ring"]) >= 6) & (r["m"]["area"] > 0))
+    good = F.filter("_rings", lambda r: (F.size(r["ring"]) >= 6) & (r["m"]["area"] > 0))
     return (
-        evaluate_once(evaluate_once(docs, _rings=rings), _good=good)
+        evaluate_once(read.withColumn("_rings", rings), _good=good)
         .withColumn(
             "instances",
             F.transform(
                 "_good",
                 lambda r: F.struct(
                     r["source_class"].alias("source_class"),
-                    F.array(r["m"]["ring"]).alias("polygon"),
+                    F.array(r["ring"]).alias("polygon"),
                     g.extent_bbox(r["m"]["extent"]).alias("bbox"),
                     r["m"]["area"].alias("area"),
                 ),
@@ -93,7 +99,7 @@ def supervisely_instances(docs: DataFrame, classes=CLASSES) -> DataFrame:
         .withColumn("n_degenerate", F.size("_rings") - F.size("_good"))
         .withColumn("n_dropped", F.col("n_degenerate"))
         .withColumn("n_holes", F.aggregate("_good", F.lit(0), lambda acc, r: acc + r["holes"]))
-        .drop("_rings", "_good", "objects")
+        .drop("_ring", "_measured", "_rings", "_good", "objects")
     )
 
 

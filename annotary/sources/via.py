@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from annotary import schemas
 from annotary.checks import CorpusError, require_empty
 from annotary.functions import geometry as g
+from annotary.functions.measures import interleaved, ring_measures
 from annotary.functions.naming import image_key, timestamp_group
 from annotary.operators.sessions import link_thumbnails, merge_session_groups
 from annotary.session import evaluate_once
@@ -42,27 +43,25 @@ def via_instances(entries: DataFrame) -> DataFrame:
     Needs ``regions``, ``width`` and ``height``; no shuffle. A region is
     dropped when degenerate or wholly outside a frame of known size.
     """
-    rings = F.transform(
-        F.coalesce("regions", F.expr("array()")),
-        lambda r: F.struct(
-            r["class"].alias("source_class"), g.measured(g.interleave(r["all_x"], r["all_y"])).alias("m")
-        ),
-    )
+    regions = F.coalesce("regions", F.expr("array()"))
+    read = evaluate_once(entries, _ring=interleaved(regions["all_x"], regions["all_y"]))
+    read = evaluate_once(read, _measured=ring_measures("_ring"))
+    rings = F.arrays_zip(regions["class"].alias("source_class"), F.col("_ring").alias("ring"), F.col("_measured").alias("m"))
     good = F.filter(
         "_rings",
-        lambda r: (F.size(r["m"]["ring"]) >= 6)
+        lambda r: (F.size(r["ring"]) >= 6)
         & (r["m"]["area"] > 0)
         & ~g.extent_out_of_frame(r["m"]["extent"], "width", "height"),
     )
     return (
-        evaluate_once(evaluate_once(entries, _rings=rings), _good=good)
+        evaluate_once(read.withColumn("_rings", rings), _good=good)
         .withColumn(
             "instances",
             F.transform(
                 "_good",
                 lambda r: F.struct(
                     r["source_class"].alias("source_class"),
-                    F.array(r["m"]["ring"]).alias("polygon"),
+                    F.array(r["ring"]).alias("polygon"),
                     g.extent_bbox(r["m"]["extent"]).alias("bbox"),
                     r["m"]["area"].alias("area"),
                 ),
@@ -71,7 +70,7 @@ def via_instances(entries: DataFrame) -> DataFrame:
         .withColumn("n_degenerate", F.size("_rings") - F.size("_good"))
         .withColumn("n_dropped", F.col("n_degenerate"))
         .withColumn("n_holes", F.lit(0))
-        .drop("_rings", "_good", "regions")
+        .drop("_ring", "_measured", "_rings", "_good", "regions")
     )
 
 
