@@ -455,10 +455,9 @@ def predicted_instances(scored_pixels: DataFrame, tile: int = TILE):
     """
     from annotary.functions import scoring
 
-    classed = scored_pixels.select(
-        "image_id", "y", "x", scoring.argmax("probs").alias("class"),
-        scoring.confidence("probs").alias("p"),
-    ).filter(F.col("class") > 0)
+    # the filter must not carry a copy of the expression behind ``probs``
+    best = {"class": scoring.argmax("probs"), "p": scoring.confidence("probs")}
+    classed = evaluate_once(scored_pixels.select("image_id", "y", "x", "probs"), **best).drop("probs").filter(F.col("class") > 0)
     # A tile border would cut a run and its sum, so runs end at borders from the start.
     classed = classed.withColumn("_tx", F.floor(F.col("x") / tile))
     runs = pixels_to_runs(classed, ["image_id", "class", "_tx"], "p").drop("_tx")

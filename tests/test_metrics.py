@@ -319,3 +319,21 @@ def test_pairs_of_crossing_masks_move_masks_not_runs(spark):
     assert [(r["pred_id"], r["intersection"], r["score"]) for r in met.collect()] == [("m", 4, 0.5)]
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode" not in plan and "Window" not in plan
+
+
+def test_predicted_instances_evaluates_probabilities_once(spark, monkeypatch):
+    from annotary.functions import scoring
+
+    plans = []
+    whole = masks.components
+
+    def noted(runs, *args, **kwargs):
+        plans.append(runs._jdf.queryExecution().optimizedPlan().toString())
+        return whole(runs, *args, **kwargs)
+
+    monkeypatch.setattr(masks, "components", noted)
+    logits = spark.createDataFrame([("a", 0, 0, [0.0, 2.0, 1.0]), ("a", 0, 1, [0.0, 2.0, 1.0])], "image_id string, y int, x int, l array<double>")
+    pixels = logits.filter("x >= 0").select("image_id", "y", "x", scoring.softmax("l", 3).alias("probs"))
+    scores, _ = masks.predicted_instances(pixels, tile=4)
+    assert [r["n_pixels"] for r in scores.collect()] == [2]
+    assert not [line for line in plans[0].splitlines() if "Filter" in line and "EXP(" in line]
