@@ -89,9 +89,9 @@ POSITION = ["pos.l_linenumber", "pos.l_partkey", "pos.l_suppkey"]
 
 def _sized_instances(spark, sf_dir):
     sizes = standin.images(spark, sf_dir).select("image_id", "source", "width", "height")
-    return records.mark_out_of_frame(
-        records.clean_instances(standin.instances(spark, sf_dir)).join(sizes, "image_id")
-    )
+    # the box follows from the extent, so only the extent is moved
+    cleaned = records.clean_instances(standin.instances(spark, sf_dir)).drop("bbox")
+    return records.mark_out_of_frame(cleaned.join(sizes, "image_id")).withColumn("bbox", g.extent_bbox("extent"))
 
 
 @query(f"""WITH {sql.IMAGES}, {sql.BOXES}

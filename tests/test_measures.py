@@ -46,3 +46,12 @@ def test_cleaning_measures_in_batches(spark):
         w = wanted[r["id"]]
         assert (repr(r["polygon"]), repr(r["extent"]), repr(r["area"]), r["dropped"], r["n_degenerate"]) == (
             repr(w["good"]), repr(w["extent"]), repr(w["area"]), w["n"] == 0, w["lost"])
+
+
+def test_boxes_are_not_moved_through_the_join(spark):
+    from annotary.plans import catalog
+    from tests.conftest import SF_DIR
+
+    plan = catalog.load()["clean_polygons"].run(spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join Inner"):]
+    assert "bbox" not in below and "extent" in below
