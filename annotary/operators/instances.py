@@ -16,6 +16,9 @@ RECALL_STEPS = 100
 
 CELL = 64
 _RUNS = 1 << 18
+#: Lowest bits of the parts of a shape; places in a cell have six bits each, the area the rest.
+_RIGHT, _LEFT, _TOP, _AREA = 1, 7, 13, 19
+_FILTER = 24
 _KEY = ["image_id", "class"]
 
 
@@ -58,26 +61,30 @@ def _cut(batch, cell):
     words = np.zeros(offsets[-1], np.uint64)
     np.bitwise_or.at(words, np.repeat(offsets[:-1] - top, size) + y, bits)
     masks = owner[begins]
+    low = np.minimum.reduceat(left, begins) if len(begins) else left
+    high = (np.maximum.reduceat(right, begins) if len(begins) else right) - 1
     return {
         **{c: batch.column(c).take(pa.array(masks)) for c in batch.schema.names if c != "spans"},
-        "area": pa.array(area[masks]),
-        "row": pa.array((y[begins] // cell).astype(np.int32)),
-        "column": pa.array(column[begins].astype(np.int32)),
-        "several": pa.array(np.bincount(masks, minlength=len(spans))[masks] > 1),
-        "top": pa.array(top.astype(np.int32)),
-        "across": pa.array((np.bitwise_or.reduceat(bits, begins) if len(begins) else bits).view(np.int64)),
+        "cell": pa.array((top // cell << 32) + column[begins]),
+        "shape": pa.array(
+            area[masks] << _AREA | top % cell << _TOP | low << _LEFT | high << _RIGHT
+            | (np.bincount(masks, minlength=len(spans))[masks] > 1)
+        ),
         "words": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(words.view(np.int64))),
     }
 
 
 def _in_cells(masks: DataFrame, cell: int) -> DataFrame:
-    """Masks cut into cells of ``cell`` x ``cell`` pixels: rows from ``top`` on, a word of bits each, and all rows in one."""
+    """Masks cut into cells of ``cell`` x ``cell`` pixels: a word of bits a row.
+
+    ``shape`` holds what else is to be known of a mask in one number, so that
+    little is moved: its whole area, the first row, the first and last column
+    in the cell, and whether it lies in several cells.
+    """
     kept = masks.select(*_KEY, "instance_id", *[c for c in ("score",) if c in masks.columns], "spans")
     schema = T.StructType(
         kept.drop("spans").schema.fields
-        + T._parse_datatype_string(
-            "area long, row int, column int, several boolean, top int, across long, words array<long>"
-        ).fields
+        + T._parse_datatype_string("cell long, shape long, words array<long>").fields
     )
 
     def cut(batches):
@@ -115,10 +122,12 @@ def overlapping_masks(predicted: DataFrame, truth: DataFrame, cell: int = CELL)
     cell = min(cell, CELL)
     score = [c for c in ("score",) if c in predicted.columns]
     several = _several_cells(cell)
-    above = F.greatest("p_top", "t_top")
+    at = lambda side, low: F.shiftright(f"{side}_shape", low).bitwiseAND(F.lit(63)).cast("int")
+    p_top, t_top = at("p", _TOP), at("t", _TOP)
+    above = F.greatest(p_top, t_top)
     shared = F.zip_with(
-        F.slice("p_words", above - F.col("p_top") + 1, F.size("p_words")),
-        F.slice("t_words", above - F.col("t_top") + 1, F.size("t_words")),
+        F.slice("p_words", above - p_top + 1, F.size("p_words")),
+        F.slice("t_words", above - t_top + 1, F.size("t_words")),
         lambda a, b: F.coalesce(F.bit_count(a.bitwiseAND(b)), F.lit(0)),
     )
 
@@ -127,20 +136,23 @@ def overlapping_masks(predicted: DataFrame, truth: DataFrame, cell: int = CELL)
         for masks, side, name, more in ((predicted, "p", "pred", score), (truth, "t", "true", [])):
             sides.append(
                 _in_cells(masks, cell).select(
-                    *_KEY, "row", "column", F.col("instance_id").alias(f"{name}_id"), F.col("area").alias(f"{name}_area"), *more,
-                    *[F.col(c).alias(f"{side}_{c}") for c in ("several", "top", "across", "words")],
+                    *_KEY, "cell", F.col("instance_id").alias(f"{name}_id"), *more,
+                    *[F.col(c).alias(f"{side}_{c}") for c in ("shape", "words")],
                 )
             )
         near = (
-            (F.col("p_top") < F.col("t_top") + F.size("t_words"))
-            & (F.col("t_top") < F.col("p_top") + F.size("p_words"))
-            & (F.col("p_across").bitwiseAND(F.col("t_across")) != 0)
+            (p_top < t_top + F.size("t_words"))
+            & (t_top < p_top + F.size("p_words"))
+            & (at("p", _LEFT) <= at("t", _RIGHT))
+            & (at("t", _LEFT) <= at("p", _RIGHT))
         )
         counted = F.aggregate(shared, F.lit(0).cast("long"), lambda a, n: a + n)
-        return evaluate_once(sides[0].join(sides[1], [*_KEY, "row", "column"]).filter(near), intersection=counted).filter("intersection > 0")
+        both = evaluate_once(sides[0].join(sides[1], [*_KEY, "cell"]).filter(near), intersection=counted).filter("intersection > 0")
+        sizes = [F.shiftright(f"{side}_shape", _AREA).alias(f"{name}_area") for side, name in (("p", "pred"), ("t", "true"))]
+        return both.select("*", *sizes)
 
     names = [*_KEY, "pred_id", "true_id", "pred_area", "true_area", *score]
-    whole = met(predicted, truth).filter("NOT (p_several AND t_several)").select(*names, "intersection")
+    whole = met(predicted, truth).filter("(p_shape & t_shape & 1) = 0").select(*names, "intersection")
     parts = met(predicted.filter(several), truth.filter(several))
     summed = parts.groupBy(*names).agg(F.sum("intersection").alias("intersection"))
     union = F.col("pred_area") + F.col("true_area") - F.col("intersection")
@@ -175,7 +187,14 @@ def greedy_matches(predictions: DataFrame, pairs: DataFrame, thresholds=IOU_THRE
 def greedy_matches_in_rounds(predictions: DataFrame, pairs: DataFrame, thresholds=IOU_THRESHOLDS) -> DataFrame:
     """The same matches found by rounds over the whole cluster, without any walk."""
     edges = sized(_ranked_edges(predictions, pairs, thresholds))
-    return _with_hits(predictions, _mutual_best(edges, thresholds), thresholds)
+    # an edge without another one at either end is settled at once; in most images these are nearly all
+    ends = [F.count(F.lit(1)).over(Window.partitionBy(*_KEY, end)) for end in ("pred_id", "true_id")]
+    counted = sized(edges.withColumn("_p", ends[0]).withColumn("_t", ends[1]).withColumn("_alone", F.expr("_p = 1 AND _t = 1")).drop("_p", "_t"))
+    reached = F.lit(0).cast("long")
+    for k, t in enumerate(thresholds):
+        reached = reached + (F.col("iou") >= F.lit(float(t))).cast("long") * (1 << k)
+    alone = counted.filter("_alone").select(*_KEY, "pred_id", reached.alias("hits"))
+    return _with_hits(predictions, alone.unionByName(_mutual_best(counted.filter("NOT _alone").drop("_alone"), thresholds)), thresholds)
 
 
 def _ranked_edges(predictions, pairs, thresholds):
@@ -189,13 +208,25 @@ def _ranked_edges(predictions, pairs, thresholds):
 
 
 def _with_hits(predictions, hits, thresholds):
-    """``hits`` has one bit per threshold that a prediction was matched at."""
-    bits = hits.groupBy(*_KEY, "pred_id").agg(F.bit_or("hits").alias("_hits"))
+    """``hits`` has one bit per threshold that a prediction was matched at.
+
+    Most predictions match nothing. A bitmap of the matched ones, at most
+    2**18 words, lets those pass at once; only the others are moved to meet
+    their hits, which decide. So ``predictions`` are read twice.
+    """
+    bits = sized(hits.groupBy(*_KEY, "pred_id").agg(F.bit_or("hits").alias("_hits")))
+    slot = F.xxhash64(*_KEY, "pred_id").bitwiseAND(F.lit((1 << _FILTER) - 1))
+    word, bit = F.shiftright(slot, 6).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    words = bits.select(word, bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = predictions.withColumn("_word", word).join(F.broadcast(words), "_word", "left")
+    may = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    sure = marked.filter(~may).drop("_word", "_bits").withColumn("_hits", F.lit(None).cast("long"))
+    judged = marked.filter(may).drop("_word", "_bits").join(bits, [*_KEY, "pred_id"], "left")
     order = sorted(range(len(thresholds)), key=lambda k: thresholds[k])
     levels = F.array(
         *[F.when(F.col("_hits").bitwiseAND(F.lit(1 << k)) != 0, F.lit(float(thresholds[k]))) for k in order]
     )
-    return predictions.join(bits, [*_KEY, "pred_id"], "left").withColumn(
+    return judged.unionByName(sure).withColumn(
         "hit_thresholds", F.coalesce(F.array_compact(levels), F.array().cast("array<double>"))
     ).drop("_hits")
 

@@ -74,16 +74,16 @@ ap AS (
   FROM n_truth n CROSS JOIN levels l GROUP BY 1, 2)"""
 
 
-def _rects(spark, sf_dir):
+def _lines(spark, sf_dir):
+    """The rectangles under numbers instead of names, see ``_image_name`` and ``_name``."""
     flag = F.col("l_returnflag")
-    pad = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
     x0, y0 = F.col("l_partkey") % 24, F.col("l_suppkey") % 16
     return standin.table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("set/"), F.floor(F.col("l_orderkey") / 8).cast("string")).alias("image_id"),
+        F.floor(F.col("l_orderkey") / 8).alias("image_id"),
         F.when(flag == "A", 1).when(flag == "N", 2).otherwise(3).alias("class"),
-        F.concat_ws(
-            "-", pad("l_orderkey"), F.col("l_linenumber").cast("string"), pad("l_partkey"), pad("l_suppkey"),
-            F.round(F.col("l_extendedprice") * 100).cast("long").cast("string"),
+        F.struct(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+            F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
         ).alias("instance_id"),
         (F.col("l_linestatus") == "O").alias("predicted"),
         (F.col("l_discount") + F.lit(0.5)).alias("score"),
@@ -94,6 +94,20 @@ def _rects(spark, sf_dir):
     )
 
 
+def _image_name():
+    return F.concat(F.lit("set/"), F.col("image_id").cast("string"))
+
+
+def _name(column):
+    part = lambda c: F.col(f"{column}.{c}").cast("string")
+    pad = lambda c: F.lpad(part(c), 12, "0")
+    return F.concat_ws("-", pad("l_orderkey"), part("l_linenumber"), pad("l_partkey"), pad("l_suppkey"), part("cents"))
+
+
+def _rects(spark, sf_dir):
+    return _lines(spark, sf_dir).withColumns({"image_id": _image_name(), "instance_id": _name("instance_id")})
+
+
 def _runs(rects):
     return rects.select(
         "image_id", "class", "instance_id", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"), "x0", "x1"
@@ -112,9 +126,13 @@ def _mask_rows(rects):
     return rects.select("image_id", "class", "instance_id", "score", spans.alias("spans"))
 
 
-def _pairs(spark, sf_dir):
-    p, t = _both(spark, sf_dir)
-    return inst.overlapping_masks(_mask_rows(p), _mask_rows(t))
+def _pairs(spark, sf_dir, scored=True):
+    """Pairs of masks; they meet under numbers, names are made afterwards."""
+    lines = _lines(spark, sf_dir)
+    p, t = (_mask_rows(lines.filter(side)) for side in ("predicted", "NOT predicted"))
+    return inst.overlapping_masks(p if scored else p.drop("score"), t).withColumns(
+        {"image_id": _image_name(), "pred_id": _name("pred_id"), "true_id": _name("true_id")}
+    )
 
 
 def _predictions(spark, sf_dir):
@@ -136,7 +154,7 @@ def _ap(spark, sf_dir):
 SELECT image_id, class, pred_id, true_id, CAST(intersection AS BIGINT) AS intersection,
   CAST(pred_area AS BIGINT) AS pred_area, CAST(true_area AS BIGINT) AS true_area, round(iou, 6) AS iou FROM pairs""")
 def pair_iou(spark, sf_dir):
-    return _pairs(spark, sf_dir).drop("score").withColumn("iou", F.round("iou", 6))
+    return _pairs(spark, sf_dir, scored=False).withColumn("iou", F.round("iou", 6))
 
 
 @query(f"""WITH RECURSIVE {_MATCHES}

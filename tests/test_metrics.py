@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -337,3 +338,52 @@ def test_predicted_instances_evaluates_probabilities_once(spark, monkeypatch):
     scores, _ = masks.predicted_instances(pixels, tile=4)
     assert [r["n_pixels"] for r in scores.collect()] == [2]
     assert not [line for line in plans[0].splitlines() if "Filter" in line and "EXP(" in line]
+
+
+def shuffled(spark, run):
+    """Bytes that ``run`` writes for shuffles."""
+    sc = spark.sparkContext
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        none = sc._jvm.java.util.ArrayList()
+        stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def test_pairs_move_numbers_not_names(spark):
+    from annotary.plans.catalog_masks import pair_iou
+
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").count()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = shuffled(spark, lambda: pair_iou(spark, "/root/testdata/sf0.01").write.format("noop").mode("overwrite").save())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert 0 < moved < 60 * lines, moved / lines
+
+
+@pytest.mark.parametrize("match", [inst.greedy_matches, inst.greedy_matches_in_rounds])
+def test_predictions_without_a_match_are_not_moved(spark, match):
+    n = 20_000
+    preds = spark.range(n).selectExpr("concat('i', id % 500) AS image_id", "1 AS class", "md5(string(id)) AS pred_id", "double(0.5) AS score").repartition(2)
+    edge = spark.createDataFrame(
+        [("i7", 1, hashlib.md5(b"7").hexdigest(), "t", 0.72), ("i8", 1, hashlib.md5(b"8").hexdigest(), "t", 0.9),
+         ("i8", 1, hashlib.md5(b"508").hexdigest(), "t", 0.95)],
+        "image_id string, class int, pred_id string, true_id string, iou double",
+    ).withColumn("score", F.lit(0.5))
+    preds.count()
+    preds = spark.createDataFrame(preds.toPandas(), preds.schema)
+    got = []
+    moved = shuffled(spark, lambda: got.extend(match(preds, edge, [0.5, 0.7, 0.75]).collect()))
+    assert moved < 10 * n
+    assert len(got) == n and {r["pred_id"]: r["hit_thresholds"] for r in got if r["hit_thresholds"]} == {
+        hashlib.md5(b"7").hexdigest(): [0.5, 0.7],
+        **({hashlib.md5(b"508").hexdigest(): [0.5, 0.7, 0.75]} if hashlib.md5(b"508").hexdigest() < hashlib.md5(b"8").hexdigest() else
+           {hashlib.md5(b"8").hexdigest(): [0.5, 0.7, 0.75]}),
+    }
