@@ -27,6 +27,9 @@ BUCKET_BITS = 18
 #: Rare shingles weigh at most this much more than ones found in every text. With more, a
 #: large group of near copies would make its own shared shingles light and fall apart.
 IDF_GAIN = 0.2
+#: Buckets with as many open texts or more are compared by what sets their texts apart from the leader, in that many words of bits.
+CROWD = 16
+DIFFERENCE_WORDS = 16
 
 
 @dataclass(frozen=True)
@@ -192,8 +195,8 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.filter(near).select("a", "b", "samples_a", "samples_b").mapInArrow(test, "a string, b string")
 
 
-def private_weights(docs: DataFrame, keys: DataFrame, idf) -> DataFrame:
-    """(key, private): the weight of a text's shingles that no other text of ``keys`` has."""
+def private_weights(texts: DataFrame, idf) -> DataFrame:
+    """(key, private): the weight of a text's shingles that no other one of ``texts`` (key, text) has."""
 
     def owners(batches):
         for batch in batches:
@@ -213,11 +216,67 @@ def private_weights(docs: DataFrame, keys: DataFrame, idf) -> DataFrame:
                     }
                 )
 
-    rows = texts_of(docs, keys).mapInArrow(owners, "id long, low string, high string, weight double")
+    rows = texts.select("key", "text").mapInArrow(owners, "id long, low string, high string, weight double")
     rows = rows.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("weight").alias("weight"))
     return rows.filter("low = high").groupBy(F.col("low").alias("key")).agg(F.sum("weight").alias("private"))
 
 
+def difference(a, b):
+    """What sets two (ids, weight) sets ordered by id apart: its weight, the least weight in it (1 if equal), and its ids as bits."""
+    (x, v), (y, w) = a, b
+    ids = np.union1d(x, y)
+    weight = np.zeros(len(ids))
+    weight[np.searchsorted(ids, x)] = v
+    weight[np.searchsorted(ids, y)] -= w
+    apart, weight = ids[weight != 0], np.abs(weight[weight != 0])
+    bits = np.zeros(DIFFERENCE_WORDS, np.uint64)
+    slot = tx.mix(apart)
+    np.bitwise_or.at(bits, (slot >> np.uint64(6)) % np.uint64(DIFFERENCE_WORDS), np.uint64(1) << (slot & np.uint64(63)))
+    return float(weight.sum()), float(weight.min()) if len(weight) else 1.0, bits
+
+
+def differences(texts: DataFrame, pairs: DataFrame, idf) -> DataFrame:
+    """The pairs (key, lead) of ``texts`` with away, least, bits: their ``difference``; see ``_may_be_near`` for sole."""
+
+    def measure(batches):
+        for batch in batches:
+            rows, held = [], {}
+            for key, lead, p, q in zip(*(c.to_pylist() for c in batch.columns)):
+                if len(held) > 256:
+                    held.clear()
+                for name, text in ((key, p), (lead, q)):
+                    if name not in held:
+                        held[name] = weighted([text.encode()], idf.value)[1:]
+                rows.append(difference(held[key], held[lead]))
+            away, least, bits = zip(*rows) if rows else ((), (), ())
+            flat = np.concatenate(bits).view(np.int64) if rows else np.zeros(0, np.int64)
+            ends = np.arange(0, len(flat) + 1, DIFFERENCE_WORDS, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(away, pa.float64()), pa.array(least, pa.float64()), pa.ListArray.from_arrays(ends, flat)],
+                names=["key", "lead", "away", "least", "bits"],
+            )
+
+    both = pairs.distinct().join(texts.select(F.col("key").alias("lead"), F.col("text").alias("q")), "lead")
+    both = both.join(texts.select("key", F.col("text").alias("p")), "key").select("key", "lead", "p", "q")
+    rows = both.mapInArrow(measure, "key string, lead string, away double, least double, bits array<long>")
+    bits = F.aggregate("bits", F.lit(0), lambda n, word: n + F.bit_count(word))
+    return rows.withColumn("sole", F.col("away") - F.col("least") * bits)
+
+
+def _may_be_near():
+    """Whether two texts can be similar enough by how they differ from the same leader; true where that was not measured.
+
+    Texts are similar enough if at most a ninth of their total weights sets them apart. That is what sets each apart
+    from the leader, less twice what both differ in alike: of either text at most all but the bits that only it has,
+    each of which stands for ``least`` or more. ``sole`` is what remains if no bit is shared.
+    """
+    both = [F.bit_count(F.get("bits", F.lit(k)).bitwiseAND(F.get("bits_b", F.lit(k)))) for k in range(DIFFERENCE_WORDS)]
+    most = (1 - THRESHOLD) / (1 + THRESHOLD) * (F.col("total") + F.col("total_b")) + 1e-6
+    alike = (F.col("away") + F.col("away_b") - most) / 2
+    needed = F.greatest((alike - F.col("sole")) / F.col("least"), (alike - F.col("sole_b")) / F.col("least_b"))
+    return F.coalesce(sum(both[1:], both[0]) >= needed, F.lit(True))
+
+
 def verified(docs: DataFrame, pairs: DataFrame, idf) -> DataFrame:
     """The pairs (a, b) of content keys whose texts are similar enough, with their similarity."""
     pairs = written(pairs, "pairs")
@@ -253,7 +312,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     in their bucket, so no candidate pair between different components is left
     out. What two texts share is at most what each of them shares with any text
     at hand, so most strays, and most of their pairs, are ruled out by the
-    weight of their private shingles before any pair is made.
+    weight of their private shingles before any pair is made. In a crowd, texts
+    far from the leader can only be near each other if they differ from it
+    alike, which rules out most other pairs. A pair is made in the first bucket
+    it shares only: there, as in any, one of the two is a stray. Links between
+    strays join components, each pair of them once.
     """
     idf = docs.sparkSession.sparkContext.broadcast(document_frequencies(docs))
     nodes = written(signatures(docs, idf), "signatures")
@@ -272,21 +335,39 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = written(placed.join(leads, "lead", "left").withColumn("lead_root", F.coalesce("lead_root", "lead")), "placed")
     open_ = placed.join(placed.filter("root <> lead_root").select("bucket").distinct(), "bucket", "left_semi")
     open_ = written(open_, "open")
-    private = private_weights(docs, open_, idf)
-    known = open_.join(nodes.select("key", "total"), "key").join(private, "key", "left")
+    texts = written(texts_of(docs, open_), "texts")
+    private = private_weights(texts, idf)
+    crowded = open_.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") >= CROWD)
+    apart = differences(texts, open_.join(crowded, "bucket", "left_semi").select("key", "lead"), idf)
+    known = open_.join(nodes.select("key", "total", "bands"), "key").join(private, "key", "left").join(apart, ["key", "lead"], "left")
     known = written(known.withColumn("shared", F.col("total") - F.coalesce("private", F.lit(0.0))).drop("private"), "known")
-    other = known.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("key", "total", "shared", "root", "lead_root")])
+    other = known.select("bucket", *[F.col(c).alias(f"{c}_b") for c in known.columns if c not in ("bucket", "lead")])
     least = THRESHOLD / (1 + THRESHOLD) * (F.col("total") + F.col("total_b")) - 1e-6
+    bands = [lambda column, k=k: F.get(column, F.lit(k)) for k in range(BANDS)]
     late = known.filter("root <> lead_root").join(other, "bucket").filter(
         (F.col("root") != F.col("root_b"))
         & (F.col("key_b") != F.col("lead"))
         & ((F.col("root_b") == F.col("lead_root_b")) | (F.col("key") > F.col("key_b")))
         & (F.col("shared") >= least)
         & (F.col("shared_b") >= least)
+        & (F.coalesce(*[F.when(band("bands") == band("bands_b"), band("bands")) for band in bands]) == F.col("bucket"))
+        & _may_be_near()
     )
     late = late.select(F.col("key").alias("a"), F.col("key_b").alias("b"))
-    found = star.unionByName(verified(docs, _agreeing(late, nodes), idf))
-    return written(components(found.select("a", "b")), "roots"), found
+    more = verified(texts, _agreeing(late, nodes), idf)
+    return _joined(root, more), star.unionByName(more)
+
+
+def _joined(root: DataFrame, more: DataFrame) -> DataFrame:
+    """The components ``root`` (node, root) after the links ``more`` have joined some of them and single texts."""
+    ends = more.select("a", "b")
+    for end in ("a", "b"):
+        ends = ends.join(root.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    edges = ends.select(*[F.coalesce(f"root_{end}", end).alias(end) for end in ("a", "b")]).distinct()
+    joined = written(components(edges), "joined")
+    whole = root.join(joined.select(F.col("node").alias("root"), F.col("root").alias("high")), "root", "left")
+    whole = whole.select("node", F.coalesce("high", "root").alias("root"))
+    return written(whole.unionByName(joined.join(root.select("node"), "node", "left_anti").select("node", "root")), "roots")
 
 
 def _spoken():

@@ -120,3 +120,33 @@ def test_linked_groups_are_joined_before_strays_are_compared(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in nd.near_duplicates(docs).collect()}
     assert got == brute_classes(rows)
+
+
+def test_a_crowd_of_strays_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Texts of three edits are near few others of their crowd; the rest is ruled out before pairs are made."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(150)]
+    rows = [(k, edited(rng, words, 1 if k % 3 else 3)) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made, write = [], nd.written
+
+    def counted(df, name):
+        table = write(df, name)
+        if name == "pairs":
+            made.append(table.count())
+        return table
+
+    monkeypatch.setattr(nd, "written", counted)
+    found = nd.links(docs)[1]
+    few, links = made[1], {tuple(sorted((r.a, r.b))) for r in found.collect()}
+    monkeypatch.setattr(nd, "CROWD", 10**9, raising=False)
+    assert {tuple(sorted((r.a, r.b))) for r in nd.links(docs)[1].collect()} == links
+    assert few < made[3] / 2, made
+
+
+def test_difference_of_weighted_sets():
+    a = (np.array([1, 2, 5], np.uint64), np.array([1.0, 2.0, 1.5]))
+    b = (np.array([2, 5, 9], np.uint64), np.array([1.0, 1.5, 1.2]))
+    away, least, bits = nd.difference(a, b)
+    assert math.isclose(away, 3.2) and least == 1.0 and sum(int(w).bit_count() for w in bits) == 3
+    assert nd.difference(a, a)[:2] == (0.0, 1.0) and not nd.difference(a, a)[2].any()
