@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from annotary.session import settings
+
 PREVIEW = 20
 
 
@@ -32,7 +34,9 @@ def require_empty(violations: DataFrame, what: str, error=CorpusError) -> None:
     The message gives their full number and shows the first of them; the
     error's ``violations`` is the frame of all of them.
     """
-    rows = violations.limit(PREVIEW).collect()
+    # there are none as a rule, so all partitions are looked at in one job, not a few more at a time
+    with settings(violations.sparkSession, spark_sql_limit_initialNumPartitions=str(1 << 30)):
+        rows = violations.limit(PREVIEW).collect()
     if rows:
         total = violations.count() if len(rows) == PREVIEW else len(rows)
         detail = "; ".join(str(row.asDict()) for row in rows)

@@ -1,8 +1,8 @@
 """Global order without a single-partition sort.
 
 Rows are range-partitioned on the full (unique) order key, so ties on a
-leading column spread as well, and sorted inside their partition. One reliable
-checkpoint pins that layout; per-partition totals then give every partition
+leading column spread as well, and sorted inside their partition. One table in
+the shared folder pins that layout; per-partition totals then give every partition
 its starting offset. Only the totals, one row per partition and key, are ever
 seen by an unpartitioned window.
 """
@@ -10,7 +10,7 @@ seen by an unpartitioned window.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annotary.session import pinned, sized
+from annotary.session import sized
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in the low bits
 _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
@@ -18,7 +18,7 @@ _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
 
 def lay_out(df: DataFrame, order_by, keep=("*",)) -> DataFrame:
     """``df``, or its columns ``keep``, in global order with its range partition and index inside it."""
-    placed = pinned(
+    placed = sized(
         df.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
         .select(*keep, F.monotonically_increasing_id().alias("_row"))

@@ -8,7 +8,7 @@ from annotary.functions import naming
 from annotary.operators import coco, records, stats, taxonomy
 from annotary.plans import sql, standin
 from annotary.plans.catalog import CATALOG, query
-from annotary.session import pinned, scratch_path, sized
+from annotary.session import scratch_path, shuffles_freed, sized
 from annotary.sources import coco as coco_source
 from annotary.sources import images as image_source
 from annotary.sources import document, sinks, supervisely, via
@@ -450,7 +450,7 @@ def coco_document_roundtrip(spark, sf_dir):
     images, inst = standin.images(spark, sf_dir), sized(_mapped_boxes(spark, sf_dir))
     triple = coco.coco_triple(images.withColumnRenamed("split_hint", "split"), inst)
     path = scratch_path(spark, "document")
-    sinks.write_coco_document(*triple, path)
+    sinks.write_coco_document(*triple, path, "gzip")
     images, annotations, categories = document.read_coco_document(spark, path)
     text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("bigint").cast("string")), " ")
     return (
@@ -545,37 +545,42 @@ def json_map_scan(spark, sf_dir):
     return entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
 
 
+_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
+
 def _lines_by_order(spark, sf_dir, item):
     """Orders with an array of one struct per line item, as the nested formats
-    need it: an annotation file is one image."""
+    need it: an annotation file is one image. Lines are moved to their order as they are
+    and become structs there."""
     lines = (
         standin.table(spark, sf_dir, "lineitem")
-        .withColumn("x", (F.col("l_partkey") % 1000).cast("double"))
-        .withColumn("y", (F.col("l_suppkey") % 700).cast("double"))
-        .withColumn("w", F.when(F.col("l_discount") == 0, 0.0).otherwise(F.col("l_quantity")))
-        .withColumn("h", (F.col("l_linenumber") * 3).cast("double"))
-        .withColumn("cls", F.concat("l_returnflag", "l_linestatus"))
-        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-        .agg(F.collect_list(item).alias("items"))
+        .select(*_LINE)
+        .repartition("l_orderkey")
+        .select(F.col("l_orderkey").alias("o_orderkey"), item.alias("item"))
+        .groupBy("o_orderkey")
+        .agg(F.collect_list("item").alias("items"))
     )
-    return (
-        standin.table(spark, sf_dir, "orders")
-        .join(lines, "o_orderkey", "left")
-        .select(
-            "o_orderkey",
-            F.concat(F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("name"),
-            (F.col("o_custkey") % 1600 + 320).cast("int").alias("width"),
-            (F.col("o_orderkey") % 1200 + 240).cast("int").alias("height"),
-            F.coalesce("items", F.expr("array()")).alias("items"),
-        )
+    return _order_sizes(spark, sf_dir).join(lines, "o_orderkey", "left").withColumn("items", F.coalesce("items", F.expr("array()")))
+
+
+def _order_sizes(spark, sf_dir):
+    return standin.table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.concat(F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("name"),
+        (F.col("o_custkey") % 1600 + 320).cast("int").alias("width"),
+        (F.col("o_orderkey") % 1200 + 240).cast("int").alias("height"),
     )
 
 
-def _corner(name):
-    """x or y of the four corners, as an array."""
-    if name == "x":
-        return F.array(F.col("x"), F.col("x") + F.col("w"), F.col("x") + F.col("w"), F.col("x"))
-    return F.array(F.col("y"), F.col("y"), F.col("y") + F.col("h"), F.col("y") + F.col("h"))
+def _corners():
+    """x and y of the four corners of a line's rectangle."""
+    x, y = (F.col("l_partkey") % 1000).cast("double"), (F.col("l_suppkey") % 700).cast("double")
+    w, h = F.when(F.col("l_discount") == 0, 0.0).otherwise(F.col("l_quantity")), (F.col("l_linenumber") * 3).cast("double")
+    return [x, x + w, x + w, x], [y, y, y + h, y + h]
+
+
+def _class():
+    return F.concat("l_returnflag", "l_linestatus")
 
 
 def _summary(df, *more):
@@ -608,20 +613,22 @@ def via_document_split(spark, sf_dir):
 
 
 def _via(spark, sf_dir, split=False):
-    region = F.struct(_corner("x").alias("all_x"), _corner("y").alias("all_y"), F.col("cls").alias("class"))
+    xs, ys = _corners()
+    region = F.struct(F.array(*xs).alias("all_x"), F.array(*ys).alias("all_y"), _class().alias("class"))
     orders = _lines_by_order(spark, sf_dir, region)
     path = scratch_path(spark, "via")
     maps = orders.select(
         "name", F.to_json(F.create_map("name", F.struct("name", F.col("items").alias("regions")))).alias("value")
     )
     if split:  # the maps as members of one, in lines that make one document
-        last = maps.agg(F.max("name")).first()[0]
+        last = _order_sizes(spark, sf_dir).agg(F.max("name")).first()[0]
         member = F.expr("substring(value, 2, length(value) - 2)")
         body = maps.select(F.lit(1).alias("k"), "name", F.concat(member, F.when(F.col("name") < last, ",").otherwise("")).alias("value"))
         ends = spark.createDataFrame([(0, "", "{"), (2, "", "}")], body.schema)
-        body.union(ends).repartitionByRange("k", "name").sortWithinPartitions("k", "name").select("value").write.text(path)
+        sinks.write_ordered_text(body.union(ends), ["k", "name"], path, "gzip")
     else:
-        maps.select("value").write.text(path)
+        with shuffles_freed(spark):
+            maps.select("value").write.option("compression", "gzip").option("maxRecordsPerFile", sinks.FILE_LINES).text(path)
     sizes = standin.images(spark, sf_dir).select(
         naming.basename("file_path").alias("file_name"), "width", "height"
     )
@@ -644,29 +651,27 @@ def coco_document_split(spark, sf_dir):
 
 
 def _coco_lines(spark, sf_dir, split=False):
-    ring = F.flatten(F.transform(F.arrays_zip(_corner("x").alias("a"), _corner("y").alias("b")), lambda p: F.array(p["a"], p["b"])))
-    categories = ["AF", "AO", "NF", "NO", "RF", "RO"]
-    number = F.array_position(F.array(*[F.lit(c) for c in categories]), F.col("cls")).cast("int")
-    ann = F.struct(
+    names = ["AF", "AO", "NF", "NO", "RF", "RO"]
+    ann = [
         (F.col("l_linenumber") * F.lit(10**12) + F.col("l_partkey") * F.lit(10**6) + F.col("l_suppkey")).alias("id"),
         F.col("l_orderkey").alias("image_id"),
-        number.alias("category_id"),
-        F.array(ring).alias("segmentation"),
+        F.array_position(F.array(*[F.lit(c) for c in names]), _class()).cast("int").alias("category_id"),
+        F.array(F.array(*[v for point in zip(*_corners()) for v in point])).alias("segmentation"),
         F.lit(0).alias("iscrowd"),
-    )
-    docs = _lines_by_order(spark, sf_dir, ann).select(
-        F.array(F.struct(F.col("o_orderkey").alias("id"), "width", "height", F.col("name").alias("file_name"))).alias("images"),
-        F.col("items").alias("annotations"),
-        F.array(
-            *[F.struct(F.lit(k).alias("id"), F.lit(c).alias("name")) for k, c in enumerate(categories, 1)]
-        ).alias("categories"),
-    )
+    ]
+    image = [F.col("o_orderkey").alias("id"), "width", "height", F.col("name").alias("file_name")]
+    categories = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(c).alias("name")) for k, c in enumerate(names, 1)])
     path = scratch_path(spark, "coco")
     if split:
-        members = [docs.select(F.explode(c).alias("m")).select("m.*") for c in docs.columns]
-        sinks.write_coco_document(*members[:2], members[2].distinct(), path)
+        orders, lines = _order_sizes(spark, sf_dir), standin.table(spark, sf_dir, "lineitem")
+        named = orders.select(F.inline(categories)).distinct()
+        sinks.write_coco_document(orders.select(*image), lines.select(*ann), named, path, "gzip")
     else:
-        docs.write.json(path)
+        docs = _lines_by_order(spark, sf_dir, F.struct(*ann)).select(
+            F.array(F.struct(*image)).alias("images"), F.col("items").alias("annotations"), categories.alias("categories")
+        )
+        with shuffles_freed(spark):
+            docs.write.option("compression", "gzip").option("maxRecordsPerFile", sinks.FILE_LINES).json(path)
     images, inst = coco_source.coco_flat(
         coco_source.coco_documents(spark, path, lines=not split, split=split), "train", "/corpus/train"
     )
@@ -694,9 +699,7 @@ SELECT replace(image_id, 'img/', '') || '.jpg' AS file_name,
   count(*) FILTER (w > 0 AND l_tax = 0) AS n_holes {_KEPT}""")
 def supervisely_scan(spark, sf_dir):
     """Supervisely annotations, one image per line, written and scanned back."""
-    points = F.transform(
-        F.arrays_zip(_corner("x").alias("a"), _corner("y").alias("b")), lambda p: F.array(p["a"], p["b"])
-    )
+    points = F.array(*[F.array(x, y) for x, y in zip(*_corners())])
     pick = F.array(*[F.lit(c) for c in supervisely.CLASSES])
     obj = F.struct(
         F.col("l_partkey").alias("id"),

@@ -7,6 +7,7 @@ from annotary import schemas
 from annotary.checks import CorpusError, require_empty
 from annotary.functions.naming import image_key
 from annotary.operators.records import clean_instances, nest_records
+from annotary.session import sized
 from annotary.sources.document import document_sections
 from annotary.sources.images import list_files, require_files
 
@@ -32,9 +33,12 @@ def coco_documents(spark: SparkSession, path, lines=False, split=False) -> DataF
 
 
 def named_annotations(documents: DataFrame):
-    """``(annotations, categories)`` as they are, each annotation with its class name, if it has one."""
+    """``(annotations, categories)`` as they are, each annotation with its class name, if it has one.
+
+    Categories are few; as a table of known size they go to the annotations, which stay where they are.
+    """
     raw = documents.select(F.explode("annotations").alias("a")).select("a.*")
-    categories = documents.select(F.explode("categories").alias("c")).select("c.*").distinct()
+    categories = sized(documents.select(F.explode("categories").alias("c")).select("c.*").distinct())
     names = categories.select(F.col("id").alias("category_id"), F.col("name").alias("source_class"))
     return raw.join(names, "category_id", "left"), categories
 

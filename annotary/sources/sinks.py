@@ -3,7 +3,10 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annotary.session import shuffles_freed
+
 INFO = "images of damaged cars with polygon annotations from several sources"
+FILE_LINES = 1_000_000
 
 
 def write_triple(images: DataFrame, annotations: DataFrame, categories: DataFrame, path) -> None:
@@ -38,16 +41,24 @@ def coco_document_lines(images: DataFrame, annotations: DataFrame, categories: D
     return frame
 
 
-def write_coco_document(images, annotations, categories, path) -> None:
+def write_coco_document(images, annotations, categories, path, compression="none") -> None:
     """Part files whose concatenation in name order is one JSON document."""
     lines = coco_document_lines(images, annotations, categories)
-    (
-        lines.repartitionByRange("section", "id")
-        .sortWithinPartitions("section", "id")
-        .select("value")
-        .write.mode("overwrite")
-        .text(path)
-    )
+    write_ordered_text(lines, ["section", "id"], path, compression)
+
+
+def write_ordered_text(lines: DataFrame, order_by, path, compression="none") -> None:
+    """Column ``value`` as part files that are in order by name.
+
+    A compressed file is read by one task, so such files have at most
+    ``FILE_LINES`` lines.
+    """
+    ordered = lines.repartitionByRange(*order_by).sortWithinPartitions(*order_by).select("value")
+    out = ordered.write.mode("overwrite").option("compression", compression)
+    if compression != "none":
+        out = out.option("maxRecordsPerFile", FILE_LINES)
+    with shuffles_freed(lines.sparkSession):
+        out.text(path)
 
 
 def write_stats(stats: DataFrame, path) -> None:

@@ -1,5 +1,7 @@
+import gzip
 import json
 import struct
+import time
 import zlib
 
 import pytest
@@ -10,6 +12,7 @@ from annotary.checks import CorpusError, TaxonomyConfigError, UnknownClassError,
 from annotary.operators import coco, records, stats, taxonomy
 from annotary.plans import corpus as corpus_plan
 from annotary.plans import results
+from annotary.session import sized
 from annotary.sources import coco as coco_source
 from annotary.sources import images as image_source
 from annotary.sources import document, listing, run_files, sinks, supervisely, taxonomy_file, via
@@ -470,3 +473,26 @@ def test_document_with_long_members_before_its_sections(spark, tmp_path):
     path.write_text(json.dumps({**head, "images": images, "annotations": []}))
     found = document.document_sections(spark, str(path)).filter("section = 'images'").orderBy("place").collect()
     assert [json.loads(r["element"]) for r in found] == images
+
+
+def test_compressed_document_in_parts(spark, tmp_path):
+    """Part files of any cut are read compressed as well, also if one ends in a brace; each becomes one block."""
+    text = json.dumps(TRICKY, ensure_ascii=False)
+    brace = text.index('}, {"id": 7,') + 1
+    cuts = [0, 5, 60, 201, brace, len(text)]
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        (tmp_path / f"part-{k:03d}.json.gz").write_bytes(gzip.compress(text[a:b].encode()))
+    rows = document.document_sections(spark, str(tmp_path)).orderBy("place").collect()
+    for name in ("images", "annotations"):
+        assert [json.loads(r["element"]) for r in rows if r["section"] == name] == TRICKY[name]
+
+
+def test_sized_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {b for b in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in b}
+    before = shuffled()
+    table = sized(spark.range(1000).repartition(7, "id").groupBy("id").count())
+    deadline = time.time() + 20
+    while shuffled() - before and time.time() < deadline:  # files are deleted in the background
+        time.sleep(0.1)
+    assert not shuffled() - before and table.count() == 1000
