@@ -329,6 +329,7 @@ def precision_recall(matches: DataFrame, truths: DataFrame, thresholds=IOU_THRES
         partition_by=["class"],
         position="rank",
         keep=["class", "_hits"],
+        where=F.col("_hits") != 0,
     )
     points = ranked.select(
         "class",
@@ -346,7 +347,7 @@ def precision_recall(matches: DataFrame, truths: DataFrame, thresholds=IOU_THRES
             )
         ).alias("at"),
     ).filter("at.is_tp")
-    return points.join(truth_counts(truths), "class").select(
+    return points.join(sized(truth_counts(truths)), "class").select(
         "class",
         F.col("at.threshold").alias("threshold"),
         "rank",

@@ -30,13 +30,14 @@ def lay_out(df: DataFrame, order_by, keep=("*",)) -> DataFrame:
     )
 
 
-def running_totals(df: DataFrame, order_by, sums=None, partition_by=(), position=None, keep=("*",)) -> DataFrame:
+def running_totals(df: DataFrame, order_by, sums=None, partition_by=(), position=None, keep=("*",), where=None) -> DataFrame:
     """Exclusive running sums and 1-based positions in a global order.
 
     ``order_by`` must identify a row inside each ``partition_by`` key. ``sums``
     maps an output name to the numeric column summed over the preceding rows
     of the same key. A key holding most of the rows still spans many range
-    partitions, so no task ever sees all of it.
+    partitions, so no task ever sees all of it. ``where`` picks the rows to return;
+    the others, which must add 0 to every sum, count for positions but meet no window.
     """
     sums = dict(sums or {})
     keys = list(partition_by)
@@ -64,7 +65,7 @@ def running_totals(df: DataFrame, order_by, sums=None, partition_by=(), position
     # One row per range partition, plus one per key that starts inside one.
     offsets = sized(offsets)
 
-    local = laid
+    local = laid.filter(where) if where is not None else laid
     for name, value in sums.items():
         local = local.withColumn(
             f"_local_{name}", F.coalesce(F.sum(value).over(before), F.lit(0))

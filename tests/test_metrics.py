@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annotary.operators import instances as inst
-from annotary.operators import masks
+from annotary.operators import masks, ordered
 from annotary.operators import scored as m
 
 
@@ -387,3 +387,14 @@ def test_predictions_without_a_match_are_not_moved(spark, match):
         **({hashlib.md5(b"508").hexdigest(): [0.5, 0.7, 0.75]} if hashlib.md5(b"508").hexdigest() < hashlib.md5(b"8").hexdigest() else
            {hashlib.md5(b"8").hexdigest(): [0.5, 0.7, 0.75]}),
     }
+
+
+def test_only_true_positives_meet_a_window(spark):
+    """Rows that ``where`` leaves out count for positions and are gone before any window."""
+    rows = spark.range(500).select((F.col("id") % 3).alias("k"), "id", (F.col("id") % 10 == 0).cast("long").alias("hit"))
+    order = {"order_by": [F.col("id")], "sums": {"n": F.col("hit")}, "partition_by": ["k"], "position": "at"}
+    every = ordered.running_totals(rows, **order).filter("hit > 0")
+    some = ordered.running_totals(rows, **order, where=F.col("hit") > 0)
+    assert sorted(every.collect()) == sorted(some.select(every.columns).collect())
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Filter" in line and "hit" in line for line in plan[plan.index("Window") :].split("\n"))
