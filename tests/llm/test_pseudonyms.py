@@ -90,3 +90,15 @@ def test_other_forms_of_phones_and_cards(spark):
     digits = [re.sub("[^0-9]", "", r.text) for r in rows]
     assert digits[0] == digits[9] and digits[0][1:] == digits[2] == digits[3] == digits[5]
     assert rows[4].text.startswith("call 0044 ") and rows[-1].text.startswith("3782 822463 10006") and rows[-1].n_phones == 0
+
+
+def test_no_form_is_lost_where_forms_are_not_tried(spark):
+    """Places that no form can begin at are passed over; texts without @ are not searched for mail. Pieces stay the same."""
+    plain = "|".join(ps.FORMS.values())
+    texts = ["(030) 1234567 a@b.org +49 30 1234567", "x0044 20 7946 0958", "a 4845168114407329 1.2.3.4, 2024-02-29", "no @ number 12", "123-45-6789@x.de", "é1.2.3.4 (415) 555-0123", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    same = docs.select((F.split("text", f"(?={plain})") == F.split("text", f"(?={ps.ANY})")).alias("same"))
+    assert all(r.same for r in same.collect())
+    assert all(form.startswith(ps.EMAIL) or "@" not in form for form in ps.FORMS.values())
+    plan = ps.pseudonymise(docs, KEY)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?=[+(0-9])" in plan and "contains(text" in plan.lower()
