@@ -8,6 +8,7 @@ found there, and one more block product projects all rows. Rows stay in the JVM.
 """
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
@@ -23,6 +24,7 @@ BLOCK_ROWS = 1024
 SPLIT_BLOCKS = 8  # blocks of the long dimension that meet in one task of a product
 SCALE = 256
 _EXACT = "decimal(38,0)"
+_LOW = 32
 
 
 def integer_vectors(rows: DataFrame, key: str, vector: str, scale: int = SCALE) -> DataFrame:
@@ -45,6 +47,14 @@ def integer_vectors(rows: DataFrame, key: str, vector: str, scale: int = SCALE)
     return found
 
 
+def vector_sums(fit: DataFrame, size: int):
+    """(number of rows, exact sums of the entries of x); high and low halves are summed as longs, for up to 2**31 rows."""
+    entries = [F.get("x", F.lit(k)) for k in range(size)]
+    halves = [half for x in entries for half in (F.shiftright(x, _LOW), x.bitwiseAND(F.lit((1 << _LOW) - 1)))]
+    n, *sums = fit.agg(F.count(F.lit(1)), *[F.sum(half) for half in halves]).first()
+    return n, [(high << _LOW) + low for high, low in zip(sums[::2], sums[1::2])]
+
+
 def centred_blocks(fit: DataFrame, mean: np.ndarray) -> BlockMatrix:
     """The rows (row, x) minus ``mean``, as a block matrix of one column of blocks."""
     centred = F.zip_with("x", F.array(*[F.lit(float(m)) for m in mean]), lambda c, m: c.cast("double") - m)
@@ -98,16 +108,16 @@ def whiten(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", comp
     if size == 0:
         empty = spark.createDataFrame([], out).withColumn("key", F.lit(None).cast(vectors.schema["key"].dataType))
         return empty.withColumnRenamed("key", name)
-    total = fit.agg(F.count(F.lit(1)), *[F.sum(F.get("x", F.lit(k)).cast("decimal(20,0)")) for k in range(size)]).first()
-    n, sums = total[0], [int(s) for s in total[1:]]
+    n, sums = vector_sums(fit, size)
 
-    blocks = centred_blocks(fit, np.array([s / n for s in sums]))
+    # each product reads the blocks of both its sides, so they are built once
+    blocks = centred_blocks(fit, np.array([s / n for s in sums])).persist(StorageLevel.MEMORY_AND_DISK)
     covariance = scatter(blocks) / n
     values, axes = principal(covariance, components)
     trace = float(np.trace(covariance))
     live = values > size * np.finfo(float).eps * max(values[0], 0.0)
     shrink = np.where(live, 1 / np.sqrt(np.where(live, values, 1.0)), 0.0)
-    projected = blocks.multiply(local_blocks(spark, axes * shrink))
+    projected = blocks.multiply(local_blocks(spark, axes * shrink)).persist(StorageLevel.MEMORY_AND_DISK)
     spread = scatter(projected)[np.ix_(live, live)] / n
     error = float(np.abs(spread - np.eye(int(live.sum()))).max()) if live.any() else None
 
@@ -115,6 +125,9 @@ def whiten(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", comp
     table = MLUtils.convertVectorColumnsToML(table, "vector").select(
         F.col("index").alias("row"), vector_to_array("vector").alias("y")
     )
+    table = written(table, "projected")
+    for matrix in (projected, blocks):
+        matrix._java_matrix_wrapper._java_model.blocks().unpersist(False)
     apart = F.zip_with(
         "x",
         F.array(*[F.lit(str(s)).cast(_EXACT) for s in sums]),

@@ -63,3 +63,19 @@ def test_edge_rows(spark):
     assert {r.deviation for r in whitening.whiten(huge).collect()} == {None}
     for none in (table.limit(0), table.filter("vec_id = 6"), table.filter("vec_id = 2")):
         assert whitening.whiten(none).collect() == []
+
+
+def test_sums_of_large_entries_are_exact(spark):
+    big = 2**62
+    fit = spark.createDataFrame([([big, -big, -1],), ([big, -big, 5],), ([big + 1, -big - 3, -9],)], "x array<long>")
+    assert whitening.vector_sums(fit, 3) == (3, [3 * big + 1, -3 * big - 3, -5])
+
+
+def test_blocks_are_kept_while_they_are_multiplied_and_no_longer(spark, monkeypatch):
+    seen, scatter = [], whitening.scatter
+    level = lambda blocks: blocks._java_matrix_wrapper._java_model.blocks().getStorageLevel()
+    monkeypatch.setattr(whitening, "scatter", lambda blocks: (seen.append((blocks, level(blocks).useMemory())), scatter(blocks))[1])
+    rows = spark.createDataFrame([(k, [float(k % 7), float(k % 5)]) for k in range(70)], "vec_id long, embedding array<double>")
+    got = whitening.whiten(rows)
+    assert [kept for _, kept in seen] == [True, True] and got.count() == 140
+    assert not any(level(blocks).useMemory() or level(blocks).useDisk() for blocks, _ in seen)
